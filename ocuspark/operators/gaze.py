@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocuspark.operators import ordered
+from ocuspark.operators.lineage import cut
 
 # Fixed values of the signal definitions (pixels, milliseconds, Hz).
 DISPLAY = (883, 682)
@@ -384,6 +385,6 @@ def detect_fixations(
     samples: DataFrame, chunk_us: int = CHUNK_US, block_rows: int = ordered.BLOCK_ROWS
 ) -> DataFrame:
     """The whole chain: clean, label, smooth, group into fixations."""
-    signal = clean_signal(samples, chunk_us, block_rows)
-    signal = smooth(label_events(signal, block_rows), block_rows)
-    return fixations(signal, "sx", "sy", block_rows=block_rows)
+    signal = cut(clean_signal(samples, chunk_us, block_rows))
+    labelled = cut(label_events(signal, block_rows))
+    return fixations(smooth(labelled, block_rows), "sx", "sy", block_rows=block_rows)

@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from ocuspark.plans import gaze_plans  # noqa: F401
+from ocuspark.plans import gaze_plans, scoring_plans, study_plans  # noqa: F401
 from ocuspark.plans.registry import CHECKS, QUERIES  # noqa: F401

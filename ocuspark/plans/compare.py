@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL twins and report differences.
 
-    python -m ocuspark.plans.compare /root/testdata/sf0.01 [name ...]
+    python -m ocuspark.plans.compare /root/testdata/sf0.01 [name or prefix* ...]
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from fnmatch import fnmatch
 
 from ocuspark.plans.catalog import CHECKS, QUERIES
 from ocuspark.session import local_session
@@ -66,7 +67,8 @@ def main() -> None:
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = local_session("compare")
     failed = []
-    for name in names or QUERIES:
+    wanted = [q for q in QUERIES if not names or any(fnmatch(q, n) for n in names)]
+    for name in wanted:
         try:
             ok, detail = compare(spark, sf_dir, name)
         except Exception as exc:  # report and go on to the next query

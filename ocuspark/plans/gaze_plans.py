@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import r6
 from ocuspark.operators import gaze, ordered
+from ocuspark.operators.lineage import cut
 from ocuspark.plans.registry import query
 
 # Chunk and block sizes for the compressed clocks of the test tables. They are
@@ -233,7 +234,7 @@ def _(t):
     ("fast_gaze_samples",),
 )
 def _(t):
-    signal = gaze.clean_signal(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS)
+    signal = cut(gaze.clean_signal(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS))
     out = gaze.smooth(gaze.label_events(signal, BLOCK_ROWS), BLOCK_ROWS)
     return out.filter("own").select("recording_id", "sample_id", r6("sx").alias("sx"), r6("sy").alias("sy"))
 

@@ -109,10 +109,23 @@ SELECT vec_id AS screen_id,
   CASE WHEN vec_id % 5 = 0 THEN NULL ELSE least(greatest(5e-1 + 2e-1 * z14, 0e0), 1e0) END AS whitespace_ratio,
   CASE WHEN vec_id % 7 = 0 THEN NULL ELSE least(greatest(5e-1 + 2e-1 * z15, 0e0), 1e0) END AS text_density
 FROM (SELECT vec_id, label, @z@ FROM {embeddings} m) t
+""",
+    "screen_tasks": """
+SELECT vec_id AS screen_id,
+  CASE vec_id % 6 WHEN 0 THEN 'navigation' WHEN 1 THEN 'search' WHEN 2 THEN 'monitoring'
+    WHEN 3 THEN 'data_entry' WHEN 4 THEN 'decision' ELSE 'browsing' END AS task_type,
+  CASE vec_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'other' END AS target_specificity,
+  CASE vec_id % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'other' END AS time_pressure,
+  CASE vec_id % 7 WHEN 0 THEN 'known_item' WHEN 1 THEN 'comparative' WHEN 2 THEN 'exploratory' ELSE 'other' END AS search_mode,
+  CASE vec_id % 8 WHEN 0 THEN 'neutral' WHEN 1 THEN 'focused' WHEN 2 THEN 'exploratory' WHEN 3 THEN 'social'
+    WHEN 4 THEN 'stress_sensitive' ELSE 'unknown' END AS profile,
+  CASE WHEN vec_id % 9 = 0 THEN NULL ELSE (vec_id % 23) / 2e0 END AS estimated_fixation_count,
+  CASE WHEN vec_id % 10 = 0 THEN NULL ELSE (vec_id % 13) / 2e0 END AS mean_search_time_s
+FROM {embeddings} m
 """,
     "class_probabilities": """
-SELECT vec_id AS screen_id, e1 / s AS infographic, e2 / s AS mobile_ui, e3 / s AS natural_image,
-  e4 / s AS poster, e5 / s AS desktop_ui, e6 / s AS web_page
+SELECT vec_id AS screen_id, e1 / s AS poster, e2 / s AS infographic, e3 / s AS mobile_ui,
+  e4 / s AS desktop_ui, e5 / s AS web_page, e6 / s AS natural_image
 FROM (SELECT *, e1 + e2 + e3 + e4 + e5 + e6 AS s FROM
   (SELECT vec_id, exp(z1) AS e1, exp(z2) AS e2, exp(z3) AS e3, exp(z4) AS e4, exp(z5) AS e5, exp(z6) AS e6
    FROM (SELECT vec_id, @z@ FROM {embeddings} m) t) u) w
