@@ -37,9 +37,9 @@ def query(name: str, check: str | None = None, tables: tuple[str, ...] = ()):
         if check is not None:
             heads = [f"{t} AS ({adapters.check_sql(t)})" for t in tables]
             body = check.strip()
-            if body.upper().startswith("WITH "):
-                body = body[5:]
-                CHECKS[name] = "WITH " + ",\n".join([*heads, body])
+            if body.startswith("WITH "):
+                word = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+                CHECKS[name] = word + ",\n".join([*heads, body[len(word):]])
             elif heads:
                 CHECKS[name] = "WITH " + ",\n".join(heads) + "\n" + body
             else:

@@ -53,13 +53,16 @@ def _(t):
 @query(
     "study_image_load_means",
     CLEAN + """SELECT image_name, cognitive_load, round(mean_fixation_count, 6) AS mean_fixation_count,
-      round(mean_fixation_duration, 6) AS mean_fixation_duration,
+      round(mean_fixation_duration, 8) AS mean_fixation_duration,
       round(mean_total_duration, 6) AS mean_total_duration, n_obs FROM means""",
     T,
 )
 def _(t):
     m = study.image_condition_means(study.clean_trials(t["aoi_trials"]))
-    return _rounded(m, ["image_name", "cognitive_load", "n_obs"])
+    # Two-decimal inputs averaged over 8k rows can end exactly on half of the
+    # sixth decimal, so the durations keep eight.
+    m = m.withColumn("mean_fixation_duration", F.round("mean_fixation_duration", 8))
+    return _rounded(m, ["image_name", "cognitive_load", "n_obs", "mean_fixation_duration"])
 
 
 @query(

@@ -74,6 +74,22 @@ SELECT d.doc_id AS box_id, s.screen_id, (d.doc_id * 97) % 1200 AS cx, (d.doc_id
   d.text AS text, (d.n_chars % 100) / 1e2 AS conf
 FROM {documents} d
 JOIN (SELECT DISTINCT o_orderkey AS screen_id FROM {orders} o) s ON s.screen_id = d.doc_id
+""",
+    "screen_fixations": """
+SELECT event_id AS fixation_id, user_id AS recording_id, event_id % 500 AS screen_id,
+  (event_id * 97) % 1200 AS x, (event_id * 61) % 800 AS y, value AS duration_ms FROM {events} e
+""",
+    "target_requests": """
+SELECT event_id AS request_id, event_id % 400 AS screen_id,
+  CASE WHEN event_id % 5 = 0 THEN event_id % 9 END AS target_id,
+  CASE WHEN event_id % 7 <> 0 THEN (event_id * 97) % 1200 END AS target_x, (event_id * 61) % 800 AS target_y
+FROM {events} e
+""",
+    "regions": """
+SELECT o_orderkey AS screen_id, 1200 AS img_w, 800 AS img_h, CAST(o_orderkey % 1400 - 100 AS INT) AS region_x,
+  CAST(o_orderkey % 900 - 50 AS INT) AS region_y, CAST(o_orderkey % 333 AS INT) AS region_w,
+  CAST(o_orderkey % 127 AS INT) AS region_h
+FROM {orders} o WHERE o_orderkey % 10 = 0
 """,
     "map_pixels": """
 SELECT a.vec_id AS map_id, CAST(floor(a.pos / 8e0) AS INT) AS y, CAST(a.pos % 8 AS INT) AS x,
