@@ -429,6 +429,7 @@ def glance_metrics(
     single: float = SINGLE_LIMIT_S,
     total: float = TOTAL_LIMIT_S,
     block_rows: int = 2_000,
+    digits: int = 3,
 ) -> DataFrame:
     """Pack scan steps into glances of at most ``budget`` seconds and check limits.
 
@@ -459,9 +460,9 @@ def glance_metrics(
     return every.select(
         "scan_id",
         "n_glances",
-        F.round(longest, 3).alias("max_single_glance_s"),
-        F.round(sum_s, 3).alias("total_eyes_off_road_s"),
-        F.when(F.col("n_glances") > 0, F.round(sum_s / F.col("n_glances"), 3))
+        F.round(longest, digits).alias("max_single_glance_s"),
+        F.round(sum_s, digits).alias("total_eyes_off_road_s"),
+        F.when(F.col("n_glances") > 0, F.round(sum_s / F.col("n_glances"), digits))
         .otherwise(F.lit(0.0))
         .alias("mean_glance_s"),
         (longest > single).alias("exceeds_single_glance"),

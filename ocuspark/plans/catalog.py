@@ -1,4 +1,11 @@
 """Imports every plan module so that its queries are registered."""
 
-from ocuspark.plans import gaze_plans, layout_plans, scoring_plans, study_plans  # noqa: F401
+from ocuspark.plans import (  # noqa: F401
+    gaze_plans,
+    layout_plans,
+    map_plans,
+    ml_plans,
+    scoring_plans,
+    study_plans,
+)
 from ocuspark.plans.registry import CHECKS, QUERIES  # noqa: F401
