@@ -55,7 +55,22 @@ CROWDED = """SELECT l_orderkey % 300 AS screen_id,
   CAST(60 + l_quantity AS INT) AS w, CAST(70 + l_quantity AS INT) AS h FROM {lineitem} l"""
 
 
-@query("layout_overlap_suppression", None)
+NMS_SQL = "WITH RECURSIVE crowded AS (" + CROWDED.replace("{lineitem}", "lineitem") + """),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY screen_id ORDER BY w * h DESC, element_id) AS k FROM crowded),
+walk AS (
+  SELECT screen_id, k, [struct_pack(id := element_id, x := x, y := y, w := w, h := h)] AS kept FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT o.screen_id, o.k, CASE WHEN len(wk.kept) >= 80 OR len(list_filter(wk.kept, lambda b:
+      greatest(0, least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x)) * greatest(0, least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y))
+      > 0.5 * (b.w * b.h + o.w * o.h - greatest(0, least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x))
+        * greatest(0, least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y))))) > 0 THEN wk.kept
+    ELSE list_append(wk.kept, struct_pack(id := o.element_id, x := o.x, y := o.y, w := o.w, h := o.h)) END
+  FROM walk wk JOIN ordered o ON o.screen_id = wk.screen_id AND o.k = wk.k + 1),
+last AS (SELECT screen_id, arg_max(kept, k) AS kept FROM walk GROUP BY 1)
+SELECT screen_id, unnest(kept).id AS element_id FROM last"""
+
+
+@query("layout_overlap_suppression", NMS_SQL)
 def _(t):
     crowded = t.spark.sql(CROWDED, lineitem=t["lineitem"])
     return layout.suppress_overlaps(crowded)

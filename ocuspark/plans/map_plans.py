@@ -99,9 +99,9 @@ def _(t):
     return _rounded(maps.agreement(t["map_pixels"]), ["map_id"])
 
 
-@query("map_auc_judd", "WITH " + AUC_SQL.strip() + " SELECT map_id, round(auc, 6) AS auc FROM auc", M)
+@query("map_auc_judd", "WITH " + AUC_SQL.strip() + " SELECT map_id, round(auc, 9) AS auc FROM auc", M)
 def _(t):
-    return _rounded(maps.auc_judd(t["map_pixels"]), ["map_id"])
+    return _rounded(maps.auc_judd(t["map_pixels"]), ["map_id"], 9)
 
 
 @query(
@@ -111,11 +111,11 @@ def _(t):
       FROM map_pixels m JOIN places p ON m.y = p.y AND m.x = p.x),
     d AS (SELECT map_id, v, sum(pos) AS pos, sum(neg) AS neg FROM w GROUP BY 1, 2),
     c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY map_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM d)
-    SELECT map_id, round(sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)), 6) AS shuffled_auc FROM c GROUP BY 1""",
+    SELECT map_id, round(sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)), 9) AS shuffled_auc FROM c GROUP BY 1""",
     M,
 )
 def _(t):
-    return _rounded(maps.shuffled_auc(t["map_pixels"]), ["map_id"])
+    return _rounded(maps.shuffled_auc(t["map_pixels"]), ["map_id"], 9)
 
 
 @query(

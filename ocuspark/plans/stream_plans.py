@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ocuspark.plans.gaze_plans import POINTS
 from ocuspark.plans.registry import query
 from ocuspark.sources import adapters
 from ocuspark.streaming import live
@@ -22,9 +23,17 @@ def _samples(t, name: str = "gaze_samples"):
     return live.with_event_time(t.spark.sql(text, events=_events(t)))
 
 
-@query("stream_clean_points", None)
+G = ("gaze_samples",)
+
+
+@query(
+    "stream_clean_points",
+    POINTS.replace("@samples@", "gaze_samples") + "SELECT recording_id, sample_id, device_us, px, py FROM points",
+    G,
+)
 def _(t):
-    return live.run_available(live.clean(_samples(t)))
+    points = live.clean(_samples(t)).select("recording_id", "sample_id", "device_us", "px", "py")
+    return live.run_available(points)
 
 
 @query("stream_live_fixations", None)
@@ -45,9 +54,25 @@ def _(t):
     return live.run_available(live.live_events(live.with_event_time(e)))
 
 
-@query("stream_recording_sessions", None)
+def _micros(df, *columns):
+    return df.withColumns({c: F.unix_micros(c) for c in columns})
+
+
+# Windows are emitted once the watermark (largest event time minus the delay)
+# has passed their end.
+@query(
+    "stream_recording_sessions",
+    """WITH g AS (SELECT recording_id, device_us, device_us - lag(device_us) OVER w AS gap FROM gaze_samples
+      WINDOW w AS (PARTITION BY recording_id ORDER BY device_us, sample_id)),
+    s AS (SELECT *, sum(CASE WHEN gap < 200000 THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY device_us) AS k FROM g)
+    SELECT recording_id, min(device_us) AS session_start, max(device_us) + 200000 AS session_end, count(*) AS n_samples FROM s
+    GROUP BY recording_id, k
+    HAVING max(device_us) + 200000 <= (SELECT (max(device_us) // 1000 - 2000) * 1000 FROM gaze_samples)""",
+    G,
+)
 def _(t):
-    return live.run_available(live.recording_sessions(_samples(t)))
+    sessions = live.run_available(live.recording_sessions(_samples(t)))
+    return _micros(sessions, "session_start", "session_end")
 
 
 def _hits(t):
@@ -58,14 +83,26 @@ def _hits(t):
     return e.withWatermark("event_time", "10 minutes")
 
 
-@query("stream_hit_rate_tumbling", None)
+def _rate_sql(hours: int) -> str:
+    return f"""WITH h AS (SELECT (epoch_us(ts) // 3600000000) - unnest(range({hours})) AS hour, event_type = 'click' AS hit FROM events)
+    SELECT hour * 3600000000 AS window_start, (hour + {hours}) * 3600000000 AS window_end, count(*) AS n_fixations,
+      round(avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END), 6) AS hit_rate FROM h GROUP BY hour
+    HAVING (hour + {hours}) * 3600000000 <= (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 FROM events)"""
+
+
+def _rates(t, length: str, slide: str | None = None):
+    rates = live.run_available(live.hit_rates(_hits(t), length, slide))
+    return _micros(rates, "window_start", "window_end").withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("stream_hit_rate_tumbling", _rate_sql(1))
 def _(t):
-    return live.run_available(live.hit_rates(_hits(t), "1 hour"))
+    return _rates(t, "1 hour")
 
 
-@query("stream_hit_rate_sliding", None)
+@query("stream_hit_rate_sliding", _rate_sql(2))
 def _(t):
-    return live.run_available(live.hit_rates(_hits(t), "2 hours", "1 hour"))
+    return _rates(t, "2 hours", "1 hour")
 
 
 @query("stream_unique_uploads", None)
