@@ -68,7 +68,7 @@ def merge_eyes(
     if not carry_forward:
         return merged
     defined = both | no_left | no_right
-    blocks = ordered.with_halo(_numbered(merged, chunk_us), 1, block_rows)
+    blocks = ordered.with_halo(cut(_numbered(merged, chunk_us)), 1, block_rows)
     last = F.when(defined, F.struct("rn", "gaze_x", "gaze_y"))
     return (
         ordered.running(blocks, KEY, {"_last": ("max", last)})
@@ -387,4 +387,5 @@ def detect_fixations(
     """The whole chain: clean, label, smooth, group into fixations."""
     signal = cut(clean_signal(samples, chunk_us, block_rows))
     labelled = cut(label_events(signal, block_rows))
-    return fixations(smooth(labelled, block_rows), "sx", "sy", block_rows=block_rows)
+    smoothed = cut(smooth(labelled, block_rows))
+    return fixations(smoothed, "sx", "sy", block_rows=block_rows)

@@ -347,7 +347,79 @@ def longest_texts(texts: DataFrame, k: int = 5) -> DataFrame:
     return texts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def whitespace(elements: DataFrame, screens: DataFrame) -> DataFrame:
+def _strip_area(boxes: Column) -> Column:
+    """Union area of the boxes (structs x0, x1, y0, y1) of one screen.
+
+    Between neighbouring x edges the covered height is constant: it is the union
+    of the y ranges that span the strip, summed from top to bottom.
+    """
+    edges = F.array_sort(
+        F.array_distinct(
+            F.concat(F.transform(boxes, lambda b: b["x0"]), F.transform(boxes, lambda b: b["x1"]))
+        )
+    )
+    strips = F.arrays_zip(
+        F.slice(edges, F.lit(1), F.size(edges) - 1).alias("a"),
+        F.slice(edges, F.lit(2), F.size(edges) - 1).alias("b"),
+    )
+    zero = F.lit(0).cast("bigint")
+
+    def height(strip: Column) -> Column:
+        spans = F.array_sort(
+            F.transform(
+                F.filter(boxes, lambda b: (b["x0"] <= strip["a"]) & (b["x1"] >= strip["b"])),
+                lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1")),
+            )
+        )
+        start = F.struct(zero.alias("sum"), F.lit(-1).cast("bigint").alias("end"))
+        return F.aggregate(
+            spans,
+            start,
+            lambda acc, s: F.struct(
+                (
+                    acc["sum"] + F.greatest(zero, s["y1"] - F.greatest(s["y0"], acc["end"]))
+                ).alias("sum"),
+                F.greatest(acc["end"], s["y1"]).alias("end"),
+            ),
+            lambda acc: acc["sum"],
+        )
+
+    return F.aggregate(
+        strips, zero, lambda total, s: total + height(s) * (s["b"] - s["a"])
+    )
+
+
+def union_area(rects: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
+    """Pixel area of the union of a screen's rectangles (screen_id, covered).
+
+    Screens with up to ``direct`` rectangles are swept in one array expression.
+    A screen with more is found by one surplus rectangle (a per-group limit, so
+    nothing larger is ever collected) and goes through the tile masks.
+    """
+    filled = rects.filter("r1 > r0 AND c1 > c0")
+    w = Window.partitionBy("screen_id").orderBy("c0", "r0", "c1", "r1")
+    box = F.struct(
+        *[F.col(c).cast("bigint").alias(n) for c, n in (("c0", "x0"), ("c1", "x1"), ("r0", "y0"), ("r1", "y1"))]
+    )
+    packed = (
+        filled.withColumn("_k", F.row_number().over(w))
+        .filter(F.col("_k") <= direct + 1)
+        .groupBy("screen_id")
+        .agg(F.collect_list(box).alias("_b"))
+    )
+    swept = packed.filter(F.size("_b") <= direct).select(
+        "screen_id", _strip_area(F.col("_b")).alias("covered")
+    )
+    crowded = packed.filter(F.size("_b") > direct).select("screen_id")
+    tiled = (
+        tile_coverage(filled.join(crowded, "screen_id", "left_semi"), ["screen_id"], 16, 60)
+        .groupBy("screen_id")
+        .agg(F.sum("covered").alias("covered"))
+    )
+    return swept.unionByName(tiled)
+
+
+def whitespace(elements: DataFrame, screens: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
     """1 - union of the element boxes / image area, exact to the pixel."""
     placed = elements.join(screens.select("screen_id", "img_w", "img_h"), "screen_id")
     rects = placed.select(
@@ -357,11 +429,7 @@ def whitespace(elements: DataFrame, screens: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), "x").alias("c0"),
         F.least(F.col("x") + F.col("w"), "img_w").alias("c1"),
     )
-    covered = (
-        tile_coverage(rects, ["screen_id"], 16, 60)
-        .groupBy("screen_id")
-        .agg(F.sum("covered").alias("_c"))
-    )
+    covered = union_area(rects, direct).withColumnRenamed("covered", "_c")
     share = F.coalesce("_c", F.lit(0)) / (F.col("img_w").cast("double") * F.col("img_h"))
     return screens.join(covered, "screen_id", "left").select(
         "screen_id", clip(1.0 - share, 0, 1).alias("whitespace_ratio")

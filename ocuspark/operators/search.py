@@ -362,14 +362,29 @@ def _border(current: float, steps: np.ndarray, budget: float) -> tuple[int, floa
     return k, float(times[k])
 
 
-def _block_table(pdf: pd.DataFrame, budget: float) -> pd.DataFrame:
+def _runs(batches, keys: list[str]):
+    """Consecutive runs of equal keys in sorted batches; a run may cross batches."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        k = pdf[keys].to_numpy()
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        begin = 0
+        for end in cuts:
+            yield pdf.iloc[begin:end]
+            begin = end
+        rest = pdf.iloc[begin:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _block_row(s: np.ndarray, budget: float) -> tuple:
     """Summary of one block: what follows from every possible first border.
 
     ``count``, ``longest`` and ``left`` describe the rest of the block when a
     fresh glance starts at step j: closed glances, longest of them, and the time
     in the glance left open at the end.
     """
-    s = pdf.sort_values("step_ord")["step_time_s"].to_numpy(float)
     n = len(s)
     count, longest, left = np.zeros(n + 1, int), np.zeros(n + 1), np.zeros(n + 1)
     for j in range(n - 1, -1, -1):
@@ -385,23 +400,14 @@ def _block_table(pdf: pd.DataFrame, budget: float) -> pd.DataFrame:
         else:
             count[j], longest[j], left[j] = count[k] + 1, max(longest[k], time), left[k]
     first = min(n, _border(0.0, s, budget)[0] + 1)
-    return pd.DataFrame(
-        {
-            "scan_id": [pdf["scan_id"].iloc[0]],
-            "block": [int(pdf["block"].iloc[0])],
-            "total": [float(s.sum())],
-            "steps": [s[:first].tolist()],
-            "count": [count[:first].tolist()],
-            "longest": [longest[:first].tolist()],
-            "left": [left[:first].tolist()],
-        }
-    )
+    parts = (s, count, longest, left)
+    return (float(s.sum()), *[p[:first].tolist() for p in parts])
 
 
-def _chain(pdf: pd.DataFrame, budget: float) -> pd.DataFrame:
+def _scan_row(blocks: pd.DataFrame, budget: float) -> tuple:
     """Run through the block summaries of one scan in order."""
     current, count, longest, total = 0.0, 0, 0.0, 0.0
-    for row in pdf.sort_values("block").itertuples():
+    for row in blocks.itertuples():
         total += row.total
         j = 0
         if current > 0.0:
@@ -413,14 +419,28 @@ def _chain(pdf: pd.DataFrame, budget: float) -> pd.DataFrame:
         count, longest, current = count + row.count[j], max(longest, row.longest[j]), row.left[j]
     if current > 0.0:
         count, longest = count + 1, max(longest, current)
-    return pd.DataFrame(
-        {
-            "scan_id": [pdf["scan_id"].iloc[0]],
-            "n_glances": [count],
-            "max_single_glance_s": [longest],
-            "total_eyes_off_road_s": [total],
-        }
-    )
+    return int(count), float(longest), total
+
+
+BLOCK_SCHEMA = (
+    "scan_id bigint, block bigint, total double, steps array<double>,"
+    " count array<bigint>, longest array<double>, left array<double>"
+)
+SCAN_SCHEMA = (
+    "scan_id bigint, n_glances bigint, max_single_glance_s double, total_eyes_off_road_s double"
+)
+
+
+def _in_batches(rows, columns: list[str], size: int = 1000):
+    """Output frames of at most ``size`` rows."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def glance_metrics(
@@ -442,18 +462,32 @@ def glance_metrics(
     real = steps.filter(F.col("step_time_s") > 0).withColumn(
         "block", F.floor((F.col("step_ord") - 1) / block_rows).cast("bigint")
     )
-    table = (
-        "scan_id bigint, block bigint, total double, steps array<double>,"
-        " count array<bigint>, longest array<double>, left array<double>"
-    )
+    def summarise(batches):
+        rows = (
+            (int(g["scan_id"].iloc[0]), int(g["block"].iloc[0]),
+             *_block_row(g["step_time_s"].to_numpy(float), budget))
+            for g in _runs(batches, ["scan_id", "block"])
+        )
+        names = ["scan_id", "block", "total", "steps", "count", "longest", "left"]
+        return _in_batches(rows, names)
+
+    def chain(batches):
+        rows = (
+            (int(g["scan_id"].iloc[0]), *_scan_row(g, budget)) for g in _runs(batches, ["scan_id"])
+        )
+        names = ["scan_id", "n_glances", "max_single_glance_s", "total_eyes_off_road_s"]
+        return _in_batches(rows, names)
+
     blocks = (
         real.select("scan_id", "block", "step_ord", "step_time_s")
-        .groupBy("scan_id", "block")
-        .applyInPandas(lambda pdf: _block_table(pdf, budget), table)
+        .repartition("scan_id", "block")
+        .sortWithinPartitions("scan_id", "block", "step_ord")
+        .mapInPandas(summarise, BLOCK_SCHEMA)
     )
-    scans = blocks.groupBy("scan_id").applyInPandas(
-        lambda pdf: _chain(pdf, budget),
-        "scan_id bigint, n_glances bigint, max_single_glance_s double, total_eyes_off_road_s double",
+    scans = (
+        blocks.repartition("scan_id")
+        .sortWithinPartitions("scan_id", "block")
+        .mapInPandas(chain, SCAN_SCHEMA)
     )
     every = steps.select("scan_id").distinct().join(scans, "scan_id", "left").na.fill(0)
     longest, sum_s = F.col("max_single_glance_s"), F.col("total_eyes_off_road_s")

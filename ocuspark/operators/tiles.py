@@ -47,6 +47,9 @@ def tile_coverage(
     masks = []
     for i in range(words):
         first, last = i * per_word, (i + 1) * per_word
+        if per_word == 1:
+            masks.append(f"bit_or(if(_r0 <= {i} AND _r1 > {i}, _line, 0L)) as _w{i}")
+            continue
         lo, hi = f"greatest(_r0, {first})", f"least(_r1, {last})"
         masks.append(
             f"bit_or(if({hi} > {lo}, shiftleft(_line * element_at(array({table}), {hi} - {lo} + 1),"

@@ -224,7 +224,7 @@ def _(t):
     ("fast_gaze_samples",),
 )
 def _(t):
-    signal = gaze.clean_signal(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS)
+    signal = cut(gaze.clean_signal(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS))
     return gaze.label_events(signal, BLOCK_ROWS).filter("own").select("recording_id", "sample_id", "event")
 
 
@@ -245,7 +245,8 @@ def _(t):
     ("gaze_samples",),
 )
 def _(t):
-    blocks = ordered.with_halo(gaze.pixel_points(t["gaze_samples"], CHUNK_US), 2, BLOCK_ROWS)
+    points = cut(gaze.pixel_points(t["gaze_samples"], CHUNK_US))
+    blocks = ordered.with_halo(points, 2, BLOCK_ROWS)
     return _fix_columns(gaze.fixations(blocks, block_rows=BLOCK_ROWS))
 
 
@@ -272,7 +273,8 @@ LEFT JOIN (SELECT recording_id, count(*) AS n, sum(duration_ms) AS total FROM fi
     ("gaze_samples",),
 )
 def fixation_summary(t):
-    points = gaze.pixel_points(t["gaze_samples"], CHUNK_US)
+    # The points feed the summary, the blocks and their carries: written once.
+    points = cut(gaze.pixel_points(t["gaze_samples"], CHUNK_US))
     blocks = ordered.with_halo(points, 2, BLOCK_ROWS)
     out = gaze.fixation_summary(points, gaze.fixations(blocks, block_rows=BLOCK_ROWS))
     return out.select(

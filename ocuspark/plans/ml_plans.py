@@ -32,11 +32,11 @@ def _train(t):
 
 @query(
     "ml_training_table",
-    TRAIN_SQL + "SELECT image_name, " + ", ".join(f"round({c}, 8) AS {c}" for c in COLS) + ", true AS targets_leak FROM tr",
+    TRAIN_SQL + "SELECT image_name, " + ", ".join(f"round({c}, 10) AS {c}" for c in COLS) + ", true AS targets_leak FROM tr",
     T,
 )
 def _(t):
-    return _train(t).select("image_name", *[F.round(c, 8).alias(c) for c in COLS], "targets_leak")
+    return _train(t).select("image_name", *[F.round(c, 10).alias(c) for c in COLS], "targets_leak")
 
 
 SCALED = ["shannon_entropy", "edge_density", "saliency_coverage", "cog_duration_increase"]

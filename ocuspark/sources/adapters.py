@@ -22,7 +22,7 @@ SELECT user_id AS recording_id, event_id AS sample_id,
   CASE WHEN event_type = 'signup' THEN NULL ELSE 5e-1 + ((k % 30) - 14) / 682e0 END AS right_y,
   CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS left_valid,
   CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE 1 END AS right_valid
-FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+FROM (SELECT *, CAST(substr(props, 7, length(props) - 7) AS INT) AS k,
         CASE WHEN event_id % 53 = 0 THEN 2e-1 ELSE 0e0 END AS jump FROM {events}) e
 """
 

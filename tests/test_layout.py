@@ -125,3 +125,21 @@ def test_target_resolution_order(spark):
 def test_words_split_on_unicode_blanks(spark):
     df = spark.createDataFrame([("a b c　d\te\n\nf",), ("   ",), ("",)], "text string")
     assert [r[0] for r in df.select(layout.word_count("text")).collect()] == [6, 0, 0]
+
+
+@pytest.mark.parametrize("direct", [3, 80])
+def test_union_area_equals_raster(spark, direct):
+    """A low limit sends the crowded screen through the tile masks."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for s, n in ((1, 90), (2, 3), (3, 1)):
+        cells = set()
+        for _ in range(n):
+            r, c = rng.randrange(100), rng.randrange(120)
+            r1, c1 = r + rng.randrange(0, 30), c + rng.randrange(0, 40)
+            rows.append((s, r, r1, c, c1))
+            cells |= {(i, j) for i in range(r, r1) for j in range(c, c1)}
+        want[s] = len(cells)
+    df = spark.createDataFrame(rows, "screen_id long, r0 int, r1 int, c0 int, c1 int")
+    got = {r.screen_id: r.covered for r in layout.union_area(df, direct).collect()}
+    assert {s: n for s, n in want.items() if n} == got
