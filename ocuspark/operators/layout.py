@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import clip
 from ocuspark.operators.lineage import cut
+from ocuspark.operators.skew import split_join
 from ocuspark.operators.tiles import tile_coverage
 
 # ---- Fixed values -------------------------------------------------------
@@ -165,7 +166,7 @@ def suppress_overlaps(boxes: DataFrame, limit: int = MAX_ELEMENTS, batch: int =
             & (F.col("element_id") > F.col("_last.element_id"))
         )
         open_boxes = cut(
-            open_boxes.join(more.select("screen_id", "kept", "_last"), "screen_id")
+            split_join(open_boxes, more.select("screen_id", "kept", "_last"), ["screen_id"])
             .filter(later & ~F.exists("kept", lambda k: _iou(k, body) > NMS_IOU))
             .select("screen_id", "x", "y", "w", "h", "element_id", "area")
         )
@@ -195,13 +196,9 @@ def _inside(e: Column, px: Column, py: Column) -> Column:
 
 
 def hit_first(points: DataFrame, packed: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame:
-    """First element (id order) whose box contains the point; null if none.
-
-    The screen side has one row per screen, so a screen with very many points
-    is split by the adaptive skew join.
-    """
+    """First element (id order) whose box contains the point; null if none."""
     hits = F.filter("elements", lambda e: _inside(e, F.col(x), F.col(y)))
-    return points.join(packed, "screen_id", "left").withColumn(
+    return split_join(points, packed, ["screen_id"], how="left").withColumn(
         "element_id", F.try_element_at(hits, F.lit(1))["element_id"]
     ).drop("elements")
 
@@ -228,7 +225,8 @@ def resolve_target(requests: DataFrame, packed: DataFrame) -> DataFrame:
         .when(tx.isNull() | ty.isNull(), F.lit(None))
         .otherwise(F.coalesce(F.try_element_at(inside, F.lit(1))["element_id"], nearest["element_id"]))
     )
-    return requests.join(packed, "screen_id", "left").withColumn("resolved_id", chosen).drop("elements")
+    joined = split_join(requests, packed, ["screen_id"], how="left")
+    return joined.withColumn("resolved_id", chosen).drop("elements")
 
 
 def append_region(elements: DataFrame, regions: DataFrame) -> DataFrame:
@@ -265,7 +263,7 @@ def aoi_hits(fixations: DataFrame, packed: DataFrame) -> DataFrame:
         F.filter("elements", lambda e: _inside(e, F.col("x"), F.col("y"))),
         lambda e: e["element_id"],
     )
-    return fixations.join(packed, "screen_id", "left").withColumn(
+    return split_join(fixations, packed, ["screen_id"], how="left").withColumn(
         "element_id", F.explode_outer(hits)
     ).drop("elements")
 
@@ -412,7 +410,9 @@ def union_area(rects: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
     )
     crowded = packed.filter(F.size("_b") > direct).select("screen_id")
     tiled = (
-        tile_coverage(filled.join(crowded, "screen_id", "left_semi"), ["screen_id"], 16, 60)
+        tile_coverage(
+            split_join(filled, crowded, ["screen_id"], how="left_semi"), ["screen_id"], 16, 60
+        )
         .groupBy("screen_id")
         .agg(F.sum("covered").alias("covered"))
     )
@@ -421,7 +421,7 @@ def union_area(rects: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
 
 def whitespace(elements: DataFrame, screens: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
     """1 - union of the element boxes / image area, exact to the pixel."""
-    placed = elements.join(screens.select("screen_id", "img_w", "img_h"), "screen_id")
+    placed = split_join(elements, screens.select("screen_id", "img_w", "img_h"), ["screen_id"])
     rects = placed.select(
         "screen_id",
         F.greatest(F.lit(0), "y").alias("r0"),
@@ -445,7 +445,7 @@ def occupancy(
     and united. Empty cells are not listed.
     """
     n = grid * sub
-    placed = elements.join(screens.select("screen_id", "img_w", "img_h"), "screen_id")
+    placed = split_join(elements, screens.select("screen_id", "img_w", "img_h"), ["screen_id"])
     x0, y0 = F.greatest(F.lit(0), "x"), F.greatest(F.lit(0), "y")
     x1 = F.least(F.col("x") + F.col("w"), "img_w")
     y1 = F.least(F.col("y") + F.col("h"), "img_h")

@@ -214,22 +214,23 @@ def band_entropy(coefficients: DataFrame, keys: Sequence[str], value: str = "val
     band give zero.
     """
     keys = list(keys)
-    stats = coefficients.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    # Equal coefficients (runs of zeros above all) shrink to one row first.
+    values = coefficients.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    stats = values.groupBy(*keys).agg(
+        F.sum("_w").alias("_n"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(value).alias("_lo"),
+        F.max(value).alias("_hi"),
     )
     rows = split_join(
-        coefficients,
-        stats.select(*keys, F.col("n").alias("_n"), "_lo", "_hi"),
-        keys,
-        [value],
-        counts=stats.select(*keys, "n"),
+        values, stats.drop("n"), keys, [value], counts=stats.select(*keys, "n")
     )
     bins = F.ceil(F.sqrt("_n"))
     width = F.col("_hi") - F.col("_lo")
     place = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) * (bins - 1) / width)).otherwise(
         F.lit(0)
     )
-    hist = rows.groupBy(*keys, place.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = rows.groupBy(*keys, place.alias("_bin")).agg(F.sum("_w").alias("_c"))
     per = hist.groupBy(*keys).agg(
         F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.ln(F.col("_c").cast("double"))).alias("_s")
     )

@@ -4,7 +4,8 @@
 value range into buckets of bounded size and adds up counts inside a bucket and
 over the earlier buckets. The bucket borders are approximate quantiles: only
 their number, not the data, reaches the driver, and they affect the balance of
-the work, never the result.
+the work, never the result. They are taken over the distinct values, so a value
+that makes up most rows cannot push all others into one bucket.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocuspark.operators.lineage import cut as cut_lineage
+
 ALL = Window.unboundedPreceding
 
 
@@ -41,12 +44,12 @@ def cumulative(
         buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = list(groups)
     names = list(weights)
-    distinct = (
+    distinct = cut_lineage(
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias(value))
         .agg(*[F.sum(c).alias(n) for n, c in weights.items()])
     )
-    borders = _borders(df.select(F.col(value).cast("double").alias(value)), value, buckets)
+    borders = _borders(distinct, value, buckets)
     cut = Bucketizer(splits=borders, inputCol=value, outputCol="_bucket", handleInvalid="keep")
     rows = cut.transform(distinct)
     per_bucket = rows.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(f"_{n}") for n in names])

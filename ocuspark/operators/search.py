@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import clip
 from ocuspark.operators import ordered, ranks
+from ocuspark.operators.skew import split_join
 
 # ---- Fixed values -------------------------------------------------------
 W_FEATURE, W_TARGET, W_SALIENCY, SALIENCY_EXPONENT = 1.1, 0.45, 0.8, 2.0
@@ -286,7 +287,7 @@ def element_saliency(
     fy = F.col("map_h") / F.col("img_h")
     x0 = F.least(F.greatest(F.floor(F.col("x") * fx), F.lit(0)), F.col("map_w") - 1)
     y0 = F.least(F.greatest(F.floor(F.col("y") * fy), F.lit(0)), F.col("map_h") - 1)
-    boxes = elements.join(s, "screen_id").select(
+    boxes = split_join(elements, s, ["screen_id"]).select(
         "screen_id",
         "element_id",
         x0.alias("x0"),

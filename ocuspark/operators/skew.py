@@ -12,20 +12,23 @@ def split_join(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
-    spread: Sequence[str],
+    spread: Sequence[str] | None = None,
     counts: DataFrame | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Join many rows per key (``big``) with one row per key (``small``).
 
     A key with more than a fair partition's share of ``big`` is cut into as many
-    pieces as it holds shares, by a hash of the ``spread`` columns, and its
+    pieces as it holds shares, by a hash of the ``spread`` columns (all plain
+    columns unless given; the hash keeps retried tasks consistent), and its
     ``small`` row is repeated once per piece. With P shuffle partitions at most
     P keys can exceed a share, and the pieces add up to at most 2 P, so the
     broadcast table of hot keys is bounded by P rows whatever the data size.
     ``counts`` (keys, n) may be passed when it is known already.
     """
     keys = list(keys)
+    if spread is None:
+        spread = [c for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct"))]
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -34,11 +37,11 @@ def split_join(
     hot = (
         sized.join(F.broadcast(total), "_k")
         .filter(F.col("_n") * parts > F.col("_total"))
-        .select(*keys, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("_pieces"))
+        .select(*keys, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("_splits"))
     )
     hot = F.broadcast(hot)
-    piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int"), F.lit(0))
-    left = big.join(hot, keys, "left").withColumn("_piece", piece).drop("_pieces")
-    copies = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
-    right = small.join(hot, keys, "left").withColumn("_piece", F.explode(copies)).drop("_pieces")
-    return left.join(right, [*keys, "_piece"], how).drop("_piece")
+    piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_splits")).cast("int"), F.lit(0))
+    left = big.join(hot, keys, "left").withColumn("_split", piece).drop("_splits")
+    copies = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
+    right = small.join(hot, keys, "left").withColumn("_split", F.explode(copies)).drop("_splits")
+    return left.join(right, [*keys, "_split"], how).drop("_split")

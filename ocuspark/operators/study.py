@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ocuspark.functions.columns import clip
 from ocuspark.operators import ranks
+from ocuspark.operators.skew import split_join
 
 # Trial metrics, condition levels and published effect ratios.
 METRICS = ["total_num_fixations", "mean_fixation_duration", "fixation_frequency"]
@@ -139,7 +140,7 @@ def images_with_both(trials: DataFrame) -> DataFrame:
         .agg(F.min("cognitive_load").alias("_a"), F.max("cognitive_load").alias("_b"))
         .filter(F.col("_a") != F.col("_b"))
     )
-    return trials.join(both, "image_name", "left_semi")
+    return split_join(trials, both.select("image_name"), ["image_name"], how="left_semi")
 
 
 def paired(image_means: DataFrame, metric: str, first: str, second: str) -> DataFrame:
@@ -326,10 +327,11 @@ def fuzzy_match(stems: DataFrame, names: DataFrame) -> DataFrame:
         )
         return df.select(text, F.explode(F.array_distinct(cuts)).alias("_piece"))
 
-    in_name = windows(n, "name", lengths(s, "stem")).join(
-        s.withColumnRenamed("stem", "_piece"), "_piece"
+    # A short stem can occur in very many names (and the other way round).
+    in_name = split_join(
+        windows(n, "name", lengths(s, "stem")), s.withColumnRenamed("stem", "_piece"), ["_piece"]
     ).select(F.col("_piece").alias("stem"), "name")
-    in_stem = windows(s, "stem", lengths(n, "name")).join(
-        n.withColumnRenamed("name", "_piece"), "_piece"
+    in_stem = split_join(
+        windows(s, "stem", lengths(n, "name")), n.withColumnRenamed("name", "_piece"), ["_piece"]
     ).select("stem", F.col("_piece").alias("name"))
     return in_name.unionByName(in_stem).groupBy("stem").agg(F.min("name").alias("name"))
