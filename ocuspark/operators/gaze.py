@@ -28,7 +28,6 @@ SMOOTH_SIGMA_SQ2 = 128.0
 
 KEY = ["recording_id"]
 ORDER = ["device_us", "sample_id"]
-CHUNK_US = 600_000_000  # ten minutes: 150 000 rows at 250 Hz
 
 # Rows of context still valid on either side of a block after each stage.
 HALO, HALO_REPAIRED, HALO_MOTION, HALO_EVENTS, HALO_SMOOTH, HALO_STEP = 16, 13, 12, 7, 2, 1
@@ -39,15 +38,13 @@ def valid_eye(df: DataFrame) -> DataFrame:
     return df.filter((F.col("left_valid") == 1) | (F.col("right_valid") == 1))
 
 
-def _numbered(df: DataFrame, chunk_us: int, mins=None) -> DataFrame:
-    chunk = F.floor(F.col("device_us") / chunk_us).cast("bigint")
-    return ordered.number_rows(df, KEY, ORDER, chunk, mins)
+def _numbered(df: DataFrame, mins=None) -> DataFrame:
+    return ordered.number_rows(df, KEY, ORDER, mins=mins)
 
 
 def merge_eyes(
     df: DataFrame,
     carry_forward: bool = False,
-    chunk_us: int = CHUNK_US,
     block_rows: int = ordered.BLOCK_ROWS,
 ) -> DataFrame:
     """One gaze point per sample: mean of both eyes, or the eye that is there.
@@ -68,7 +65,7 @@ def merge_eyes(
     if not carry_forward:
         return merged
     defined = both | no_left | no_right
-    blocks = ordered.with_halo(cut(_numbered(merged, chunk_us)), 1, block_rows)
+    blocks = ordered.with_halo(cut(_numbered(merged)), 1, block_rows)
     last = F.when(defined, F.struct("rn", "gaze_x", "gaze_y"))
     return (
         ordered.running(blocks, KEY, {"_last": ("max", last)})
@@ -91,17 +88,17 @@ def to_pixels(df: DataFrame, width: int = DISPLAY[0], height: int = DISPLAY[1])
     )
 
 
-def with_position(df: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+def with_position(df: DataFrame) -> DataFrame:
     """Add ``rn`` and ``t_ms``, the time since the first retained sample."""
-    numbered = _numbered(df, chunk_us, {"_t0": F.col("device_us")})
+    numbered = _numbered(df, {"_t0": F.col("device_us")})
     return numbered.withColumn("t_ms", F.col("device_us") / 1000 - F.col("_t0") / 1000).drop("_t0")
 
 
-def pixel_points(samples: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+def pixel_points(samples: DataFrame) -> DataFrame:
     """Merge, filter, scale and number the samples (no repair yet)."""
     points = to_pixels(on_screen(merge_eyes(samples)))
     points = points.drop("left_x", "left_y", "right_x", "right_y", "gaze_x", "gaze_y")
-    return with_position(points, chunk_us)
+    return with_position(points)
 
 
 def _repair(c: str, threshold: float) -> Column:
@@ -373,19 +370,15 @@ def fixation_summary(points: DataFrame, fix: DataFrame) -> DataFrame:
     )
 
 
-def clean_signal(
-    samples: DataFrame, chunk_us: int = CHUNK_US, block_rows: int = ordered.BLOCK_ROWS
-) -> DataFrame:
+def clean_signal(samples: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Samples -> repaired, timed signal with velocity (blocked, halo included)."""
-    blocks = blocked(pixel_points(samples, chunk_us), block_rows)
+    blocks = blocked(pixel_points(samples), block_rows)
     return add_motion(repair_outliers(blocks, block_rows), block_rows)
 
 
-def detect_fixations(
-    samples: DataFrame, chunk_us: int = CHUNK_US, block_rows: int = ordered.BLOCK_ROWS
-) -> DataFrame:
+def detect_fixations(samples: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """The whole chain: clean, label, smooth, group into fixations."""
-    signal = cut(clean_signal(samples, chunk_us, block_rows))
+    signal = cut(clean_signal(samples, block_rows))
     labelled = cut(label_events(signal, block_rows))
     smoothed = cut(smooth(labelled, block_rows))
     return fixations(smoothed, "sx", "sy", block_rows=block_rows)

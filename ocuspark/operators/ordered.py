@@ -5,8 +5,8 @@ a single recording that holds a third of the rows would stall the job. Here a
 series is cut into blocks of a fixed number of rows:
 
 1. ``number_rows`` gives every row its position in the series. Row numbers are
-   taken inside time chunks and shifted by the sizes of the earlier chunks
-   (one small row per chunk).
+   taken inside order chunks of bounded size and shifted by the sizes of the
+   earlier chunks (one small row per chunk).
 2. ``with_halo`` assigns rows to blocks and copies the few rows on either side
    of a block boundary to the neighbour, so bounded look-around (lag, lead,
    seven-sample medians) needs only ``(key, block)`` windows.
@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ocuspark.operators.buckets import add_order_chunk
+
 BLOCK_ROWS = 100_000
 ALL_BEFORE = Window.unboundedPreceding
 
@@ -32,16 +34,20 @@ def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None = None,
     mins: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``rn`` (1-based position within the key) and per-key minima.
 
-    ``chunk`` must be non-decreasing in ``order`` and bound the rows of a key
-    that share a value, e.g. ten minutes of a 250 Hz device.
+    Chunks are quantile buckets of the (numeric) order columns, so a chunk of one
+    key holds at most about one partition's share of all rows. A ``chunk``
+    expression that is non-decreasing in ``order`` may be given instead.
     """
     mins = mins or {}
-    chunked = df.withColumn("_chunk", chunk)
+    if chunk is None:
+        chunked = add_order_chunk(df, order[0], order[1] if len(order) > 1 else None, "_chunk")
+    else:
+        chunked = df.withColumn("_chunk", chunk)
     sizes = chunked.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m_{n}") for n, c in mins.items()]
     )

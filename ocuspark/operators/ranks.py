@@ -12,21 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ocuspark.operators.lineage import cut as cut_lineage
+from ocuspark.operators.buckets import add_bucket, borders, bucket_count
+from ocuspark.operators.lineage import cut
 
 ALL = Window.unboundedPreceding
 
 
-def _borders(df: DataFrame, value: str, buckets: int) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(value, probs, 10 * buckets)).first()[0] or []
-    return [float("-inf"), *sorted(set(found)), float("inf")]
-
-
 def cumulative(
     df: DataFrame,
     groups: Sequence[str],
@@ -41,17 +35,15 @@ def cumulative(
     Null values are left out.
     """
     if buckets is None:
-        buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        buckets = bucket_count(df)
     groups = list(groups)
     names = list(weights)
-    distinct = cut_lineage(
+    distinct = cut(
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias(value))
         .agg(*[F.sum(c).alias(n) for n, c in weights.items()])
     )
-    borders = _borders(distinct, value, buckets)
-    cut = Bucketizer(splits=borders, inputCol=value, outputCol="_bucket", handleInvalid="keep")
-    rows = cut.transform(distinct)
+    rows = add_bucket(distinct, value, borders(distinct, value, buckets), "_bucket")
     per_bucket = rows.groupBy(*groups, "_bucket").agg(*[F.sum(n).alias(f"_{n}") for n in names])
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_bucket").rowsBetween(ALL, -1)

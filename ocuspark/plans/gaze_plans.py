@@ -9,10 +9,6 @@ from ocuspark.operators import gaze, ordered
 from ocuspark.operators.lineage import cut
 from ocuspark.plans.registry import query
 
-# Chunk and block sizes for the compressed clocks of the test tables. They are
-# small so that the test data really crosses chunk and block borders.
-CHUNK_US, BLOCK_ROWS = 500_000, 64
-
 POINTS = """
 WITH merged AS (SELECT *,
     CASE WHEN left_x IS NOT NULL AND left_y IS NOT NULL AND right_x IS NOT NULL AND right_y IS NOT NULL
@@ -170,7 +166,7 @@ SELECT recording_id, sample_id, round(q.x, 6) AS gaze_x, round(q.y, 6) AS gaze_y
     ("gaze_samples",),
 )
 def _(t):
-    merged = gaze.merge_eyes(t["gaze_samples"], True, CHUNK_US, BLOCK_ROWS)
+    merged = gaze.merge_eyes(t["gaze_samples"], True)
     return merged.select(
         "recording_id", "sample_id", r6("gaze_x").alias("gaze_x"), r6("gaze_y").alias("gaze_y")
     )
@@ -192,7 +188,7 @@ def _(t):
     ("gaze_samples",),
 )
 def _(t):
-    p = gaze.pixel_points(t["gaze_samples"], CHUNK_US)
+    p = gaze.pixel_points(t["gaze_samples"])
     return p.select("recording_id", "sample_id", "rn", "px", "py", r6("t_ms").alias("t_ms"))
 
 
@@ -202,8 +198,8 @@ def _(t):
     ("gaze_samples",),
 )
 def _(t):
-    blocks = gaze.blocked(gaze.pixel_points(t["gaze_samples"], CHUNK_US), BLOCK_ROWS)
-    return gaze.repair_outliers(blocks, BLOCK_ROWS).filter("own").select("recording_id", "sample_id", "px", "py")
+    blocks = gaze.blocked(gaze.pixel_points(t["gaze_samples"]))
+    return gaze.repair_outliers(blocks).filter("own").select("recording_id", "sample_id", "px", "py")
 
 
 @query(
@@ -212,7 +208,7 @@ def _(t):
     ("gaze_samples",),
 )
 def _(t):
-    signal = gaze.clean_signal(t["gaze_samples"], CHUNK_US, BLOCK_ROWS)
+    signal = gaze.clean_signal(t["gaze_samples"])
     return signal.filter("own").select(
         "recording_id", "sample_id", r6("isd_ms").alias("isd_ms"), r6("velocity").alias("velocity"), "gap"
     )
@@ -224,8 +220,8 @@ def _(t):
     ("fast_gaze_samples",),
 )
 def _(t):
-    signal = cut(gaze.clean_signal(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS))
-    return gaze.label_events(signal, BLOCK_ROWS).filter("own").select("recording_id", "sample_id", "event")
+    signal = cut(gaze.clean_signal(t["fast_gaze_samples"]))
+    return gaze.label_events(signal).filter("own").select("recording_id", "sample_id", "event")
 
 
 @query(
@@ -234,8 +230,8 @@ def _(t):
     ("fast_gaze_samples",),
 )
 def _(t):
-    signal = cut(gaze.clean_signal(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS))
-    out = gaze.smooth(gaze.label_events(signal, BLOCK_ROWS), BLOCK_ROWS)
+    signal = cut(gaze.clean_signal(t["fast_gaze_samples"]))
+    out = gaze.smooth(gaze.label_events(signal))
     return out.filter("own").select("recording_id", "sample_id", r6("sx").alias("sx"), r6("sy").alias("sy"))
 
 
@@ -245,9 +241,9 @@ def _(t):
     ("gaze_samples",),
 )
 def _(t):
-    points = cut(gaze.pixel_points(t["gaze_samples"], CHUNK_US))
-    blocks = ordered.with_halo(points, 2, BLOCK_ROWS)
-    return _fix_columns(gaze.fixations(blocks, block_rows=BLOCK_ROWS))
+    points = cut(gaze.pixel_points(t["gaze_samples"]))
+    blocks = ordered.with_halo(points, 2)
+    return _fix_columns(gaze.fixations(blocks))
 
 
 @query(
@@ -256,7 +252,7 @@ def _(t):
     ("fast_gaze_samples",),
 )
 def _(t):
-    return _fix_columns(gaze.detect_fixations(t["fast_gaze_samples"], CHUNK_US, BLOCK_ROWS))
+    return _fix_columns(gaze.detect_fixations(t["fast_gaze_samples"]))
 
 
 SUMMARY = """SELECT s.recording_id, coalesce(f.n, 0) AS n_fixations,
@@ -274,9 +270,9 @@ LEFT JOIN (SELECT recording_id, count(*) AS n, sum(duration_ms) AS total FROM fi
 )
 def fixation_summary(t):
     # The points feed the summary, the blocks and their carries: written once.
-    points = cut(gaze.pixel_points(t["gaze_samples"], CHUNK_US))
-    blocks = ordered.with_halo(points, 2, BLOCK_ROWS)
-    out = gaze.fixation_summary(points, gaze.fixations(blocks, block_rows=BLOCK_ROWS))
+    points = cut(gaze.pixel_points(t["gaze_samples"]))
+    blocks = ordered.with_halo(points, 2)
+    out = gaze.fixation_summary(points, gaze.fixations(blocks))
     return out.select(
         "recording_id", "n_fixations", *[r6(c).alias(c) for c in out.columns[2:]]
     )

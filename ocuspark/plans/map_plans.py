@@ -645,7 +645,7 @@ def _(t):
     ("scan_steps",),
 )
 def _(t):
-    out = search.cumulative_scanpath(t["scan_steps"], block_rows=16)
+    out = search.cumulative_scanpath(t["scan_steps"])
     return out.select(
         "scan_id", "step_ord", r6("step_time_s").alias("step_time_s"), r6("t_cumulative_s").alias("t_cumulative_s"), "is_target"
     )
@@ -675,4 +675,4 @@ def _(t):
     ("scan_steps",),
 )
 def _(t):
-    return search.glance_metrics(t["scan_steps"], block_rows=16, digits=6)
+    return search.glance_metrics(t["scan_steps"], digits=6)

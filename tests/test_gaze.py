@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ocuspark.operators import gaze, ordered
+from ocuspark.operators.buckets import add_order_chunk
 from ocuspark.streaming.live import label_run
 
 
@@ -110,7 +111,20 @@ def trace_rows():
 @pytest.fixture(scope="module")
 def numbered(spark, trace_rows):
     df = spark.createDataFrame(trace_rows, SCHEMA)
-    return gaze.with_position(df, chunk_us=700_000).checkpoint()
+    return gaze.with_position(df).checkpoint()
+
+
+def test_one_timestamp_for_most_samples(spark):
+    """A timestamp that fills many buckets is cut by the sample id."""
+    rows = [(1, i, 5_000, 0.0, 0.0, 0.0, None) for i in range(400)]
+    rows += [(1, i, 9_000 - i, 0.0, 0.0, 0.0, None) for i in range(400, 450)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = [r[1] for r in sorted(rows, key=lambda r: (r[2], r[1]))]
+    got = gaze.with_position(df).orderBy("rn").collect()
+    assert [r.sample_id for r in got] == want
+    assert [r.rn for r in got] == list(range(1, 451))
+    chunks = add_order_chunk(df, "device_us", "sample_id", "c").groupBy("c").count()
+    assert chunks.agg(F.max("count")).first()[0] < 250
 
 
 def by_recording(rows):
