@@ -6,6 +6,7 @@ from ocuspark.plans import (  # noqa: F401
     map_plans,
     ml_plans,
     scoring_plans,
+    source_plans,
     stream_plans,
     study_plans,
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ocuspark.plans.gaze_plans import POINTS
+from ocuspark.plans.gaze_plans import EVENTS, MOTION, POINTS, _fix_sql
 from ocuspark.plans.registry import query
 from ocuspark.sources import adapters
 from ocuspark.streaming import live
@@ -36,12 +36,30 @@ def _(t):
     return live.run_available(points)
 
 
-@query("stream_live_fixations", None)
+# A detector finishes what is open when the watermark (two seconds behind the
+# latest sample, in whole milliseconds) passes a second after the last sample.
+@query(
+    "stream_live_fixations",
+    POINTS.replace("@samples@", "gaze_samples") + _fix_sql("points", "px", "py").replace("HAVING", """, recording_id, fixation_id
+      HAVING (max(rn) < (SELECT max(rn) FROM points p WHERE p.recording_id = islands.recording_id)
+        OR max(device_us) // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM points)) AND""").replace(
+        "min(t_ms) AS start_ms, max(t_ms) AS end_ms", "min(device_us) AS start_us, max(device_us) AS end_us")
+    + "SELECT recording_id, start_us, end_us, n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM fix",
+    G,
+)
 def _(t):
-    return live.run_available(live.live_fixations(live.clean(_samples(t))))
+    fixations = live.run_available(live.live_fixations(live.clean(_samples(t))))
+    return fixations.withColumns({c: F.round(c, 6) for c in ("mean_x", "mean_y")})
 
 
-@query("stream_live_events", None)
+@query(
+    "stream_live_events",
+    """WITH gaps AS (SELECT user_id AS recording_id, event_id AS sample_id, epoch_us(ts) AS device_us, value AS velocity,
+      CASE WHEN event_id % 17 = 0 THEN 'Blink_End' END AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+      count(*) OVER (PARTITION BY user_id) AS n, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS last FROM events)"""
+    + EVENTS[len(MOTION):] + """SELECT recording_id, sample_id, device_us, event FROM events_labelled
+      WHERE rn <= n - 3 OR last // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM gaps)""",
+)
 def _(t):
     # A stand-in signal: the value column as velocity, no gaps.
     e = _events(t).select(
@@ -105,11 +123,15 @@ def _(t):
     return _rates(t, "2 hours", "1 hour")
 
 
-@query("stream_unique_uploads", None)
+@query(
+    "stream_unique_uploads",
+    "SELECT DISTINCT sha256(concat_ws('|', user_id, event_type)) AS sha256 FROM events",
+)
 def _(t):
     e = _events(t).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("event_time"),
         F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("sha256"),
     )
-    return live.run_available(live.unique_uploads(e.withWatermark("event_time", "1 hour")))
+    uploads = live.unique_uploads(e.withWatermark("event_time", "1 hour"))
+    return live.run_available(uploads).select("sha256")
