@@ -234,13 +234,10 @@ def block_ablation(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
 def marginal_gains(ablation: DataFrame) -> DataFrame:
     """Gain of each block: full model minus the model without it."""
     drop = F.create_map(*[F.lit(v) for v in ("s+h", "v", "v+h", "s", "v+s", "h")])
-    full = ablation.filter(F.col("blocks") == "v+s+h").select(
-        F.col("cv_r2_mean").alias("_full"), F.lit(1).alias("_k")
-    )
+    full = ablation.filter(F.col("blocks") == "v+s+h").select("cv_r2_mean").scalar()
     return (
-        ablation.withColumns({"block": F.element_at(drop, F.col("blocks")), "_k": F.lit(1)})
+        ablation.withColumns({"block": F.element_at(drop, F.col("blocks")), "_full": full})
         .filter(F.col("block").isNotNull())
-        .join(full, "_k")
         .select("block", F.round(F.col("_full") - F.col("cv_r2_mean"), 4).alias("gain"))
     )
 

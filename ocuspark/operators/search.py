@@ -68,25 +68,23 @@ def practice_curve(trials: DataFrame) -> DataFrame:
         F.avg("mean_search_time_s").alias("_m"), F.count(F.lit(1)).alias("n_layouts")
     )
     ends = curve.agg(
-        F.min_by("_m", "n_exposures").alias("novice_search_time_s"),
-        F.max_by("_m", "n_exposures").alias("expert_search_time_s"),
-    ).withColumn("_k", F.lit(1))
-    novice, expert = F.col("novice_search_time_s"), F.col("expert_search_time_s")
-    return (
-        curve.withColumn("_k", F.lit(1))
-        .join(ends, "_k")
-        .select(
-            "n_exposures",
-            "n_layouts",
-            F.col("_m").alias("mean_search_time_s"),
-            F.round(F.ln(F.col("n_exposures")), 4).alias("memory_activation"),
-            difficulty(F.col("_m")).alias("predicted_difficulty"),
-            novice.alias("novice_search_time_s"),
-            expert.alias("expert_search_time_s"),
-            F.when(novice > 0, clip((novice - expert) / novice, 0, 1))
-            .otherwise(F.lit(0.0))
-            .alias("search_time_reduction"),
+        F.struct(
+            F.min_by("_m", "n_exposures").alias("novice"),
+            F.max_by("_m", "n_exposures").alias("expert"),
         )
+    ).scalar()
+    novice, expert = F.col("_ends.novice"), F.col("_ends.expert")
+    return curve.withColumn("_ends", ends).select(
+        "n_exposures",
+        "n_layouts",
+        F.col("_m").alias("mean_search_time_s"),
+        F.round(F.ln(F.col("n_exposures")), 4).alias("memory_activation"),
+        difficulty(F.col("_m")).alias("predicted_difficulty"),
+        novice.alias("novice_search_time_s"),
+        expert.alias("expert_search_time_s"),
+        F.when(novice > 0, clip((novice - expert) / novice, 0, 1))
+        .otherwise(F.lit(0.0))
+        .alias("search_time_reduction"),
     )
 
 
@@ -107,9 +105,10 @@ def product_learning(products: DataFrame, practice: DataFrame, uses=(1, 10, 100)
     beyond its ends. ``benefit`` is the share of time saved at the largest use
     count against a product without transfer between its screens.
     """
+    # One entry per exposure level: a handful.
     points = practice.agg(
-        F.array_sort(F.collect_list(F.struct("n_exposures", "mean_search_time_s"))).alias("_curve")
-    ).withColumn("_k", F.lit(1))
+        F.array_sort(F.collect_list(F.struct("n_exposures", "mean_search_time_s")))
+    ).scalar()
 
     def at(exposures: Column) -> Column:
         n = F.greatest(F.lit(1.0), F.bround(exposures))
@@ -125,9 +124,7 @@ def product_learning(products: DataFrame, practice: DataFrame, uses=(1, 10, 100)
         )
 
     last = float(max(uses))
-    joined = (
-        effective_exposures(products, uses).withColumn("_k", F.lit(1)).join(points, "_k").drop("_k")
-    )
+    joined = effective_exposures(products, uses).withColumn("_curve", points)
     c = clip("consistency_score", 0, 1)
     steady = at(last * (c + (1.0 - c) / F.col("n_screens")))
     alone = at(last / F.col("n_screens"))

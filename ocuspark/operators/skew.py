@@ -32,10 +32,10 @@ def split_join(
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    sized = counts.select(*keys, F.col("n").alias("_n"), F.lit(1).alias("_k"))
-    total = sized.groupBy("_k").agg(F.sum("_n").alias("_total"))
+    # The total is a scalar subquery: computed once, used as a constant.
+    total = counts.agg(F.sum("n")).scalar()
     hot = (
-        sized.join(F.broadcast(total), "_k")
+        counts.select(*keys, F.col("n").alias("_n"), total.alias("_total"))
         .filter(F.col("_n") * parts > F.col("_total"))
         .select(*keys, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("_splits"))
     )

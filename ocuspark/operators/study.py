@@ -69,8 +69,7 @@ def sensitivity_ratio(wide: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, column: str, groups: list[str] | None = None) -> DataFrame:
     """count, mean, std (ddof 1), min, exact quartiles, max (one row per group)."""
-    if not groups:
-        return describe(df.withColumn("_all", F.lit(1)), column, ["_all"]).drop("_all")
+    groups = groups or []
     stats = df.groupBy(*groups).agg(
         F.count(column).alias("n"),
         F.avg(column).alias("mean"),
@@ -78,7 +77,13 @@ def describe(df: DataFrame, column: str, groups: list[str] | None = None) -> Dat
         F.min(column).alias("min"),
         F.max(column).alias("max"),
     )
-    return stats.join(ranks.exact_quantiles(df, groups, column, [0.25, 0.5, 0.75]), groups, "left")
+    quartiles = ranks.exact_quantiles(df, groups, column, [0.25, 0.5, 0.75])
+    if groups:
+        return stats.join(quartiles, groups, "left")
+    row = quartiles.select(F.struct("*")).scalar()
+    names = ["p25", "p50", "p75"]
+    with_row = stats.withColumn("_q", row)
+    return with_row.select("*", *[F.col(f"_q.{n}").alias(n) for n in names]).drop("_q")
 
 
 def sensitivity_lookup(trials: DataFrame) -> DataFrame:
@@ -247,13 +252,9 @@ def hypothesis_report(image_means: DataFrame) -> DataFrame:
         ("H2", "mean_fixation_duration", "increase"),
     ):
         main = paired_test(paired(image_means, metric, "Absent", "High"))
-        extra = paired_test(paired(image_means, metric, "Low", "High")).select(
+        low = paired_test(paired(image_means, metric, "Low", "High"))
+        row = main.withColumn("_low", low.select(F.struct("t_statistic", "df")).scalar()).select(
             F.lit(name).alias("hypothesis"),
-            F.col("t_statistic").alias("t_low_vs_high"),
-            F.col("df").alias("_df_low"),
-        )
-        row = main.withColumn("hypothesis", F.lit(name)).join(extra, "hypothesis").select(
-            "hypothesis",
             F.lit(metric).alias("metric"),
             F.lit(direction).alias("direction"),
             F.col("n").alias("n_images"),
@@ -264,8 +265,8 @@ def hypothesis_report(image_means: DataFrame) -> DataFrame:
             "df",
             "cohens_d",
             "effect_size",
-            "t_low_vs_high",
-            "_df_low",
+            F.col("_low.t_statistic").alias("t_low_vs_high"),
+            F.col("_low.df").alias("_df_low"),
         )
         rows = row if rows is None else rows.unionByName(row)
     return (
