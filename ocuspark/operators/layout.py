@@ -312,12 +312,13 @@ def word_count(text: str) -> Column:
 
 def element_texts(boxes: DataFrame, packed: DataFrame) -> DataFrame:
     """Words and reading seconds per element that carries text."""
-    usable = boxes.filter(
-        (F.col("conf") >= MIN_TEXT_CONFIDENCE) & (word_count("text") > 0)
-    ).withColumn("_words", word_count("text"))
-    hit = hit_first(usable.drop("text"), packed).filter(F.col("element_id").isNotNull())
+    # Words are counted once per text; blank boxes add nothing to their element.
+    usable = boxes.filter(F.col("conf") >= MIN_TEXT_CONFIDENCE).select(
+        "screen_id", "cx", "cy", word_count("text").alias("_words")
+    )
+    hit = hit_first(usable, packed).filter(F.col("element_id").isNotNull())
     words = hit.groupBy("screen_id", "element_id").agg(F.sum("_words").alias("n_words"))
-    return words.withColumn(
+    return words.filter(F.col("n_words") > 0).withColumn(
         "reading_time_s", F.round(F.col("n_words") / (WORDS_PER_MINUTE / 60.0), 3)
     )
 
