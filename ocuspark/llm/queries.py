@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocuspark.llm import quality, simhash
-from ocuspark.llm.text import held_out, table
+from ocuspark.llm import mixing, quality, simhash, substring
+from ocuspark.llm.text import held_out, table, word_array
 
 QUERIES = {}
 CHECKS: dict[str, str] = {}
@@ -27,6 +27,27 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("kept", F.array_join(word_array(F.col("text")), " "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+CHECKS["op4_sainte_lague_mix"] = (
+    "SELECT doc_id, size, source_size, target, taken FROM ("
+    + mixing.check_sql(f"SELECT doc_id, source, CAST({WORDS_SQL} AS BIGINT) AS size FROM documents")
+    + ") m"
+)
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
