@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ocuspark.llm.text import word_array, word_count, written
 
 SEED = "mix-1"
-BLOCK_WORDS = 64  # at most; a hundredth of the smallest source if that is less
+BLOCK_WORDS = 64  # at most; a thousandth of the smallest source if that is less
 SHARD_DOCS = 50_000
 CAP = 3
 
@@ -48,7 +48,7 @@ sources AS (
   SELECT source, sum(cell_size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS pos
   FROM cells GROUP BY source),
 block AS (
-  SELECT greatest(1, least(@block_words@, coalesce(min(source_size), 1) // 100)) AS b FROM sources WHERE source_size > 0),
+  SELECT greatest(1, least(@block_words@, coalesce(min(source_size), 1) // 1000)) AS b FROM sources WHERE source_size > 0),
 weighed AS (
   SELECT *, (pos - 1) % 3 + 1 AS weight, CAST(@cap@ * source_size AS DOUBLE) / ((pos - 1) % 3 + 1) AS level FROM sources),
 filling AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocuspark.llm import mixing, quality, simhash, substring
+from ocuspark.llm import mixing, pieces, quality, simhash, substring
 from ocuspark.llm.text import held_out, table, word_array
 
 QUERIES = {}
@@ -48,6 +48,11 @@ CHECKS["op4_sainte_lague_mix"] = (
 )
 
 
+@query
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.default_vocabulary(spark))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
