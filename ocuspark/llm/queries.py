@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocuspark.llm import mixing, pieces, quality, simhash, substring
-from ocuspark.llm.text import held_out, table, word_array
+from ocuspark.llm import imatch, mixing, pieces, quality, simhash, substring, toxicity
+from ocuspark.llm.text import held_out, table
 
 QUERIES = {}
 CHECKS: dict[str, str] = {}
@@ -29,9 +29,8 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
-    kept = F.coalesce("kept", F.array_join(word_array(F.col("text")), " "))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"), keep=False, digest=True)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query
@@ -48,6 +47,21 @@ CHECKS["op4_sainte_lague_mix"] = (
 )
 
 
+@query
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.default_vocabulary(spark))
