@@ -3,7 +3,7 @@
 The kernel of two words sums over their common subsequences of LENGTH characters
 the products of decay ** gaps, where a subsequence may spread over SPAN
 characters, so inserted characters lower a match instead of losing it. Words are
-lower-cased, get a start mark, and runs of one-letter words are read as one word.
+lower-cased, get marks of start and end, and runs of one-letter words are read as one word.
 Nystrom landmarks (words of both classes) give features K(x, L) K(L, L)^-1/2 for a
 linear machine with hinge loss. Its decision is linear in the subsequences, so
 the landmarks collapse into one table of subsequence weights, and a word costs
@@ -22,8 +22,10 @@ value; without labels of both classes every score is the base rate.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +33,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocuspark.llm.quality import logistic_fit
-from ocuspark.llm.text import U64, held_out, mix
+from ocuspark.llm.text import U64, held_out, mix, written
 
-LENGTH, SPAN, DECAY = 3, 6, 0.6
+LENGTH, SPAN, DECAY = 4, 7, 0.6
 LONGEST = 24  # longer words are read in overlapping pieces of this length
-LANDMARKS = 96
+LANDMARKS = 360
+SHARE = 0.015  # of toxic documents that a word must be found in to be taught as toxic
 FLOOR = -2.0  # decision value of a text without words
 KNOWN_WORDS = 400_000  # decision values a worker keeps
 
-_SHAPE = [(j, k, DECAY ** (k - LENGTH + 1)) for k in range(2, SPAN) for j in range(1, k)]
+#: Offsets of the later characters of a subsequence.
+_SHAPES = [(*inner, last) for last in range(LENGTH - 1, SPAN) for inner in combinations(range(1, last), LENGTH - 2)]
+_STEP = 0x9E3779B97F4A7C15
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and weights of the subsequences of words of one length (a row each)."""
     n = len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n).astype(np.int64)
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n).astype(U64) + U64(1)
     out, weight = [], []
-    for j, k, w in _SHAPE:
-        if n > k:
-            out.append((codes[:, : n - k] << 42) | (codes[:, j : n - k + j] << 21) | codes[:, k:])
-            weight.append(np.full(n - k, w))
+    for shape in _SHAPES:
+        if n > shape[-1]:
+            state = letters[:, : n - shape[-1]]
+            for at in shape:
+                state = state * U64(_STEP) + letters[:, at : n - shape[-1] + at]
+            out.append(state)
+            weight.append(np.full(n - shape[-1], DECAY ** (shape[-1] - LENGTH + 1)))
     if not out:
         return np.zeros((len(words), 0), dtype=np.int64), np.zeros(0)
-    return np.concatenate(out, axis=1), np.concatenate(weight)
+    # A free slot of the weight table is -1; codes are never negative.
+    return (mix(np.concatenate(out, axis=1)) >> U64(1)).astype(np.int64), np.concatenate(weight)
 
 
 def _norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -68,9 +77,11 @@ def _norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _marked(word: str) -> str:
-    return "^" + word if len(word) >= LENGTH - 1 else "^" + word + "$" * (LENGTH - 1 - len(word))
+    """The word between marks of its start and its end."""
+    return "^" + word + "$" * max(1, LENGTH - 1 - len(word))
 
 
+@lru_cache(maxsize=60_000)
 def _profile(word: str) -> dict[int, float]:
     codes, weight = subsequences([_marked(word)])
     out: dict[int, float] = {}
@@ -80,9 +91,21 @@ def _profile(word: str) -> dict[int, float]:
     return {c: v / norm for c, v in out.items()}
 
 
-def kernel(a: list[dict[int, float]], b: list[dict[int, float]]) -> np.ndarray:
-    """Normalised kernel of two lists of profiles."""
-    return np.array([[sum(v * y.get(c, 0.0) for c, v in x.items()) for y in b] for x in a]).reshape(len(a), len(b))
+def kernel(a: list[dict[int, float]], b: list[dict[int, float]], block: int = 1000) -> np.ndarray:
+    """Normalised kernel of two lists of profiles, over the subsequences that b has."""
+    place = {c: i for i, c in enumerate(sorted({c for profile in b for c in profile}))}
+
+    def dense(part: list[dict[int, float]]) -> np.ndarray:
+        out = np.zeros((len(part), len(place)), dtype=np.float32)
+        for i, profile in enumerate(part):
+            known = [(place[c], v) for c, v in profile.items() if c in place]
+            if known:
+                at, values = zip(*known)
+                out[i, list(at)] = values
+        return out
+
+    right = dense(b).T
+    return np.concatenate([dense(a[i : i + block]) @ right for i in range(0, len(a), block)] or [np.zeros((0, len(b)))]).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -193,60 +216,66 @@ def _variants(word: str, turn: int) -> list[str]:
     return [word, word[:at] + "-*_.x"[turn % 5] + word[at:], ".-*_"[turn % 4].join(word)]
 
 
-def train_words(positive: list[str], negative: list[str], seed: int = 7) -> tuple[dict[int, float], float]:
-    """Subsequence weights and offset of the machine on Nystrom features."""
-    rng = np.random.default_rng(seed)
-    words = [(v, 1.0) for i, w in enumerate(positive) for v in _variants(w, i)]
-    words += [(v, -1.0) for i, w in enumerate(negative) for v in (_variants(w, i) if i % 4 == 0 else [w])]
-    marks = [positive[i] for i in rng.permutation(len(positive))[: LANDMARKS * 2 // 3]]
-    marks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
-    land = [_profile(w) for w in marks]
-    values, vectors = np.linalg.eigh(kernel(land, land) + 1e-6 * np.eye(len(land)))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    table: dict[int, int] = {}
-    for p in land:
-        for c in p:
-            table.setdefault(c, len(table))
-    dense = np.zeros((len(table), len(land)))
-    for j, p in enumerate(land):
-        for c, v in p.items():
-            dense[table[c], j] = v
-    rows = np.zeros((len(words), len(table)), dtype=np.float32)
-    for i, (w, _) in enumerate(words):
-        for c, v in _profile(w).items():
-            if c in table:
-                rows[i, table[c]] = v
-    z = (rows @ dense.astype(np.float32)) @ root
-    z = np.column_stack([z, np.ones(len(z))])
-    y = np.array([s for _, s in words])
-    cost = np.where(y > 0, len(y) / (2.0 * (y > 0).sum()), len(y) / (2.0 * (y < 0).sum()))
-    w, lam = np.zeros(z.shape[1]), 1e-4
-    keep = np.ones(len(y), dtype=bool)
-    for stage in range(2):  # positives that look like clean words are chance; the second round does without
-        w[:] = 0.0
-        average, step = np.zeros_like(w), 0
-        for epoch in range(30):
-            order = rng.permutation(np.flatnonzero(keep))
-            for i in range(0, len(order), 64):
-                step += 1
-                rate = 1.0 / (lam * (step + 1000))
-                b = order[i : i + 64]
-                inside = y[b] * (z[b] @ w) < 1
-                push = ((cost[b] * y[b])[:, None] * z[b])[inside].sum(axis=0) / 64
-                pull = lam * w
-                pull[-1] = 0.0
-                w += rate * (push - pull) if rate < 10 else 10 * (push - pull)
-            if epoch >= 20:
-                average += w / 10
-        w = average
-        keep = (y < 0) | (z @ w > 0)
-        if not (keep & (y > 0)).any():
+def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of the linear machine with squared hinge loss, by Newton steps over the rows inside the margin."""
+    pull = ridge * np.eye(z.shape[1])
+    pull[-1, -1] = 1e-6
+    w = np.zeros(z.shape[1])
+    inside = np.ones(len(y), dtype=bool)
+    for _ in range(60):
+        part = z[inside] * cost[inside, None]
+        new = np.linalg.solve(pull + part.T @ z[inside], part.T @ y[inside])
+        w, before = (new + w) / 2 if _ > 20 else new, inside
+        inside = y * (z @ w) < 1
+        if (inside == before).all():
             break
-    alpha = root @ w[:-1]
-    return {c: float(dense[i] @ alpha) for c, i in table.items()}, float(w[-1])
+    return w
+
 
+Miner = Callable[[dict[int, float], float], list[str]]
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, documents: int = 6000, positives: int = 400, negatives: int = 6000) -> ToxicityModel:
+
+def train_words(positive: list[str], negative: list[str], mine: Miner | None = None, rounds: int = 3, seed: int = 7) -> tuple[dict[int, float], float]:
+    """Subsequence weights and offset of the machine on Nystrom features.
+
+    After each round ``mine`` gives the clean words that the machine so far holds
+    most toxic; they become negatives and landmarks of the next.
+    """
+    rng = np.random.default_rng(seed)
+    hard: list[str] = []
+    table: dict[int, float] = {}
+    offset = 0.0
+    for _ in range(rounds if mine else 1):
+        words = [(v, 1.0) for i, w in enumerate(positive) for v in _variants(w, i)]
+        words += [(v, -1.0) for i, w in enumerate(negative) for v in (_variants(w, i) if i % 4 == 0 else [w])]
+        words += [(w, -1.0) for w in hard]
+        marks = positive[: LANDMARKS * 4 // 9]
+        marks = marks + hard[-LANDMARKS // 3 :]
+        marks += [negative[i] for i in sorted(rng.permutation(len(negative))[: LANDMARKS - len(marks)])]
+        land = [_profile(w) for w in marks]
+        values, vectors = np.linalg.eigh(kernel(land, land))
+        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+        z = kernel([_profile(w) for w, _ in words], land) @ root
+        z = np.column_stack([z, np.ones(len(z))])
+        y = np.array([s for _, s in words])
+        cost = np.where(y > 0, len(y) / (2.0 * (y > 0).sum()), len(y) / (2.0 * (y < 0).sum()))
+        cost[len(y) - len(hard) :] *= 4.0
+        w = _machine(z, y, cost)
+        # Positives that look like clean words are there by chance; the second fit does without.
+        keep = (y < 0) | (z @ w > 0)
+        if (keep & (y > 0)).any():
+            w = _machine(z[keep], y[keep], cost[keep])
+        alpha = root @ w[:-1]
+        table, offset = {}, float(w[-1])
+        for a, profile in zip(alpha, land):
+            for c, v in profile.items():
+                table[c] = table.get(c, 0.0) + float(a * v)
+        if mine:
+            hard += [w for w in mine(table, offset) if w not in hard]
+    return table, offset
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, documents: int = 6000, positives: int = 400, negatives: int = 9000, hard: int = 300) -> ToxicityModel:
     """The machine and its calibration from labelled documents that are not held out."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -265,16 +294,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, documents: int = 6000, posi
         .groupBy("word")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
     )
-    odds = F.col("t") / (F.col("n") + 0.5)
-    bad = counts.filter((F.col("t") >= 3) & (F.col("n") * 20 <= F.col("t"))).orderBy(odds.desc(), "word").limit(positives)
-    clean = counts.filter("t <= n AND n > 0").orderBy(F.xxhash64("word")).limit(negatives)
+    counts = written(counts, "toxicity-words")
+    # A word of one group of near copies is no evidence: it must come in SHARE of the toxic documents.
+    toxic = known.filter("toxic = 1").dropDuplicates(["text"]).count()
+    bad = counts.filter((F.col("t") >= max(3, SHARE * toxic)) & (F.col("n") * 20 <= F.col("t"))).orderBy(F.col("t").desc(), "word").limit(positives)
+    clean_words = counts.filter("t <= n AND n > 0").select("word", "n")
+    clean = clean_words
+    usual = clean.orderBy(F.col("n").desc(), "word").limit(negatives // 3)
+    clean = usual.unionAll(clean.orderBy(F.xxhash64("word")).limit(negatives - negatives // 3))
     positive = [r["word"] for r in bad.select("word").collect()]
     negative = [r["word"] for r in clean.select("word").collect()]
     if not positive or not negative:
         share = known.agg(F.sum("toxic"), F.count(F.lit(1))).first()
         base = np.log(((share[0] or 0) + 1.0) / (share[1] - (share[0] or 0) + 1.0))
         return ToxicityModel(*_hash_table({}), FLOOR, (0.0, 0.0, float(base)))
-    weights, offset = train_words(positive, negative)
+    def mine(weights: dict[int, float], offset: float) -> list[str]:
+        model = ToxicityModel(*_hash_table(weights), offset, (0.0, 0.0, 0.0))
+        scored = _worst(clean_words.withColumnRenamed("word", "text").withColumn("word", F.col("text")).select("word", "text"), model)
+        return [r["word"] for r in scored.orderBy(F.col("worst").desc(), "word").limit(hard).collect()]
+
+    weights, offset = train_words(positive, negative, mine)
     bare = ToxicityModel(*_hash_table(weights), offset, (0.0, 0.0, 0.0))
     rows = _worst(known, bare).select("worst", "second", "toxic").collect()
     values = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, 3)
