@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocuspark.llm import imatch, mixing, pieces, quality, simhash, substring, toxicity
+from ocuspark.llm import imatch, licenses, mixing, pieces, quality, simhash, substring, toxicity
 from ocuspark.llm.text import held_out, table
 
 QUERIES = {}
@@ -62,6 +62,12 @@ def op6_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit_licences(docs))
+
+
 @query
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.default_vocabulary(spark))
