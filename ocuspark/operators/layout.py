@@ -181,14 +181,22 @@ def detect(candidates: DataFrame) -> DataFrame:
     return described.join(suppress_overlaps(described), ["screen_id", "element_id"], "left_semi")
 
 
-def pack(elements: DataFrame, *extra: str) -> DataFrame:
-    """One row per screen with its (at most 80) elements in id order."""
+MOST_PACKED = 10_000  # elements of one screen held in one row
+
+
+def pack(elements: DataFrame, *extra: str, most: int = MOST_PACKED) -> DataFrame:
+    """One row per screen with all its elements in id order.
+
+    The cap on detected elements belongs to ``detect``; what a user adds later
+    stays. A table with over ``most`` elements for one screen raises an error.
+    """
     fields = ["element_id", "x", "y", "w", "h", "cx", "cy", "area", "color", *extra]
-    return (
-        largest_elements(elements)
-        .groupBy("screen_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("elements"))
+    rows = elements.groupBy("screen_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct(*fields))).alias("elements")
     )
+    message = F.concat(F.lit(f"more than {most} elements on screen "), F.col("screen_id").cast("string"))
+    fine = F.when(F.col("_n") <= most, F.col("elements")).otherwise(F.raise_error(message))
+    return rows.select("screen_id", fine.alias("elements"))
 
 
 def _inside(e: Column, px: Column, py: Column) -> Column:

@@ -245,7 +245,8 @@ def shuffled_auc(df: DataFrame, pred: str = "pred", fix: str = "gt") -> DataFram
     """
     own = (F.col(fix) > 0).cast("bigint")
     places = df.groupBy(*CELL).agg(F.sum(own).alias("_all"))
-    rows = df.join(places, CELL).withColumns({"_pos": own, "_neg": F.col("_all") - own})
+    # Few positions, any number of maps: the map spreads a position over tasks.
+    rows = split_join(df, places, CELL, KEY).withColumns({"_pos": own, "_neg": F.col("_all") - own})
     ranked = ranks.cumulative(rows, KEY, pred, {"pos": F.col("_pos"), "neg": F.col("_neg")})
     per = ranked.groupBy(*KEY).agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("_wins"),

@@ -133,16 +133,28 @@ def scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
 # ---- Ridge from sums of products -----------------------------------------
 
 
+def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    return {c: row[c] or 0.0 for c in columns}
+
+
 def fold_moments(
-    df: DataFrame, features: Sequence[str], targets: Sequence[str], fold: Column
+    df: DataFrame,
+    features: Sequence[str],
+    targets: Sequence[str],
+    fold: Column,
+    centre: dict[str, float] | None = None,
 ) -> dict[int, np.ndarray]:
     """Per fold the matrix of sums of products of (1, features, targets).
 
+    Columns are taken from ``centre`` (0 unless given). With their means as
+    centre no digits are lost when means are large; R2 does not depend on it.
     Each task multiplies its own batches; what is shuffled is one matrix per
     task and fold, added up by (fold, row, column).
     """
     names = [*features, *targets]
     width = len(names) + 1
+    centre = {c: 0.0 for c in names} | (centre or {})
 
     def partial(batches):
         for pdf in batches:
@@ -153,7 +165,7 @@ def fold_moments(
                 yield pd.DataFrame({"fold": int(k), "i": i, "j": j, "v": g[i, j]})
 
     cells = (
-        df.select(fold.alias("_fold"), *[F.col(c).cast("double").alias(c) for c in names])
+        df.select(fold.alias("_fold"), *[(F.col(c).cast("double") - F.lit(centre[c])).alias(c) for c in names])
         .mapInPandas(partial, "fold int, i int, j int, v double")
         .groupBy("fold", "i", "j")
         .agg(F.sum("v").alias("v"))
@@ -210,14 +222,14 @@ def _cv_scores(moments, n_features: int, columns) -> list[float]:
 
 def cross_validate(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
     """Ridge R2 per fold (uniform average over the outputs), scaler inside."""
-    m = fold_moments(df, FEATURES, TARGETS, fold_of(key, folds))
+    m = fold_moments(df, FEATURES, TARGETS, fold_of(key, folds), means(df, [*FEATURES, *TARGETS]))
     rows = [(k, s) for k, s in enumerate(_cv_scores(m, len(FEATURES), range(len(FEATURES))))]
     return df.sparkSession.createDataFrame(rows, "fold int, r2 double")
 
 
 def block_ablation(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
     """Cross-validated R2 for all non-empty combinations of the blocks, best first."""
-    m = fold_moments(df, FEATURES, TARGETS, fold_of(key, folds))
+    m = fold_moments(df, FEATURES, TARGETS, fold_of(key, folds), means(df, [*FEATURES, *TARGETS]))
     rows = []
     for size in range(1, len(BLOCKS) + 1):
         for combo in combinations(BLOCKS, size):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.operators.buckets import add_bucket, borders, bucket_count
 from ocuspark.operators.lineage import cut
+from ocuspark.operators.skew import split_join
 
 ALL = Window.unboundedPreceding
 
@@ -112,5 +113,6 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     rx = average_ranks(pairs, x).withColumnRenamed("rank", "_rx")
     ry = average_ranks(pairs, y).withColumnRenamed("rank", "_ry")
-    ranked = pairs.join(rx, x).join(ry, y)
+    # A tied value may hold a large share of the rows; the other column spreads it.
+    ranked = split_join(split_join(pairs, rx, [x], [y]), ry, [y], [x])
     return ranked.agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))

@@ -185,16 +185,19 @@ def target_deviation(targets: DataFrame) -> DataFrame:
 def median_trial(trials: DataFrame, keys=("screen_id", "target_id", "n_exposures")) -> DataFrame:
     """The representative trial: row n // 2 by (fixation count, trial number).
 
-    Both sort keys are packed into one number and ranked without collecting a
-    target's trials in one task (exact for trial numbers below 2^31).
+    Ranked by fixation count first, then by trial number among the trials with
+    the chosen count; no target's trials are collected in one task.
     """
-    keyed = trials.withColumn("_key", F.col("n_fixations") * F.lit(2.0**31) + F.col("trial"))
-    ranked = ranks.cumulative(keyed, list(keys), "_key", {"n": F.lit(1)})
+    on = list(keys)
+    counts = ranks.cumulative(trials, on, "n_fixations", {"n": F.lit(1)})
     middle = F.floor(F.col("n_total") / 2)
-    pick = ranked.filter(
-        (F.col("n_before") <= middle) & (middle < F.col("n_before") + F.col("n"))
-    ).select(*keys, "_key")
-    return keyed.join(pick, [*keys, "_key"]).drop("_key")
+    inside = (F.col("n_before") <= middle) & (middle < F.col("n_before") + F.col("n"))
+    chosen = counts.filter(inside).select(*on, "n_fixations", (middle - F.col("n_before")).alias("_place"))
+    tied = split_join(trials, chosen, [*on, "n_fixations"])
+    order = ranks.cumulative(tied, on, "trial", {"n": F.lit(1), "place": F.col("_place")})
+    place = F.col("place") / F.col("n")
+    pick = order.filter((F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))).select(*on, "trial")
+    return tied.join(pick, [*on, "trial"], "left_semi").select(*trials.columns)
 
 
 def cumulative_scanpath(steps: DataFrame, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:

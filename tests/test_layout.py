@@ -143,3 +143,22 @@ def test_union_area_equals_raster(spark, direct):
     df = spark.createDataFrame(rows, "screen_id long, r0 int, r1 int, c0 int, c1 int")
     got = {r.screen_id: r.covered for r in layout.union_area(df, direct).collect()}
     assert {s: n for s, n in want.items() if n} == got
+
+
+def test_packed_screens_keep_every_element(spark):
+    """80 large boxes and one small region: the region resolves, and rates the others."""
+    from ocuspark.operators import search
+
+    boxes = [(1, i, 20 * i, 20 * i, 30, 30, "red") for i in range(80)] + [(1, 80, 5000, 5000, 2, 2, "blue")]
+    packed = layout.pack(elements(spark, boxes))
+    assert packed.selectExpr("size(elements)").first()[0] == 81
+    req = spark.createDataFrame(
+        [(1, 1, 80, None, None), (2, 1, None, 5001, 5001)], "request_id long, screen_id long, target_id long, target_x int, target_y int"
+    )
+    assert {r.resolved_id for r in layout.resolve_target(req, packed).collect()} == {80}
+    target = spark.createDataFrame([(1, 80)], "screen_id long, target_id long")
+    assert search.target_similarity(packed, target).count() == 81
+    look = spark.createDataFrame([(1, 5001, 5001, 40.0)], "screen_id long, x int, y int, duration_ms double")
+    assert [r.element_id for r in layout.aoi_hits(look, packed).collect()] == [80]
+    with pytest.raises(Exception, match="more than 10 elements"):
+        layout.pack(elements(spark, boxes), most=10).collect()

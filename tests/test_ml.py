@@ -85,3 +85,20 @@ def test_predictions_are_clipped_and_padded(table):
     for t, (lo, hi) in ml.TARGET_RANGE.items():
         row = out.agg(F.min(f"pred_{t}"), F.max(f"pred_{t}")).first()
         assert lo <= row[0] and row[1] <= hi
+
+
+def test_cross_validation_does_not_depend_on_the_mean(spark):
+    import numpy as np
+
+    from ocuspark.operators import ml
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, len(ml.FEATURES)))
+    y = np.column_stack([x[:, k] + 0.1 * rng.normal(size=400) for k in range(len(ml.TARGETS))])
+    names = [*ml.FEATURES, *ml.TARGETS]
+    scores = []
+    for mean in (0.0, 1e8):
+        rows = [(str(i), *map(float, np.concatenate([a + mean, b]))) for i, (a, b) in enumerate(zip(x, y))]
+        df = spark.createDataFrame(rows, ["image_name", *names])
+        scores.append([r.r2 for r in ml.cross_validate(df, "image_name").orderBy("fold").collect()])
+    assert np.allclose(scores[0], scores[1], atol=1e-5) and min(scores[0]) > 0.9

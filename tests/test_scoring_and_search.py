@@ -180,3 +180,11 @@ def test_quantile_rule_matches_numpy(spark):
     r = norms.feature_norms(df, ["a"]).first()
     assert [r.p5, r.p50, r.p95] == pytest.approx(list(np.percentile(v, [5, 50, 95])))
     assert r["std"] == pytest.approx(v.std(ddof=1))
+
+
+def test_median_trial_with_many_fixations(spark):
+    """Counts from 2^22 on and equal counts are told apart by the trial number."""
+    rows = [(1, 1, 0, t, 2**23) for t in range(3)] + [(2, 1, 0, t, n) for t, n in enumerate([5, 2**40, 2**40 + 1, 2**40, 9])]
+    df = spark.createDataFrame(rows, "screen_id long, target_id long, n_exposures long, trial long, n_fixations long")
+    got = {r.screen_id: r.trial for r in search.median_trial(df).collect()}
+    assert got == {1: 1, 2: 1} and search.median_trial(df).count() == 2
