@@ -25,6 +25,8 @@ all: targets and takes are 0. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,92 +34,95 @@ from ocuspark.llm.text import word_array, word_count, written
 
 SEED = "mix-1"
 BLOCK_WORDS = 64  # at most; a thousandth of the smallest source if that is less
-SHARD_DOCS = 50_000
+SHARD_DOCS = 5_000
 CAP = 3
 
-#: Over a table ``sized`` (doc_id, source, size). ``//`` is integer division.
-MIX_SQL = """
-WITH keyed AS (
-  SELECT doc_id, source, size@tie@, md5(concat('@seed@:', coalesce(CAST(doc_id AS VARCHAR(20)), ''))) AS turn FROM sized),
-scale AS (
-  SELECT (count(*) + @shard_docs@ - 1) // @shard_docs@ AS shards, coalesce(sum(size), 0) AS words FROM keyed),
-cells AS (
+#: Steps over a table ``sized`` (doc_id, source, size), each over those before. ``//`` is integer division.
+STEPS = [
+    ("keyed", """
+  SELECT doc_id, source, size@tie@, md5(concat('@seed@:', coalesce(CAST(doc_id AS VARCHAR(20)), ''))) AS turn FROM sized"""),
+    ("scale", """
+  SELECT (count(*) + @shard_docs@ - 1) // @shard_docs@ AS shards, coalesce(sum(size), 0) AS words FROM keyed"""),
+    ("cells", """
   SELECT source, @hex@substr(turn, 1, 12)@xeh@ % (SELECT greatest(shards, 1) FROM scale) AS shard, sum(size) AS cell_size
-  FROM keyed GROUP BY 1, 2),
-sources AS (
+  FROM keyed GROUP BY 1, 2"""),
+    ("sources", """
   SELECT source, sum(cell_size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS pos
-  FROM cells GROUP BY source),
-block AS (
-  SELECT greatest(1, least(@block_words@, coalesce(min(source_size), 1) // 1000)) AS b FROM sources WHERE source_size > 0),
-weighed AS (
-  SELECT *, (pos - 1) % 3 + 1 AS weight, CAST(@cap@ * source_size AS DOUBLE) / ((pos - 1) % 3 + 1) AS level FROM sources),
-filling AS (
+  FROM cells GROUP BY source"""),
+    ("block", """
+  SELECT greatest(1, least(@block_words@, coalesce(min(source_size), 1) // 1000)) AS b FROM sources WHERE source_size > 0"""),
+    ("weighed", """
+  SELECT *, (pos - 1) % 3 + 1 AS weight, CAST(@cap@ * source_size AS DOUBLE) / ((pos - 1) % 3 + 1) AS level FROM sources"""),
+    ("filling", """
   SELECT *, coalesce(sum(@cap@ * source_size) OVER (ORDER BY level, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
     sum(weight) OVER (ORDER BY level, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
-  FROM weighed),
-judged AS (
+  FROM weighed"""),
+    ("judged", """
   SELECT f.*, CAST(weight * (words - below) AS DOUBLE) / rest >= @cap@ * source_size AS capped, words
-  FROM filling f CROSS JOIN scale),
-water AS (
+  FROM filling f CROSS JOIN scale"""),
+    ("water", """
   SELECT coalesce(sum(CASE WHEN capped THEN @cap@ * source_size END), 0) AS used, sum(CASE WHEN capped THEN 0 ELSE weight END) AS thirst
-  FROM judged),
-targets AS (
+  FROM judged"""),
+    ("targets", """
   SELECT source, source_size, pos, words,
     CASE WHEN capped THEN CAST(@cap@ * source_size AS DOUBLE) ELSE CAST(weight * (words - used) AS DOUBLE) / thirst END AS target
-  FROM judged CROSS JOIN water),
-first_quota AS (
-  SELECT t.*, b, CAST(floor(target / b + 0.5e0) AS BIGINT) AS quota, (2 * words + b) // (2 * b) AS seats FROM targets t CROSS JOIN block),
-missing AS (
-  SELECT *, seats - sum(quota) OVER () AS gap, count(*) OVER () AS parties FROM first_quota),
-steps AS (
+  FROM judged CROSS JOIN water"""),
+    ("first_quota", """
+  SELECT t.*, b, CAST(floor(target / b + 0.5e0) AS BIGINT) AS quota, (2 * words + b) // (2 * b) AS seats FROM targets t CROSS JOIN block"""),
+    ("missing", """
+  SELECT *, seats - sum(quota) OVER () AS gap, count(*) OVER () AS parties FROM first_quota"""),
+    ("steps", """
   SELECT source, pos, target, quota, gap, @explode@(sequence_up) AS step FROM (
     SELECT *, @sequence@(1, 2 + CAST(floor(target * (abs(gap) + parties) / greatest(words, 1)) AS BIGINT)) AS sequence_up FROM missing) m
-  WHERE gap <> 0),
-ranked AS (
+  WHERE gap <> 0"""),
+    ("ranked", """
   SELECT pos, gap, row_number() OVER (ORDER BY CASE WHEN gap > 0 THEN -target / (2 * (quota + step) - 1) ELSE target / (2 * (quota - step) + 1) END, pos, step) AS place
-  FROM steps WHERE gap > 0 OR step <= quota),
-changes AS (
-  SELECT pos, sum(CASE WHEN gap > 0 THEN 1 ELSE -1 END) AS change FROM ranked WHERE place <= abs(gap) GROUP BY pos),
-quotas AS (
-  SELECT m.source, m.source_size, m.target, m.b, m.quota + coalesce(c.change, 0) AS quota FROM missing m LEFT JOIN changes c ON m.pos = c.pos),
-cell_first AS (
+  FROM steps WHERE gap > 0 OR step <= quota"""),
+    ("changes", """
+  SELECT pos, sum(CASE WHEN gap > 0 THEN 1 ELSE -1 END) AS change FROM ranked WHERE place <= abs(gap) GROUP BY pos"""),
+    ("quotas", """
+  SELECT m.source, m.source_size, m.target, m.b, m.quota + coalesce(c.change, 0) AS quota FROM missing m LEFT JOIN changes c ON m.pos = c.pos"""),
+    ("cell_first", """
   SELECT c.source, c.shard, c.cell_size, q.source_size, q.target, q.b, q.quota AS seats,
     CASE WHEN q.source_size = 0 THEN 0 ELSE CAST(floor(c.cell_size * (CAST(q.quota AS DOUBLE) / q.source_size) + 0.5e0) AS BIGINT) END AS quota
-  FROM cells c JOIN quotas q ON c.source IS NOT DISTINCT FROM q.source),
-cell_missing AS (
-  SELECT *, seats - sum(quota) OVER (PARTITION BY source) AS gap, count(*) OVER (PARTITION BY source) AS parties FROM cell_first),
-cell_steps AS (
+  FROM cells c JOIN quotas q ON c.source IS NOT DISTINCT FROM q.source"""),
+    ("cell_missing", """
+  SELECT *, seats - sum(quota) OVER (PARTITION BY source) AS gap, count(*) OVER (PARTITION BY source) AS parties FROM cell_first"""),
+    ("cell_steps", """
   SELECT source, shard, cell_size, quota, gap, @explode@(sequence_up) AS step FROM (
     SELECT *, @sequence@(1, 2 + CAST(floor(CAST(cell_size AS DOUBLE) * (abs(gap) + parties) / greatest(source_size, 1)) AS BIGINT)) AS sequence_up FROM cell_missing) m
-  WHERE gap <> 0 AND source_size > 0),
-cell_ranked AS (
+  WHERE gap <> 0 AND source_size > 0"""),
+    ("cell_ranked", """
   SELECT source, shard, gap, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN gap > 0 THEN -CAST(cell_size AS DOUBLE) / (2 * (quota + step) - 1)
     ELSE CAST(cell_size AS DOUBLE) / (2 * (quota - step) + 1) END, shard, step) AS place
-  FROM cell_steps WHERE gap > 0 OR step <= quota),
-cell_changes AS (
-  SELECT source, shard, sum(CASE WHEN gap > 0 THEN 1 ELSE -1 END) AS change FROM cell_ranked WHERE place <= abs(gap) GROUP BY source, shard),
-cell_quotas AS (
+  FROM cell_steps WHERE gap > 0 OR step <= quota"""),
+    ("cell_changes", """
+  SELECT source, shard, sum(CASE WHEN gap > 0 THEN 1 ELSE -1 END) AS change FROM cell_ranked WHERE place <= abs(gap) GROUP BY source, shard"""),
+    ("cell_quotas", """
   SELECT m.source, m.shard, m.source_size, m.target, m.b, greatest(1, (m.cell_size + m.b - 1) // m.b) AS n,
     least(m.quota + coalesce(c.change, 0), @cap@ * ((m.cell_size + m.b - 1) // m.b)) AS quota,
     @hex@substr(md5(concat('@seed@:', coalesce(m.source, ''), ':', CAST(m.shard AS VARCHAR(20)))), 1, 12)@xeh@ AS start
-  FROM cell_missing m LEFT JOIN cell_changes c ON m.source IS NOT DISTINCT FROM c.source AND m.shard = c.shard),
-placed AS (
-  SELECT *, @hex@substr(turn, 1, 12)@xeh@ % (SELECT greatest(shards, 1) FROM scale) AS shard FROM keyed),
-streamed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY turn, size, doc_id@tie@ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place FROM placed),
-cut AS (
+  FROM cell_missing m LEFT JOIN cell_changes c ON m.source IS NOT DISTINCT FROM c.source AND m.shard = c.shard"""),
+    ("placed", """
+  SELECT *, @hex@substr(turn, 1, 12)@xeh@ % (SELECT greatest(shards, 1) FROM scale) AS shard FROM keyed"""),
+    ("streamed", """
+  SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY turn, size, doc_id@tie@ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place FROM placed"""),
+    ("cut", """
   SELECT s.doc_id, s.source, s.size@s_tie@, q.source_size, q.target, s.place, q.b, q.n, q.quota // q.n AS every, q.quota % q.n AS extra, q.start % q.n AS start
-  FROM streamed s JOIN cell_quotas q ON s.source IS NOT DISTINCT FROM q.source AND s.shard = q.shard),
-ends AS (
-  SELECT *, place // b AS j0, (place + size) // b AS j1 FROM cut),
-counted AS (
+  FROM streamed s JOIN cell_quotas q ON s.source IS NOT DISTINCT FROM q.source AND s.shard = q.shard"""),
+    ("ends", """
+  SELECT *, place // b AS j0, (place + size) // b AS j1 FROM cut"""),
+    ("counted", """
   SELECT *, (j0 * extra + start) // n AS c0, ((j0 + 1) * extra + start) // n AS d0,
-    (j1 * extra + start) // n AS c1, ((j1 + 1) * extra + start) // n AS d1 FROM ends)
-SELECT doc_id, source, size@tie@, CAST(source_size AS BIGINT) AS source_size, target,
+    (j1 * extra + start) // n AS c1, ((j1 + 1) * extra + start) // n AS d1 FROM ends"""),
+    ("mixed", """
+  SELECT doc_id, source, size@tie@, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(every * size + b * (c1 - c0) + (place + size - j1 * b) * (d1 - c1) - (place - j0 * b) * (d0 - c0) AS BIGINT) AS taken,
   place, b, n, every, extra, start
-FROM counted
-"""
+FROM counted"""),
+]
+#: Small tables, and rows of documents, that several later steps read.
+WRITTEN = {"cells", "judged", "targets", "missing", "quotas", "cell_missing", "cell_quotas"}
 
 
 def _filled(sql: str, **other: str) -> str:
@@ -129,8 +134,9 @@ def _filled(sql: str, **other: str) -> str:
 
 def check_sql(sized: str) -> str:
     """The same mix in the checking engine's SQL, over a query that gives doc_id, source, size."""
-    body = _filled(MIX_SQL, explode="unnest", sequence="generate_series", hex="CAST(concat('0x', ", xeh=") AS BIGINT)", tie="", s_tie="").strip()
-    return body.replace("WITH keyed", f"WITH sized AS ({sized}),\nkeyed", 1)
+    spelled = {"explode": "unnest", "sequence": "generate_series", "hex": "CAST(concat('0x', ", "xeh": ") AS BIGINT)", "tie": "", "s_tie": ""}
+    steps = [("sized", sized), *((name, _filled(sql, **spelled)) for name, sql in STEPS)]
+    return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in steps) + "\nSELECT * FROM mixed"
 
 
 def _sized(docs: DataFrame, prefix: str = "") -> list:
@@ -146,10 +152,16 @@ def _sized(docs: DataFrame, prefix: str = "") -> list:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and the block pattern at its place, of every document."""
-    sized = written(docs.select(*_sized(docs)), "mix-sized")
+    spark = docs.sparkSession
     spelled = {"explode": "explode", "sequence": "sequence", "hex": "CAST(conv(", "xeh": ", 16, 10) AS BIGINT)", "tie": ", tie", "s_tie": ", s.tie"}
-    sql = _filled(MIX_SQL, **spelled).replace("//", "div").replace("FROM sized", "FROM {sized}")
-    return docs.sparkSession.sql(sql, sized=sized)
+    tables = {"sized": written(docs.select(*_sized(docs)), "mix-sized")}
+    for name, sql in STEPS:
+        known = "|".join(tables)
+        sql = re.sub(rf"\b(FROM|JOIN) ({known})\b", r"\1 {\2}", _filled(sql, **spelled).replace("//", "div"))
+        used = {t: df for t, df in tables.items() if "{%s}" % t in sql}
+        made = spark.sql(sql, **used)
+        tables[name] = written(made, f"mix-{name}") if name in WRITTEN else made
+    return tables["mixed"]
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
