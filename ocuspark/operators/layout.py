@@ -240,11 +240,15 @@ def resolve_target(requests: DataFrame, packed: DataFrame) -> DataFrame:
 def append_region(elements: DataFrame, regions: DataFrame) -> DataFrame:
     """Add a user-drawn region per screen as one more element (id = max + 1).
 
-    The region is clamped to the image and at least one pixel wide and high.
+    The region is clamped to the image and at least one pixel wide and high. Its
+    colour (hue_deg, sat, val) and contrast_ratio are those measured in the drawn
+    box, as columns of ``regions``. The result is described like detected
+    elements, so it can be packed, resolved and rated.
     """
     nxt = elements.groupBy("screen_id").agg((F.max("element_id") + 1).alias("_next"))
     x = F.greatest(F.lit(0), F.least(F.col("region_x"), F.col("img_w") - 1)).cast("int")
     y = F.greatest(F.lit(0), F.least(F.col("region_y"), F.col("img_h") - 1)).cast("int")
+    measured = ["hue_deg", "sat", "val", "contrast_ratio"]
     placed = regions.join(nxt, "screen_id", "left").select(
         "screen_id",
         F.coalesce("_next", F.lit(0)).cast("bigint").alias("element_id"),
@@ -252,17 +256,20 @@ def append_region(elements: DataFrame, regions: DataFrame) -> DataFrame:
         y.alias("y"),
         F.greatest(F.lit(1), F.least(F.col("region_w"), F.col("img_w") - x)).cast("int").alias("w"),
         F.greatest(F.lit(1), F.least(F.col("region_h"), F.col("img_h") - y)).cast("int").alias("h"),
+        *measured,
         F.lit(True).alias("is_user_region"),
     )
-    return elements.select(
+    detected = elements.select(
         "screen_id",
         F.col("element_id").cast("bigint").alias("element_id"),
         "x",
         "y",
         "w",
         "h",
+        *measured,
         F.lit(False).alias("is_user_region"),
-    ).unionByName(placed)
+    )
+    return describe_elements(detected.unionByName(placed))
 
 
 def aoi_hits(fixations: DataFrame, packed: DataFrame) -> DataFrame:

@@ -58,14 +58,16 @@ def layout_summary(targets: DataFrame, keys=("screen_id",)) -> DataFrame:
 
 
 def practice_curve(trials: DataFrame) -> DataFrame:
-    """Per exposure level: mean layout time, ln(n), and the novice/expert summary.
+    """Per exposure level: mean layout time and spread, ln(n), and the novice/expert summary.
 
     The levels are few, so the window over them holds a handful of rows.
     """
     targets = target_summary(trials, ("n_exposures", "screen_id", "target_id"))
     layouts = layout_summary(targets, ("n_exposures", "screen_id"))
     curve = layouts.groupBy("n_exposures").agg(
-        F.avg("mean_search_time_s").alias("_m"), F.count(F.lit(1)).alias("n_layouts")
+        F.avg("mean_search_time_s").alias("_m"),
+        F.avg("search_time_std_s").alias("search_time_std_s"),
+        F.count(F.lit(1)).alias("n_layouts"),
     )
     ends = curve.agg(
         F.struct(
@@ -78,6 +80,7 @@ def practice_curve(trials: DataFrame) -> DataFrame:
         "n_exposures",
         "n_layouts",
         F.col("_m").alias("mean_search_time_s"),
+        "search_time_std_s",
         F.round(F.ln(F.col("n_exposures")), 4).alias("memory_activation"),
         difficulty(F.col("_m")).alias("predicted_difficulty"),
         novice.alias("novice_search_time_s"),
@@ -157,8 +160,16 @@ def bottlenecks(targets: DataFrame, k: int = BOTTLENECKS) -> DataFrame:
     )
 
 
-def target_deviation(targets: DataFrame) -> DataFrame:
-    """Each element against its layout mean: percent, label and load modifier."""
+def target_deviation(targets: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Each element against its layout mean: percent, label and load modifier.
+
+    ``outcomes`` (screen_id, target_id, search_success) tells whether the search
+    shown for the target ended on it; without it, and for other targets, null.
+    """
+    if outcomes is None:
+        targets = targets.withColumn("search_success", F.lit(None).cast("boolean"))
+    else:
+        targets = targets.join(outcomes.select("screen_id", "target_id", "search_success"), ["screen_id", "target_id"], "left")
     mean = targets.groupBy("screen_id").agg(F.avg("search_time_s").alias("_m"))
     d = (F.col("search_time_s") - F.col("_m")) / F.col("_m")
     rows = targets.join(mean, "screen_id").filter(F.col("_m") > 0)
@@ -172,6 +183,8 @@ def target_deviation(targets: DataFrame) -> DataFrame:
         "screen_id",
         "target_id",
         "search_time_s",
+        "search_time_std_s",
+        "search_success",
         F.round("_m", 4).alias("layout_mean_search_time_s"),
         "deviation_pct",
         label.alias("relative_difficulty"),

@@ -254,16 +254,17 @@ def _(t):
 
 @query(
     "layout_user_region",
-    """WITH c AS (SELECT screen_id, img_w, img_h, region_w, region_h, greatest(0, least(region_x, img_w - 1)) AS x,
-      greatest(0, least(region_y, img_h - 1)) AS y FROM regions)
-    SELECT screen_id, element_id, x, y, w, h, false AS is_user_region FROM elements
+    f"""WITH c AS (SELECT *, greatest(0, least(region_x, img_w - 1)) AS x, greatest(0, least(region_y, img_h - 1)) AS y FROM regions),
+    u AS (SELECT screen_id, element_id, x, y, w, h, hue_deg, sat, val, contrast_ratio, false AS is_user_region FROM elements
     UNION ALL SELECT c.screen_id, coalesce(m.top + 1, 0), x, y, greatest(1, least(region_w, img_w - x)),
-      greatest(1, least(region_h, img_h - y)), true
-    FROM c LEFT JOIN (SELECT screen_id, max(element_id) AS top FROM elements GROUP BY 1) m ON c.screen_id = m.screen_id""",
+      greatest(1, least(region_h, img_h - y)), hue_deg, sat, val, contrast_ratio, true
+    FROM c LEFT JOIN (SELECT screen_id, max(element_id) AS top FROM elements GROUP BY 1) m ON c.screen_id = m.screen_id)
+    SELECT screen_id, element_id, x, y, w, h, is_user_region, x + w / 2e0 AS cx, y + h / 2e0 AS cy, CAST(w AS BIGINT) * h AS area,
+      {COLOR} AS color, contrast_ratio >= 3 AS contrast_pass FROM u""",
     ("regions", "elements"),
 )
 def _(t):
-    return layout.append_region(t["elements"], t["regions"])
+    return layout.append_region(t["elements"], t["regions"]).drop("hue_deg", "sat", "val", "contrast_ratio")
 
 
 # Pixel union by coordinate compression: strips between neighbouring x edges,

@@ -556,15 +556,15 @@ def _(t):
 
 CURVE_SQL = """
 WITH tg AS (SELECT n_exposures, screen_id, target_id, round(avg(total_time_s), 4) AS t FROM search_trials GROUP BY 1, 2, 3),
-ly AS (SELECT n_exposures, screen_id, round(avg(t), 4) AS m FROM tg GROUP BY 1, 2),
-cv AS (SELECT n_exposures, avg(m) AS m, count(*) AS n_layouts FROM ly GROUP BY 1),
+ly AS (SELECT n_exposures, screen_id, round(avg(t), 4) AS m, round(stddev_pop(t), 4) AS sd FROM tg GROUP BY 1, 2),
+cv AS (SELECT n_exposures, avg(m) AS m, avg(sd) AS sd, count(*) AS n_layouts FROM ly GROUP BY 1),
 ends AS (SELECT arg_min(m, n_exposures) AS novice, arg_max(m, n_exposures) AS expert FROM cv)
 """
 
 
 @query(
     "search_practice_curve",
-    CURVE_SQL + f"""SELECT n_exposures, n_layouts, round(m, 8) AS mean_search_time_s, round(ln(n_exposures), 4) AS memory_activation,
+    CURVE_SQL + f"""SELECT n_exposures, n_layouts, round(m, 8) AS mean_search_time_s, round(sd, 8) AS search_time_std_s, round(ln(n_exposures), 4) AS memory_activation,
       {BAND.format(m='m')} AS predicted_difficulty, round(novice, 8) AS novice_search_time_s, round(expert, 8) AS expert_search_time_s,
       round(least(greatest((novice - expert) / novice, 0), 1), 8) AS search_time_reduction FROM cv, ends""",
     T,
@@ -614,14 +614,17 @@ def _(t):
 @query(
     "search_target_deviation",
     TARGETS_SQL + """, d AS (SELECT *, (search_time_s - m) / m AS dv FROM (SELECT *, avg(search_time_s) OVER (PARTITION BY screen_id) AS m FROM tg) q)
-    SELECT screen_id, target_id, search_time_s, round(m, 4) AS layout_mean_search_time_s, round(dv * 100, 1) AS deviation_pct,
+    SELECT screen_id, target_id, search_time_s, search_time_std_s,
+      CASE WHEN target_id % 5 > 0 THEN target_id % 2 = 0 END AS search_success, round(m, 4) AS layout_mean_search_time_s, round(dv * 100, 1) AS deviation_pct,
       CASE WHEN round(dv * 100, 1) <= -15 THEN 'easier than layout average' WHEN round(dv * 100, 1) >= 15 THEN 'harder than layout average'
         ELSE 'around layout average' END AS relative_difficulty, round(search_time_s / m, 3) AS time_ratio,
       round(least(greatest(25 * dv, -15), 15), 2) AS search_load_modifier FROM d""",
     T,
 )
 def _(t):
-    return search.target_deviation(search.target_summary(t["search_trials"]))
+    targets = search.target_summary(t["search_trials"])
+    outcomes = targets.filter("target_id % 5 > 0").selectExpr("screen_id", "target_id", "target_id % 2 = 0 AS search_success")
+    return search.target_deviation(targets, outcomes)
 
 
 @query(

@@ -88,7 +88,8 @@ FROM {events} e
     "regions": """
 SELECT o_orderkey AS screen_id, 1200 AS img_w, 800 AS img_h, CAST(o_orderkey % 1400 - 100 AS INT) AS region_x,
   CAST(o_orderkey % 900 - 50 AS INT) AS region_y, CAST(o_orderkey % 333 AS INT) AS region_w,
-  CAST(o_orderkey % 127 AS INT) AS region_h
+  CAST(o_orderkey % 127 AS INT) AS region_h, CAST(o_orderkey * 31 % 360 AS DOUBLE) AS hue_deg, o_orderkey % 11 / 10e0 AS sat,
+  o_orderkey % 7 / 6e0 AS val, 1e0 + o_orderkey % 9 AS contrast_ratio
 FROM {orders} o WHERE o_orderkey % 10 = 0
 """,
     "map_pixels": """

@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from ocuspark.plans.catalog import QUERIES
 from ocuspark.plans.compare import compare
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +38,7 @@ def test_contract(spark):
     assert driver.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(driver.queries()) if os.environ.get("OCUSPARK_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("OCUSPARK_ALL") else SAMPLE)
 def test_query_equals_sql(spark, name):
     ok, detail = compare(spark, SF, name)
     assert ok, detail
