@@ -36,15 +36,26 @@ def _(t):
     return live.run_available(points)
 
 
-# A detector finishes what is open when the watermark (two seconds behind the
-# latest sample, in whole milliseconds) passes a second after the last sample.
+# Parts of a recording between pauses of over a second, as recordings of their own.
+PARTS = """
+paused AS (SELECT *, CAST(sum(CASE WHEN device_us - before > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY rn) AS BIGINT) AS part
+  FROM (SELECT *, lag(device_us) OVER (PARTITION BY recording_id ORDER BY rn) AS before, max(device_us) OVER (PARTITION BY recording_id) AS rec_last FROM @rows@) p),
+parts AS (SELECT * EXCLUDE (recording_id, rn), recording_id * 1000000 + part AS recording_id,
+  row_number() OVER (PARTITION BY recording_id, part ORDER BY rn) AS rn, count(*) OVER (PARTITION BY recording_id, part) AS n,
+  max(device_us) OVER (PARTITION BY recording_id, part) AS last FROM paused)
+"""
+
+
+# A detector finishes what is open at a pause, and when the watermark (two seconds behind
+# the latest sample, in whole milliseconds) passes a second after the last sample.
 @query(
     "stream_live_fixations",
-    POINTS.replace("@samples@", "gaze_samples") + _fix_sql("points", "px", "py").replace("HAVING", """, recording_id, fixation_id
-      HAVING (max(rn) < (SELECT max(rn) FROM points p WHERE p.recording_id = islands.recording_id)
+    POINTS.replace("@samples@", "gaze_samples").rstrip() + "," + PARTS.replace("@rows@", "points")
+    + _fix_sql("parts", "px", "py").replace("HAVING", """, recording_id, fixation_id
+      HAVING (max(rn) < max(n) OR max(device_us) < max(rec_last)
         OR max(device_us) // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM points)) AND""").replace(
-        "min(t_ms) AS start_ms, max(t_ms) AS end_ms", "min(device_us) AS start_us, max(device_us) AS end_us")
-    + "SELECT recording_id, start_us, end_us, n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM fix",
+        "min(t_ms) AS start_ms, max(t_ms) AS end_ms", "min(device_us) AS start_us, max(device_us) AS end_us").replace("count(*) AS n,", "count(*) AS size,")
+    + "SELECT recording_id // 1000000 AS recording_id, start_us, end_us, size AS n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM fix",
     G,
 )
 def _(t):
@@ -54,18 +65,20 @@ def _(t):
 
 @query(
     "stream_live_events",
-    """WITH gaps AS (SELECT user_id AS recording_id, event_id AS sample_id, epoch_us(ts) AS device_us, value AS velocity,
-      CASE WHEN event_id % 17 = 0 THEN 'Blink_End' END AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-      count(*) OVER (PARTITION BY user_id) AS n, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS last FROM events)"""
-    + EVENTS[len(MOTION):] + """SELECT recording_id, sample_id, device_us, event FROM events_labelled
-      WHERE rn <= n - 3 OR last // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM gaps)""",
+    """WITH signal AS (SELECT user_id AS recording_id, event_id AS sample_id, device_us, value AS velocity,
+      CASE WHEN event_id % 17 = 0 THEN 'Blink_End' END AS gap, row_number() OVER (PARTITION BY user_id ORDER BY device_us, event_id) AS rn
+      FROM (SELECT *, CAST(floor((epoch_us(ts) - 1704067200000000) / 400000) AS BIGINT) AS device_us FROM events) e),"""
+    + PARTS.replace("@rows@", "signal") + ", gaps AS (SELECT * FROM parts)"
+    + EVENTS[len(MOTION):] + """SELECT recording_id // 1000000 AS recording_id, sample_id, device_us, event FROM events_labelled
+      WHERE rn <= n - 3 OR last < rec_last OR last // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM gaps)""",
 )
 def _(t):
-    # A stand-in signal: the value column as velocity, no gaps.
+    # A stand-in signal: the value column as velocity, time compressed as in the gaze table.
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = _events(t).select(
         F.col("user_id").alias("recording_id"),
         F.col("event_id").alias("sample_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("device_us"),
+        F.floor((us - 1704067200000000) / 400000).cast("bigint").alias("device_us"),
         F.col("value").alias("velocity"),
         F.when(F.col("event_id") % 17 == 0, F.lit("Blink_End")).alias("gap"),
     )

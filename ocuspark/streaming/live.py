@@ -31,6 +31,9 @@ from ocuspark.operators.lineage import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: A longer pause between two samples of a recording ends what is open. The rule looks
+#: at the samples, so results do not depend on how files are batched; the timer of the
+#: same length only finishes a recording that sends nothing more.
 QUIET_MS = 1_000
 
 
@@ -94,6 +97,9 @@ class FixationProcessor(StatefulProcessor):
         done: list[tuple] = []
         for us, x, y in zip(batch["device_us"], batch["px"], batch["py"]):
             us, x, y = int(us), float(x), float(y)
+            if n > 0 and us - last > QUIET_MS * 1000:
+                done += self._close(key, (n, start, last, lx, ly, wx, wy))
+                n = 0
             if n == 0:
                 n, start, wx, wy = 1, us, x, y
             elif ((x - lx) ** 2 + (y - ly) ** 2) ** 0.5 < gaze.FIXATION_DISTANCE:
@@ -216,7 +222,15 @@ class EventProcessor(StatefulProcessor):
         us = [*us, *(int(v) for v in batch["device_us"])]
         velocity = [*velocity, *(float(v) for v in batch["velocity"])]
         gap = [*gap, *(v if isinstance(v, str) else "" for v in batch["gap"])]
-        out, rest = self._label(key, busy, done, ids, us, velocity, gap, False)
+        out: list[tuple] = []
+        begin = 0
+        for i in range(1, len(us)):
+            if us[i] - us[i - 1] > QUIET_MS * 1000:
+                part = slice(begin, i)
+                out += self._label(key, busy, done, ids[part], us[part], velocity[part], gap[part], True)[0]
+                busy, done, begin = False, 0, i
+        more, rest = self._label(key, busy, done, ids[begin:], us[begin:], velocity[begin:], gap[begin:], False)
+        out += more
         self.state.update(rest)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)

@@ -66,3 +66,31 @@ def test_duplicate_uploads_are_dropped(spark, tmp_path):
     s = spark.readStream.schema("sha256 string, event_time timestamp").parquet(str(tmp_path / "u"))
     out = live.run_available(live.unique_uploads(s.withWatermark("event_time", "1 hour")))
     assert sorted(r.sha256 for r in out.collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4, 10])
+def test_pauses_end_what_is_open_however_files_are_split(spark, tmp_path, parts):
+    """Pauses of five seconds inside a fixation and inside a saccade."""
+    rng = random.Random(4)
+    rows, us = [], 1_000_000_000
+    for i in range(200):
+        us += 5_000_000 if i % 50 == 49 else 20_000
+        rows.append((1, i, us, 100.0 + rng.uniform(-3, 3), 100.0, 60.0 if i % 50 > 40 or i % 50 < 4 else 0.0, None))
+    rows.append((99, 0, us + 60_000_000, 1.0, 1.0, 0.0, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    size = -(-len(rows) // parts)
+    for k in range(parts):
+        ids = [r[:2] for r in rows[k * size : (k + 1) * size]]
+        if ids:
+            part = spark.createDataFrame(ids, "recording_id long, sample_id long")
+            df.join(part, ["recording_id", "sample_id"]).select(df.columns).coalesce(1).write.parquet(f"{tmp_path}/f{k:02d}")
+    fix = live.run_available(live.live_fixations(stream(spark, tmp_path))).collect()
+    times = [r[2] for r in rows[:200]]
+    edges = [0, *(i for i in range(1, 200) if times[i] - times[i - 1] > 1_000_000), 200]
+    assert sorted((r.start_us, r.end_us, r.n) for r in fix) == [(times[a], times[b - 1], b - a) for a, b in zip(edges, edges[1:]) if times[b - 1] - times[a] >= 50_000]
+    events = live.run_available(live.live_events(stream(spark, tmp_path))).collect()
+    want = {}
+    for a, b in zip(edges, edges[1:]):
+        labels, _ = live.label_run([r[5] for r in rows[a:b]], [""] * (b - a), False, True, True)
+        want |= dict(zip(range(a, b), labels))
+    assert {r.sample_id: r.event for r in events if r.recording_id == 1} == want
