@@ -81,27 +81,28 @@ def _marked(word: str) -> str:
     return "^" + word + "$" * max(1, LENGTH - 1 - len(word))
 
 
-@lru_cache(maxsize=60_000)
-def _profile(word: str) -> dict[int, float]:
+Profile = tuple[np.ndarray, np.ndarray]  # distinct codes in order, and their weights over the norm
+
+
+@lru_cache(maxsize=30_000)
+def _profile(word: str) -> Profile:
     codes, weight = subsequences([_marked(word)])
-    out: dict[int, float] = {}
-    for c, w in zip(codes[0].tolist(), weight.tolist()):
-        out[c] = out.get(c, 0.0) + w
-    norm = sum(v * v for v in out.values()) ** 0.5 or 1.0
-    return {c: v / norm for c, v in out.items()}
+    distinct, at = np.unique(codes[0], return_inverse=True)
+    values = np.bincount(at, weights=weight, minlength=len(distinct))
+    return distinct, values / (np.sqrt((values**2).sum()) or 1.0)
 
 
-def kernel(a: list[dict[int, float]], b: list[dict[int, float]], block: int = 1000) -> np.ndarray:
+def kernel(a: list[Profile], b: list[Profile], block: int = 250) -> np.ndarray:
     """Normalised kernel of two lists of profiles, over the subsequences that b has."""
-    place = {c: i for i, c in enumerate(sorted({c for profile in b for c in profile}))}
-
-    def dense(part: list[dict[int, float]]) -> np.ndarray:
-        out = np.zeros((len(part), len(place)), dtype=np.float32)
-        for i, profile in enumerate(part):
-            known = [(place[c], v) for c, v in profile.items() if c in place]
-            if known:
-                at, values = zip(*known)
-                out[i, list(at)] = values
+    known = np.unique(np.concatenate([codes for codes, _ in b] or [np.zeros(0, np.int64)]))
+
+    def dense(part: list[Profile]) -> np.ndarray:
+        out = np.zeros((len(part), len(known)), dtype=np.float32)
+        for row, (codes, values) in zip(out, part):
+            at = np.searchsorted(known, codes)
+            have = at < len(known)
+            have[have] = known[at[have]] == codes[have]
+            row[at[have]] = values[have]
         return out
 
     right = dense(b).T
@@ -267,9 +268,9 @@ def train_words(positive: list[str], negative: list[str], mine: Miner | None = N
             w = _machine(z[keep], y[keep], cost[keep])
         alpha = root @ w[:-1]
         table, offset = {}, float(w[-1])
-        for a, profile in zip(alpha, land):
-            for c, v in profile.items():
-                table[c] = table.get(c, 0.0) + float(a * v)
+        for a, (codes, values) in zip(alpha, land):
+            for c, v in zip(codes.tolist(), (a * values).tolist()):
+                table[c] = table.get(c, 0.0) + v
         if mine:
             hard += [w for w in mine(table, offset) if w not in hard]
     return table, offset
