@@ -219,8 +219,9 @@ def student_t_p(t: float, df: int) -> float:
     return front * _beta_fraction(a, b, x) / a
 
 
-def _beta_fraction(a: float, b: float, x: float, steps: int = 300) -> float:
-    tiny = 1e-300
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function; NaN if it does not settle."""
+    tiny, steps = 1e-300, 300 + int(10 * math.sqrt(max(a, b)))
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
@@ -234,9 +235,9 @@ def _beta_fraction(a: float, b: float, x: float, steps: int = 300) -> float:
             c = 1.0 + num / c
             c = c if abs(c) > tiny else tiny
             h *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return h
+        if abs(c * d - 1.0) < 1e-14:
+            return h
+    return float("nan")
 
 
 @F.udf(T.DoubleType())

@@ -41,9 +41,22 @@ def _(t):
     return _rounded(norms.feature_norms(norms.allowed(t["screen_features"])), ["feature", "n"])
 
 
-@query("norms_approximate", None)
+# The value at rank ceil(p n): what the approximation gives while n is below its accuracy.
+RANKED = ", ".join(
+    f"round(list_sort(list(value))[greatest(1, CAST(ceil({p} * count(*)) AS BIGINT))], 6) AS p{round(p * 100)}"
+    for p in norms.QUANTILES
+)
+
+
+@query(
+    "norms_approximate",
+    LONG + f"""SELECT feature, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std,
+      round(min(value), 6) AS min, round(max(value), 6) AS max, {RANKED}
+      FROM long WHERE category IN ('web', 'mobile', 'desktop') GROUP BY 1""",
+    T,
+)
 def _(t):
-    return norms.approximate_norms(norms.allowed(t["screen_features"]))
+    return _rounded(norms.approximate_norms(norms.allowed(t["screen_features"])), ["feature", "n"])
 
 
 @query(

@@ -250,11 +250,37 @@ def _(t):
     return _rounded(report, ["hypothesis", "metric", "direction", "n_images", "df", "effect_size"])
 
 
-@query("study_hypothesis_p_values", None, T)
+# Two-sided p by Simpson's rule: with x = sqrt(df) cot(u) the tail of Student's density is
+# sin(u)^(df - 1) on (0, atan(sqrt(df) / |t|)).
+def _tests_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{h}' AS hypothesis, '{pair}' AS pair, n - 1 AS df, t_statistic AS t FROM ({_test_sql(metric, first, 'High')}) q"
+        for h, metric in (("H1", "mean_fixation_count"), ("H2", "mean_fixation_duration"))
+        for pair, first in (("main", "Absent"), ("low", "Low"))
+    )
+
+
+P_SQL = f"""tests AS ({_tests_sql()}),
+grid AS (SELECT tests.*, i, atan(sqrt(df) / abs(t)) / 20000 AS h,
+    CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight FROM tests, range(20001) AS g(i)),
+tails AS (SELECT hypothesis, pair, 2 * exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(pi())
+    * sum(weight * pow(sin(i * h), df - 1)) * max(h) / 3 AS p FROM grid GROUP BY hypothesis, pair, df)
+"""
+
+
+@query(
+    "study_hypothesis_p_values",
+    CLEAN.rstrip() + ",\n" + P_SQL + """SELECT a.hypothesis, round(log10(a.p), 6) AS log10_p_value, round(log10(b.p), 6) AS log10_p_low_vs_high, a.p < 0.05 AS significant
+      FROM tails a JOIN tails b ON a.hypothesis = b.hypothesis AND a.pair = 'main' AND b.pair = 'low'""",
+    T,
+)
 def _(t):
     means = study.image_condition_means(study.clean_trials(t["aoi_trials"]))
     return study.hypothesis_report(means).select(
-        "hypothesis", "p_value", "p_value_low_vs_high", "significant"
+        "hypothesis",
+        F.round(F.log10("p_value"), 6).alias("log10_p_value"),
+        F.round(F.log10("p_value_low_vs_high"), 6).alias("log10_p_low_vs_high"),
+        "significant",
     )
 
 
