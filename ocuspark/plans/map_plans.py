@@ -195,27 +195,22 @@ def _(t):
     return highlight_pairs(t["image_ids"])
 
 
-STEM = "SELECT concat('shot_', CAST(doc_id AS VARCHAR(9))) AS stem, {ext} AS ext FROM documents"
-
-
 @query(
     "map_image_truth_pairs",
-    """WITH i AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'jpeg' END AS ext FROM documents WHERE doc_id % 2 = 0
-      UNION ALL SELECT doc_id, 'webp' FROM documents WHERE doc_id % 4 = 0)
+    """WITH i AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'png' WHEN 'fr' THEN 'jpg' ELSE 'jpeg' END AS ext FROM documents
+      UNION ALL SELECT doc_id, lang, 'webp' FROM documents)
     SELECT concat('shot_', CAST(i.doc_id AS VARCHAR(9))) AS stem, min(ext) AS image_ext FROM i
-    WHERE i.doc_id % 3 = 0 GROUP BY 1""",
+    WHERE lang <> 'de' GROUP BY 1""",
 )
 def _(t):
     from ocuspark.sources.tables import pair_by_stem
 
-    d = t["documents"].select("doc_id")
+    # Every document has two images; those in one language lack the truth map.
+    d = t["documents"].select("doc_id", "lang")
     name = F.concat(F.lit("shot_"), F.col("doc_id").cast("string"))
-    ext = F.when(F.col("doc_id") % 3 == 0, ".png").when(F.col("doc_id") % 3 == 1, ".jpg").otherwise(".jpeg")
-    images = (
-        d.filter("doc_id % 2 = 0").select(F.concat(F.lit("/img/"), name, ext).alias("path"))
-        .unionByName(d.filter("doc_id % 4 = 0").select(F.concat(F.lit("/img/"), name, F.lit(".webp")).alias("path")))
-    )
-    truth = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("/gt/"), name, F.lit(".png")).alias("path"))
+    ext = F.when(F.col("lang") == "en", ".png").when(F.col("lang") == "fr", ".jpg").otherwise(".jpeg")
+    images = d.select(F.explode(F.array(*[F.concat(F.lit("/img/"), name, e) for e in (ext, F.lit(".webp"))])).alias("path"))
+    truth = d.filter("lang <> 'de'").select(F.concat(F.lit("/gt/"), name, F.lit(".png")).alias("path"))
     pairs = pair_by_stem(images, truth)
     return pairs.select("stem", F.regexp_extract("image_path", r"\.([^.]*)$", 1).alias("image_ext"))
 
@@ -226,21 +221,22 @@ def _(t):
     SELECT concat('s', CAST(doc_id AS VARCHAR(9))) AS image_id, condition,
       concat('labels_', condition, '/s', CAST(doc_id AS VARCHAR(9)), '.png') AS label_path,
       concat('fixs_', condition, '/s', CAST(doc_id AS VARCHAR(9)), '.png') AS fixation_path
-    FROM documents JOIN c ON NOT (condition = 'low' AND doc_id % 5 = 0) WHERE doc_id % 3 <> 0""",
+    FROM documents JOIN c ON NOT (condition = 'low' AND lang = 'es')""",
 )
 def _(t):
     from ocuspark.sources.tables import condition_manifest
 
-    d = t["documents"].select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("image_id"), "doc_id")
-    images = d.filter("doc_id % 3 <> 0").select("image_id")
+    # Every document is an image; those in one language lack one condition's fixations.
+    d = t["documents"].select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("image_id"), "lang")
+    images = d.select("image_id")
     cond = F.explode(F.array(*[F.lit(c) for c in ("abs", "low", "high", "all")])).alias("condition")
-    files = d.select("image_id", "doc_id", cond)
+    files = d.select("image_id", "lang", cond)
 
     def listing(prefix, rows):
         return rows.select(F.concat(F.lit(prefix), "condition", F.lit("/"), "image_id", F.lit(".png")).alias("path"))
 
     labels = listing("labels_", files)
-    fixs = listing("fixs_", files.filter("not (condition = 'low' and doc_id % 5 = 0)"))
+    fixs = listing("fixs_", files.filter("not (condition = 'low' and lang = 'es')"))
     return condition_manifest(images, labels, fixs)
 
 
