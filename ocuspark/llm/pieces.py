@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ocuspark.llm.text import U64, mix
 
 MARK = "▁"
-TABLE_CHUNKS = 300_000  # chunks whose lattices a worker keeps; it starts anew beyond
-SLICE_CHUNKS = 200_000  # chunks drawn at once
+TABLE_CHUNKS = 150_000  # chunks whose lattices a worker keeps; it starts anew beyond
+SLICE_CHUNKS = 100_000  # chunks drawn at once
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ class _Grown:
     def extend(self, values: np.ndarray) -> None:
         need = self.size + len(values)
         if need > len(self.data):
-            more = np.zeros(max(need, 2 * len(self.data)), dtype=self.data.dtype)
+            more = np.zeros(max(need, len(self.data) * 3 // 2), dtype=self.data.dtype)
             more[: self.size] = self.data[: self.size]
             self.data = more
         self.data[self.size : need] = values

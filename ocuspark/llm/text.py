@@ -62,7 +62,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at
 
 
-def slices(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes, or of one longer row: bounds the temporary arrays."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
