@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocuspark.llm.text import held_out
+from ocuspark.llm.text import held_out, written
 
 WINDOW = 1024  # bytes compressed at once
 DICTIONARY = 64 << 10
@@ -126,9 +126,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, windows: int = 4000, calibra
     """
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marks = marks.withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    # The ids are chosen from the labels alone: at most 2 x windows + calibration of them meet the texts.
+    shuffled = lambda part, n: part.orderBy(F.xxhash64("doc_id", F.lit(2))).limit(n)
+    chosen = shuffled(marks.filter("turn = 0"), calibration)
+    for mark in (0, 1):
+        chosen = chosen.unionAll(shuffled(marks.filter((F.col("turn") > 0) & (F.col("quality") == mark)), windows))
+    chosen = F.broadcast(written(chosen, "quality-chosen"))
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = slim.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    known = slim.join(marks, "doc_id").withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    known = slim.filter(F.col("text").isNotNull()).join(chosen, "doc_id")
     # One window a document, at a place its id decides, so that long texts do not fill the sample.
     pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / WINDOW)).cast("int")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), pieces).cast("int")
