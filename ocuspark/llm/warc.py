@@ -39,8 +39,9 @@ _BREAK = re.compile(r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|articl
 _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*(?:>|\Z)")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
+_ORIGIN = re.compile(r"https?://[A-Za-z0-9.-]+(?::\d+)?(?=/)")
+_ROOTED = re.compile(r"/(?!/)[^\s?#;.\\]*")
 _HREF = re.compile(r"(?is)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_BLANK = re.compile(r"[^\S\n]+")
 
 
 def digest(block: bytes) -> str:
@@ -51,18 +52,26 @@ def record_id(kind: str, name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {name}')}>"
 
 
-def plain_text(page: str) -> str:
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    lines = (_BLANK.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
+def shown(page: str) -> str:
+    """The markup without comments, scripts and styles."""
+    return _DROP.sub(" ", page)
+
+
+def plain_text(body: str) -> str:
+    text = _TAG.sub("", _BREAK.sub("\n", body))
+    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
-def metadata(page: str, url: str | None) -> dict:
-    body = _DROP.sub(" ", page)
+def metadata(body: str, url: str | None) -> dict:
     title, lang = _TITLE.search(body), _LANG.search(body)
+    origin = _ORIGIN.match(url or "")
     links = []
     for match in _HREF.findall(body):
         link = html.unescape(next((m for m in match if m), "")).strip()
+        if origin and _ROOTED.fullmatch(link):  # what urljoin gives, without its parsing
+            links.append(origin[0] + link)
+            continue
         try:
             links.append(urljoin(url or "", link))
         except ValueError:  # not a URL at all: kept as written
@@ -96,24 +105,26 @@ _SCHEMA = (
 
 def _pair(row) -> list[tuple]:
     source = digest(row.payload.encode())
-    found = metadata(row.payload, row.target_uri)
-    text = plain_text(row.payload)
+    body = shown(row.payload)
+    found, text = metadata(body, row.target_uri), plain_text(body)
     fields = [("title", found["title"]), ("language", found["lang"])]
     fields += [(f"source-{k}", v) for k, v in sorted((row.source_headers or {}).items())]
     fields += [("outlink", x) for x in found["links"]]
     facts = "".join(f"{k}: {' '.join(str(v).split())}\r\n" for k, v in fields)
-    ids = {k: record_id(k, f"{row.record_id} {digest(b.encode())}") for k, b in (("metadata", facts), ("conversion", text))}
+    raws = {"metadata": facts.encode(), "conversion": text.encode()}
+    marks = {k: digest(b) for k, b in raws.items()}
+    ids = {k: record_id(k, f"{row.record_id} {m}") for k, m in marks.items()}
     out = []
     for kind, other, block, form in (("metadata", "conversion", facts, "application/warc-fields"), ("conversion", "metadata", text, "text/plain; charset=utf-8")):
-        raw = block.encode()
+        raw, mark = raws[kind], marks[kind]
         lines = [
             ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", row.date), ("WARC-Target-URI", row.target_uri),
             ("WARC-Refers-To", row.record_id), ("WARC-Refers-To-Target-URI", row.target_uri), ("WARC-Refers-To-Date", row.date),
-            ("WARC-Refers-To-Payload-Digest", source), ("WARC-Concurrent-To", ids[other]), ("WARC-Block-Digest", digest(raw)),
+            ("WARC-Refers-To-Payload-Digest", source), ("WARC-Concurrent-To", ids[other]), ("WARC-Block-Digest", mark),
             ("Content-Type", form), ("Content-Length", str(len(raw))),
         ]
         head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines if v is not None)
-        out.append((row.page_id, kind, ids[kind], row.record_id, ids[other], row.target_uri, row.date, source, form, len(raw), digest(raw), len(found["links"]), head, block))
+        out.append((row.page_id, kind, ids[kind], row.record_id, ids[other], row.target_uri, row.date, source, form, len(raw), mark, len(found["links"]), head, block))
     return out
 
 
