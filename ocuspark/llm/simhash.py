@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocuspark.llm.text import written
-from ocuspark.operators.skew import split_join
 
 SEED = 42
 BITS = 64
@@ -214,7 +213,7 @@ def hamming_links(distinct: DataFrame, k: int = 3, large: int = LARGE_BUCKET) ->
     pick = None
     for i, value in cases:
         pick = F.when(F.col("part") == i, value) if pick is None else pick.when(F.col("part") == i, value)
-    fine = split_join(keys, big, ["part", "key"]).select("part", "key", "fp", "probe", F.inline(pick))
+    fine = keys.join(big, ["part", "key"]).select("part", "key", "fp", "probe", F.inline(pick))
     on = ["part", "key", "sub", "rest"]
     return out.unionAll(verify(fine, fine.filter(~F.col("probe")), on))
 
@@ -236,8 +235,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = df.unionAll(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.filter(F.col("b") < F.col("a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
-        met = split_join(both, low.select("a", "low"), ["a"], ["b"], low.select("a", "n"))
+        # Written, so that Spark can split a hub's rows in the join that follows.
+        low = written(both.groupBy("a").agg(F.min("b").alias("low")), "edges-low")
+        met = both.join(low, "a")
         root = F.least("a", "low")
         if large:
             out = met.filter(F.col("b") > F.col("a")).select(root.alias("a"), "b")
@@ -269,9 +269,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, width: int = 3) -> DataFrame:
     edges = hamming_links(least.select("fp"), k)
     roots = components(edges)
     named = least.join(roots, least.fp == roots.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    classes = split_join(named, low.select("root", "component_id"), ["root"], ["fp"], low.select("root", "n"))
-    return split_join(fps, classes.select("fp", "root", "component_id"), ["fp"], ["doc_id"])
+    # Tables of one row a component or class, written: Spark splits the hot keys of the other side.
+    named = written(named, "roots")
+    low = written(named.groupBy("root").agg(F.min("doc").alias("component_id")), "components")
+    classes = written(named.join(low, "root").select("fp", "root", "component_id"), "members")
+    return fps.join(classes, "fp")
 
 
 def keep_representatives(docs: DataFrame, k: int = 3, width: int = 3) -> DataFrame:
