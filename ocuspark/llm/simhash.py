@@ -276,13 +276,18 @@ def near_duplicates(docs: DataFrame, k: int = 3, width: int = 3) -> DataFrame:
     return fps.join(classes, "fp")
 
 
+def keep_named(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of docs that a component_id names; of repeated rows with one id and text one, and every row without id."""
+    best = components.select(F.col("component_id").alias("_best")).filter("_best IS NOT NULL").distinct()
+    named = docs.join(best, F.col("doc_id").cast("bigint") == F.col("_best"), "left_semi")
+    named = named.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return named.unionAll(docs.filter(F.col("doc_id").isNull()))
+
+
 def keep_representatives(docs: DataFrame, k: int = 3, width: int = 3) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of their component.
 
     Of repeated rows with one id and text one stays. A row without id cannot be
     named and always stays.
     """
-    best = near_duplicates(docs, k, width).select(F.col("component_id").alias("_best")).filter("_best IS NOT NULL").distinct()
-    named = docs.join(best, F.col("doc_id").cast("bigint") == F.col("_best"), "left_semi")
-    named = named.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return named.unionAll(docs.filter(F.col("doc_id").isNull()))
+    return keep_named(docs, near_duplicates(docs, k, width))
