@@ -442,7 +442,7 @@ def permutation_importance(
         .select("_y", "_own", F.col("_m.r").alias("repeat"), F.col("_m.donor").alias("_donor"))
         .join(donor, "_donor")
     )
-    feature = F.explode(F.sequence(F.lit(-1), F.lit(len(FEATURES) - 1))).alias("_f")
+    feature = F.explode(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))).alias("_f")
     swapped = paired.select("_y", "repeat", "_own", "_other", feature).select(
         F.col("_y").alias(target),
         "repeat",
@@ -453,17 +453,15 @@ def permutation_importance(
         ],
     )
     err = F.col(target) - F.col(f"pred_{target}")
-    scored = model.transform(swapped).groupBy("_f", "repeat").agg(
-        F.sum(err * err).alias("_sse"), (F.var_pop(target) * F.count(F.lit(1))).alias("_sst")
-    )
+    sums = [F.sum(err * err).alias("_sse"), (F.var_pop(target) * F.count(F.lit(1))).alias("_sst")]
     r2 = F.when(F.col("_sst") > 0, 1.0 - F.col("_sse") / F.col("_sst")).otherwise(F.lit(0.0))
-    scores = scored.select("_f", "repeat", r2.alias("_r2"))
-    base = scores.filter("_f = -1").select("repeat", F.col("_r2").alias("_base"))
+    # The rows as they are score the same in every repeat.
+    base = model.transform(rows).agg(*sums).select(r2.alias("_base"))
+    scores = model.transform(swapped).groupBy("_f", "repeat").agg(*sums).select("_f", r2.alias("_r2"))
     names = F.array(*[F.lit(f) for f in FEATURES])
     block = F.array(*[F.lit(b) for b, fs in BLOCKS.items() for _ in fs])
     return (
-        scores.filter("_f >= 0")
-        .join(base, "repeat")
+        scores.crossJoin(F.broadcast(base))
         .groupBy("_f")
         .agg(F.round(F.avg(F.col("_base") - F.col("_r2")), 5).alias("perm_importance"))
         .select(names[F.col("_f")].alias("feature"), block[F.col("_f")].alias("block"), "perm_importance")

@@ -76,14 +76,12 @@ def _(t):
 
 @query("ml_forest_holdout", None)
 def _(t):
-    return ml.holdout_metrics(cut(_train(t)), "image_name", "forest", targets=ml.TARGETS[:1])
+    return ml.holdout_metrics(cut(_train(t)), "image_name", "forest")
 
 
 @query("ml_model_comparison", None)
 def _(t):
-    return ml.compare_models(
-        cut(_train(t)), "image_name", targets=ml.TARGETS[:1], trees=20, rounds=10
-    )
+    return ml.compare_models(cut(_train(t)), "image_name")
 
 
 @query("ml_cross_validation", None)
@@ -103,7 +101,7 @@ def _(t):
 
 @query("ml_permutation_importance", None)
 def _(t):
-    return ml.permutation_importance(cut(_train(t)), "image_name", repeats=5, trees=30)
+    return ml.permutation_importance(cut(_train(t)), "image_name")
 
 
 @query("ml_batch_prediction", None)

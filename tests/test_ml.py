@@ -102,3 +102,17 @@ def test_cross_validation_does_not_depend_on_the_mean(spark):
         df = spark.createDataFrame(rows, ["image_name", *names])
         scores.append([r.r2 for r in ml.cross_validate(df, "image_name").orderBy("fold").collect()])
     assert np.allclose(scores[0], scores[1], atol=1e-5) and min(scores[0]) > 0.9
+
+
+@pytest.mark.parametrize("name, operator", [("ml_model_comparison", "compare_models"), ("ml_forest_holdout", "holdout_metrics"), ("ml_permutation_importance", "permutation_importance")])
+def test_registered_models_have_the_documented_size(monkeypatch, name, operator):
+    from ocuspark.plans import ml_plans
+    from ocuspark.plans.registry import QUERIES
+
+    seen = []
+    monkeypatch.setattr(ml_plans, "_train", lambda t: None)
+    monkeypatch.setattr(ml_plans, "cut", lambda df: df)
+    monkeypatch.setattr(ml, operator, lambda df, key, *args, **settings: seen.append((args, settings)))
+    QUERIES[name](None, "")
+    (args, settings), = seen
+    assert settings == {} and args in ((), ("forest",))  # all targets, trees, rounds and repeats of operators/ml.py
