@@ -35,6 +35,7 @@ K1, B = 0.9, 0.4
 SCALE = 1 << 20
 BLOCK = 128
 SHARD_DOCS = 16_384
+BATCH_TERMS = 2_500_000  # terms of the queries that meet a shard in one task: 40 MB
 FIRST_BLOCKS = 4  # scored before anything is pruned
 NO_ID = (1 << 62) - 1
 
@@ -186,7 +187,7 @@ def _search_shard(k: int, n: int, mean: float):
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SHARD_DOCS, batch_terms: int = BATCH_TERMS) -> DataFrame:
     """query_id, rank, doc_id, score (BM25) of the k best documents of every query (query_id, text)."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -196,6 +197,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
     shards = max(1, -(-n // shard_docs))
     terms = _query_terms(asked).distinct().join(_frequencies(slim), "term")
     packed = written(_packed_queries(terms), "search-queries")
+    batches = max(1, -(-(packed.agg(F.sum(F.length("packed"))).first()[0] or 0) // (16 * batch_terms)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -205,9 +207,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = SH
 
     shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(shards)).cast("int")
     dealt = slim.select("doc_id", shard.alias("shard"), "text").mapInArrow(pack, "doc_id bigint, shard int, packed binary")
-    # The query set goes to every shard, as bytes.
-    everywhere = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInArrow(
+    # Every shard meets every batch of queries, each pair in a task of its own.
+    shard_batches = dealt.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    batch = F.pmod(F.xxhash64("query_id", "query_key"), F.lit(batches)).cast("int")
+    everywhere = packed.withColumn("batch", batch).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = shard_batches.groupBy("shard", "batch").cogroup(everywhere.groupBy("shard", "batch")).applyInArrow(
         _search_shard(k, n, max((total or 0) / max(n, 1), 1e-9)), "query_id bigint, query_key bigint, doc_id bigint, score bigint"
     )
     best = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "doc_id")
