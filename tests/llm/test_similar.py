@@ -56,7 +56,7 @@ def test_stage_drops_edited_copies(spark):
 
 
 def test_a_chain_of_edits_is_one_component(spark):
-    """The ends of the chain meet no common neighbour; the stars alone would leave parts of it."""
+    """The ends of the chain are not similar to each other."""
     words = [f"c{i}" for i in range(300)]
     rows = []
     for i in range(30):
