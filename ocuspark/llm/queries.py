@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocuspark.llm import imatch, licenses, mixing, pieces, quality, search, simhash, substring, toxicity, warc
+from ocuspark.llm import aligning, bpe, imatch, licenses, maxscore, mixing, pieces, quality, search, simhash, substring, toxicity, warc
 from ocuspark.llm.text import held_out, table
 
 QUERIES = {}
@@ -90,3 +90,51 @@ def op10_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asked = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search.top_k(docs, asked)
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aligning.align(table(spark, sf_dir, "documents"), bpe.default_merges(spark), aligning.default_pieces(spark))
+    return found.measures()
+
+
+@query
+def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.default_merges(spark))
+
+
+@query
+def op13_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = maxscore.build_index(table(spark, sf_dir, "documents"))
+    return maxscore.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+CHECKS["op13_block_max_maxscore"] = r"""
+WITH doc_terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+),
+sized AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM doc_terms WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sized),
+norms AS (SELECT doc_id, 100 - 25 + ((25 * n * nn) // ll) AS m FROM sized, corpus),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM sized) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0 * nn + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), corpus
+),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN norms USING (doc_id)
+  GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
