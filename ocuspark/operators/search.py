@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import clip
-from ocuspark.operators import ordered, ranks
+from ocuspark.operators import glances, ordered, ranks
 from ocuspark.operators.skew import split_join
 
 # ---- Fixed values -------------------------------------------------------
@@ -362,101 +360,6 @@ def below_acuity(size_deg: Column, eccentricity_deg: Column) -> Column:
 # ---- Glances -------------------------------------------------------------
 
 
-def _border(current: float, steps: np.ndarray, budget: float) -> tuple[int, float]:
-    """Index of the first step that does not fit, and the glance time before it.
-
-    A step always fits an empty glance. Times are added one after the other, as
-    the packing rule does, so that exact ties fall the same way.
-    """
-    times = np.cumsum(np.concatenate([[current], steps]))
-    over = times[1:] > budget
-    if current == 0.0 and len(over):
-        over[0] = False
-    k = int(np.argmax(over)) if over.any() else len(steps)
-    return k, float(times[k])
-
-
-def _runs(batches, keys: list[str]):
-    """Consecutive runs of equal keys in sorted batches; a run may cross batches."""
-    rest = None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        k = pdf[keys].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        begin = 0
-        for end in cuts:
-            yield pdf.iloc[begin:end]
-            begin = end
-        rest = pdf.iloc[begin:]
-    if rest is not None and len(rest):
-        yield rest
-
-
-def _block_row(s: np.ndarray, budget: float) -> tuple:
-    """Summary of one block: what follows from every possible first border.
-
-    ``count``, ``longest`` and ``left`` describe the rest of the block when a
-    fresh glance starts at step j: closed glances, longest of them, and the time
-    in the glance left open at the end.
-    """
-    n = len(s)
-    count, longest, left = np.zeros(n + 1, int), np.zeros(n + 1), np.zeros(n + 1)
-    for j in range(n - 1, -1, -1):
-        size = 64
-        while True:
-            k, time = _border(0.0, s[j : j + size], budget)
-            if k < size or j + size >= n:
-                break
-            size *= 4
-        k += j
-        if k >= n:
-            left[j] = time
-        else:
-            count[j], longest[j], left[j] = count[k] + 1, max(longest[k], time), left[k]
-    first = min(n, _border(0.0, s, budget)[0] + 1)
-    parts = (s, count, longest, left)
-    return (float(s.sum()), *[p[:first].tolist() for p in parts])
-
-
-def _scan_row(blocks: pd.DataFrame, budget: float) -> tuple:
-    """Run through the block summaries of one scan in order."""
-    current, count, longest, total = 0.0, 0, 0.0, 0.0
-    for row in blocks.itertuples():
-        total += row.total
-        j = 0
-        if current > 0.0:
-            j, time = _border(current, np.asarray(row.steps, float), budget)
-            if j == len(row.steps):  # the whole block fits the open glance
-                current = time
-                continue
-            count, longest = count + 1, max(longest, time)
-        count, longest, current = count + row.count[j], max(longest, row.longest[j]), row.left[j]
-    if current > 0.0:
-        count, longest = count + 1, max(longest, current)
-    return int(count), float(longest), total
-
-
-BLOCK_SCHEMA = (
-    "scan_id bigint, block bigint, total double, steps array<double>,"
-    " count array<bigint>, longest array<double>, left array<double>"
-)
-SCAN_SCHEMA = (
-    "scan_id bigint, n_glances bigint, max_single_glance_s double, total_eyes_off_road_s double"
-)
-
-
-def _in_batches(rows, columns: list[str], size: int = 1000):
-    """Output frames of at most ``size`` rows."""
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)
-
-
 def glance_metrics(
     steps: DataFrame,
     budget: float = GLANCE_BUDGET_S,
@@ -464,56 +367,14 @@ def glance_metrics(
     total: float = TOTAL_LIMIT_S,
     block_rows: int = 2_000,
     digits: int = 3,
+    fan: int = glances.FAN,
 ) -> DataFrame:
-    """Pack scan steps into glances of at most ``budget`` seconds and check limits.
+    """Pack scan steps into glances of at most ``budget`` seconds and check limits (see ``glances``)."""
+    return glances.glance_summary(steps, glances.Tree(steps, budget, block_rows, fan), single, total, digits)
 
-    Greedy packing is sequential, but a block of steps depends on the steps
-    before it only through the time in the open glance, i.e. through the place
-    of the block's first glance border. Blocks are therefore summarised in
-    parallel for every such place and the summaries are chained per scan. A
-    group never holds more than ``block_rows`` steps.
-    """
-    real = steps.filter(F.col("step_time_s") > 0).withColumn(
-        "block", F.floor((F.col("step_ord") - 1) / block_rows).cast("bigint")
-    )
-    def summarise(batches):
-        rows = (
-            (int(g["scan_id"].iloc[0]), int(g["block"].iloc[0]),
-             *_block_row(g["step_time_s"].to_numpy(float), budget))
-            for g in _runs(batches, ["scan_id", "block"])
-        )
-        names = ["scan_id", "block", "total", "steps", "count", "longest", "left"]
-        return _in_batches(rows, names)
 
-    def chain(batches):
-        rows = (
-            (int(g["scan_id"].iloc[0]), *_scan_row(g, budget)) for g in _runs(batches, ["scan_id"])
-        )
-        names = ["scan_id", "n_glances", "max_single_glance_s", "total_eyes_off_road_s"]
-        return _in_batches(rows, names)
-
-    blocks = (
-        real.select("scan_id", "block", "step_ord", "step_time_s")
-        .repartition("scan_id", "block")
-        .sortWithinPartitions("scan_id", "block", "step_ord")
-        .mapInPandas(summarise, BLOCK_SCHEMA)
-    )
-    scans = (
-        blocks.repartition("scan_id")
-        .sortWithinPartitions("scan_id", "block")
-        .mapInPandas(chain, SCAN_SCHEMA)
-    )
-    every = steps.select("scan_id").distinct().join(scans, "scan_id", "left").na.fill(0)
-    longest, sum_s = F.col("max_single_glance_s"), F.col("total_eyes_off_road_s")
-    return every.select(
-        "scan_id",
-        "n_glances",
-        F.round(longest, digits).alias("max_single_glance_s"),
-        F.round(sum_s, digits).alias("total_eyes_off_road_s"),
-        F.when(F.col("n_glances") > 0, F.round(sum_s / F.col("n_glances"), digits))
-        .otherwise(F.lit(0.0))
-        .alias("mean_glance_s"),
-        (longest > single).alias("exceeds_single_glance"),
-        (sum_s > total).alias("exceeds_cumulative"),
-        ((longest <= single) & (sum_s <= total)).alias("compliant"),
-    )
+def glance_list(
+    steps: DataFrame, budget: float = GLANCE_BUDGET_S, block_rows: int = 2_000, digits: int = 3, fan: int = glances.FAN
+) -> DataFrame:
+    """The glances themselves: scan_id, glance (from 1), start_ord, n_steps, time_s."""
+    return glances.glance_list(glances.Tree(steps, budget, block_rows, fan), digits)

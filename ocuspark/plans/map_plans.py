@@ -675,3 +675,17 @@ def _(t):
 )
 def _(t):
     return search.glance_metrics(t["scan_steps"], digits=6)
+
+
+@query(
+    "search_glance_list",
+    """WITH RECURSIVE st AS (SELECT scan_id, step_ord, step_time_s AS s, row_number() OVER (PARTITION BY scan_id ORDER BY step_ord) AS i
+      FROM scan_steps WHERE step_time_s > 0),
+    walk AS (SELECT scan_id, i, step_ord, s AS cur, 1 AS g FROM st WHERE i = 1
+      UNION ALL SELECT w.scan_id, st.i, st.step_ord, CASE WHEN w.cur + st.s > 1.5 THEN st.s ELSE w.cur + st.s END, CASE WHEN w.cur + st.s > 1.5 THEN w.g + 1 ELSE w.g END
+      FROM walk w JOIN st ON st.scan_id = w.scan_id AND st.i = w.i + 1)
+    SELECT scan_id, CAST(g AS BIGINT) AS glance, min(step_ord) AS start_ord, count(*) AS n_steps, round(max(cur), 6) AS time_s FROM walk GROUP BY scan_id, g""",
+    ("scan_steps",),
+)
+def _(t):
+    return search.glance_list(t["scan_steps"], digits=6)

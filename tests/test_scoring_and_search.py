@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import as_bool, clamp_count, parse_schedule
-from ocuspark.operators import norms, scoring, search
+from ocuspark.operators import glances, norms, scoring, search
 
 FEATURES = norms.FEATURES
 
@@ -150,6 +150,45 @@ def test_glances_equal_loop(spark, block_rows):
         assert r.compliant == (max(want, default=0) <= 2 and sum(want) <= 12 + 1e-9)
 
 
+@pytest.mark.parametrize(("block_rows", "fan"), [(1, 2), (3, 2), (4, 3), (1000, 32)])
+def test_glance_list_equals_loop(spark, block_rows, fan):
+    """Scans cut into blocks and trees of several levels; tiny steps make glances longer than blocks and than whole trees of blocks."""
+    rng = random.Random(5)
+    scans = {k: [rng.choice([0.0, 0.1, 0.25, 0.5, 1.0, 1.5, 2.4, rng.random()]) for _ in range(n)] for k, n in enumerate((90, 33, 8, 1))}
+    scans[70] = [0.01] * 400
+    scans[71] = [0.0, 0.0]
+    scans[72] = [0.1] * 151 + [3.0] * 5 + [0.3] * 20
+    rows = [(k, i + 1, s, False) for k, v in scans.items() for i, s in enumerate(v)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "scan_id long, step_ord long, step_time_s double, is_target boolean")
+    got = {(r.scan_id, r.glance): (r.start_ord, r.n_steps, r.time_s) for r in search.glance_list(df, block_rows=block_rows, digits=12, fan=fan).collect()}
+    want = {}
+    for k, v in scans.items():
+        current, number = 0.0, 0
+        for i, s in enumerate(v, 1):
+            if s <= 0:
+                continue
+            if current == 0.0 or current + s > 1.5:
+                number += 1
+                start, size, current = i, 1, s
+            else:
+                size, current = size + 1, current + s
+            want[k, number] = (start, size, round(current, 12))
+    assert got == want
+
+
+def test_one_long_scan_is_spread(spark):
+    """A scan with half of all rows: no block or fold holds more than its share."""
+    rows = [(1, i, 0.001 * (i % 7), False) for i in range(1, 8001)] + [(s, i, 0.4, False) for s in range(2, 402) for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "scan_id long, step_ord long, step_time_s double, is_target boolean")
+    tree = glances.Tree(df, 1.5, 100, 4)
+    assert len(tree.levels) == 5 and tree.blocks.select(F.max(F.size("times"))).first()[0] <= 100
+    assert [level.filter("scan_id = 1").count() for level in tree.levels] == [80, 20, 5, 2, 1]
+    want = loop_glances([r[2] for r in rows if r[0] == 1 and r[2] > 0])
+    found = glances.glance_list(tree, 9).filter("scan_id = 1").orderBy("glance").collect()
+    assert [r.time_s for r in found] == pytest.approx(want) and sum(r.n_steps for r in found) == sum(r[2] > 0 for r in rows if r[0] == 1)
+
+
 def test_median_trial(spark):
     rows = [(1, 1, 1, t, f, 0.5) for t, f in enumerate([9, 3, 3, 7, 3], 1)] + [(2, 1, 1, 1, 4, 0.5)]
     df = spark.createDataFrame(
