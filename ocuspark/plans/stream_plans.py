@@ -39,28 +39,32 @@ def _(t):
 # Parts of a recording between pauses of over a second, as recordings of their own.
 PARTS = """
 paused AS (SELECT *, CAST(sum(CASE WHEN device_us - before > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY rn) AS BIGINT) AS part
-  FROM (SELECT *, lag(device_us) OVER (PARTITION BY recording_id ORDER BY rn) AS before, max(device_us) OVER (PARTITION BY recording_id) AS rec_last FROM @rows@) p),
+  FROM (SELECT *, lag(device_us) OVER (PARTITION BY recording_id ORDER BY rn) AS before, max(device_us) OVER (PARTITION BY recording_id) AS rec_last FROM @rows@ WHERE device_us <= (SELECT (max(device_us) // 1000 - 2000) * 1000 FROM @rows@)) p),
 parts AS (SELECT * EXCLUDE (recording_id, rn), recording_id * 1000000 + part AS recording_id,
   row_number() OVER (PARTITION BY recording_id, part ORDER BY rn) AS rn, count(*) OVER (PARTITION BY recording_id, part) AS n,
   max(device_us) OVER (PARTITION BY recording_id, part) AS last FROM paused)
 """
 
 
-# A detector finishes what is open at a pause, and when the watermark (two seconds behind
-# the latest sample, in whole milliseconds) passes a second after the last sample.
+# A detector takes the samples that the watermark (two seconds behind the latest sample, in
+# whole milliseconds) has passed, and finishes what is open at a pause and when the watermark
+# passes a second after the last sample.
+MARK = "(SELECT (max(device_us) // 1000 - 2000) * 1000 FROM @rows@)"
+
+
 @query(
     "stream_live_fixations",
     POINTS.replace("@samples@", "gaze_samples").rstrip() + "," + PARTS.replace("@rows@", "points")
-    + _fix_sql("parts", "px", "py").replace("HAVING", """, recording_id, fixation_id
+    + _fix_sql("parts", "px", "py").replace("HAVING", f""", recording_id, fixation_id
       HAVING (max(rn) < max(n) OR max(device_us) < max(rec_last)
-        OR max(device_us) // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM points)) AND""").replace(
+        OR max(device_us) + 1000000 <= {MARK.replace("@rows@", "points")}) AND""").replace(
         "min(t_ms) AS start_ms, max(t_ms) AS end_ms", "min(device_us) AS start_us, max(device_us) AS end_us").replace("count(*) AS n,", "count(*) AS size,")
     + "SELECT recording_id // 1000000 AS recording_id, start_us, end_us, size AS n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM fix",
     G,
 )
 def _(t):
     fixations = live.run_available(live.live_fixations(live.clean(_samples(t))))
-    return fixations.withColumns({c: F.round(c, 6) for c in ("mean_x", "mean_y")})
+    return fixations.withColumns({c: F.round(c, 6) for c in ("mean_x", "mean_y")}).drop("closed_at")
 
 
 @query(
@@ -70,7 +74,7 @@ def _(t):
       FROM (SELECT *, CAST(floor((epoch_us(ts) - 1704067200000000) / 400000) AS BIGINT) AS device_us FROM events) e),"""
     + PARTS.replace("@rows@", "signal") + ", gaps AS (SELECT * FROM parts)"
     + EVENTS[len(MOTION):] + """SELECT recording_id // 1000000 AS recording_id, sample_id, device_us, event FROM events_labelled
-      WHERE rn <= n - 3 OR last < rec_last OR last // 1000 + 1000 <= (SELECT max(device_us) // 1000 - 2000 FROM gaps)""",
+      WHERE rn <= n - 3 OR last < rec_last OR last + 1000000 <= """ + MARK.replace("@rows@", "signal"),
 )
 def _(t):
     # A stand-in signal: the value column as velocity, time compressed as in the gaze table.

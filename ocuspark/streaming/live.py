@@ -2,9 +2,10 @@
 
 Streams carry ``event_time`` (timestamp) besides the gaze columns. Everything
 but the two detectors is declarative; the detectors keep a few numbers per
-recording in the state store (RocksDB) and use an event-time timer to finish a
-recording that went quiet. A recording is one device at a fixed sampling rate,
-so the rows of a key per micro-batch are bounded by the trigger interval.
+recording in the state store (RocksDB), besides the rows that wait for the
+watermark, so files may arrive in any order within the delay. A recording is one
+device at a fixed sampling rate, so the rows of a key per micro-batch are bounded
+by the trigger interval.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampType,
 )
 
 from ocuspark.operators import gaze
@@ -50,55 +52,127 @@ def clean(samples: DataFrame, drop_invalid: bool = False) -> DataFrame:
     return points.drop("left_x", "left_y", "right_x", "right_y", "gaze_x", "gaze_y")
 
 
-FIXATION_OUT = StructType(
-    [
-        StructField("recording_id", LongType()),
-        StructField("start_us", LongType()),
-        StructField("end_us", LongType()),
-        StructField("n", LongType()),
-        StructField("mean_x", DoubleType()),
-        StructField("mean_y", DoubleType()),
-    ]
-)
-FIXATION_STATE = StructType(
-    [
-        StructField("n", LongType()),
-        StructField("start_us", LongType()),
-        StructField("last_us", LongType()),
-        StructField("x", DoubleType()),
-        StructField("y", DoubleType()),
-        StructField("wx", DoubleType()),
-        StructField("wy", DoubleType()),
-    ]
-)
+def _struct(**kinds) -> StructType:
+    return StructType([StructField(name, kind()) for name, kind in kinds.items()])
 
 
-class FixationProcessor(StatefulProcessor):
-    """State: size, start, last point and weighted sums of the open fixation.
+class InOrder(StatefulProcessor):
+    """Gives the rows of a recording to a detector in event order, whatever order they arrive in.
+
+    Rows wait in a buffer until the watermark has passed them: then no earlier row
+    can come, as the engine drops rows behind the watermark. A timer on the
+    earliest waiting row starts the release, and one QUIET_MS after the last
+    released row finishes a recording that went quiet. The buffer holds what
+    arrives within the watermark's delay and one trigger.
 
-    Size 0 stands for "the last sample broke a fixation": the next one opens.
+    A detector says ``held`` (columns behind sample_id and device_us), ``kept``
+    (its state) and ``absorb``, ``finish`` and ``blank``.
     """
 
+    held: StructType
+    kept: StructType
+    out: StructType
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", FIXATION_STATE)
+        self.waiting = handle.getListState("waiting", StructType([*_struct(sample_id=LongType, device_us=LongType), *self.held]))
+        self.state = handle.getValueState("open", self.kept)
+        self.last = handle.getValueState("last", _struct(us=LongType))
+
+    def blank(self) -> tuple:
+        raise NotImplementedError
+
+    def absorb(self, key, state: tuple, rows: list[tuple], since: int | None) -> tuple[list[tuple], tuple]:
+        """Finished rows and the new state; ``since`` is the time of the row before."""
+        raise NotImplementedError
+
+    def finish(self, key, state: tuple, last: int) -> list[tuple]:
+        """Rows that end when nothing follows ``last``."""
+        raise NotImplementedError
+
+    def _wake(self, us: list[int], last: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        times = [min(us)] if us else []
+        if last is not None:
+            times.append(last + QUIET_MS * 1000)
+        for t in {-(-t // 1000) for t in times}:
+            self.handle.registerTimer(t)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        names = ["sample_id", "device_us", *self.held.names]
+        low: list[int] = []
+        for batch in rows:
+            columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in names]
+            self.waiting.appendList(list(zip(*columns)))
+            low.append(int(batch["device_us"].min()))
+        for timer in self.handle.listTimers():
+            low.append(timer * 1000)
+        self._wake(low, None)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
+        cut = next((i for i, r in enumerate(rows) if r[1] > mark), len(rows))
+        done: list[tuple] = []
+        state = tuple(self.state.get()) if self.state.exists() else self.blank()
+        last = self.last.get()[0] if self.last.exists() else None
+        if cut:
+            done, state = self.absorb(key, state, rows[:cut], last)
+            last = rows[cut - 1][1]
+            if rows[cut:]:
+                self.waiting.put(rows[cut:])
+            else:
+                self.waiting.clear()
+        if last is not None and last + QUIET_MS * 1000 <= mark:
+            done += self.finish(key, state, last)
+            self.state.clear()
+            self.last.clear()
+            last = None
+        elif last is not None:
+            self.state.update(state)
+            self.last.update((last,))
+        self._wake([r[1] for r in rows[cut:]], last)
+        if done:
+            yield pd.DataFrame(done, columns=self.out.names)
+
+    def close(self) -> None:
+        pass
+
+
+class FixationProcessor(InOrder):
+    """State: size, start, last point and weighted sums of the open fixation.
+
+    Size 0 stands for "the last sample broke a fixation": the next one opens. A
+    fixation is closed by the sample that breaks it, or QUIET_MS after its last.
+    """
+
+    held = _struct(px=DoubleType, py=DoubleType)
+    kept = _struct(n=LongType, start_us=LongType, x=DoubleType, y=DoubleType, wx=DoubleType, wy=DoubleType)
+    out = StructType(
+        [
+            *_struct(recording_id=LongType, start_us=LongType, end_us=LongType, n=LongType, mean_x=DoubleType, mean_y=DoubleType),
+            StructField("closed_at", TimestampType()),
+        ]
+    )
+
+    def blank(self) -> tuple:
+        return 0, 0, 0.0, 0.0, 0.0, 0.0
 
-    def _close(self, key, s) -> list[tuple]:
-        n, start, last, _, _, wx, wy = s
+    def _close(self, key, s: tuple, last: int, closed: int) -> list[tuple]:
+        n, start, _, _, wx, wy = s
         if n == 0 or (last - start) / 1000 < gaze.FIXATION_MIN_MS:
             return []
         weight = n * (n + 1) / 2
-        return [(key[0], start, last, n, wx / weight, wy / weight)]
+        return [(key[0], start, last, n, wx / weight, wy / weight, pd.Timestamp(closed, unit="us"))]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows)).sort_values(["device_us", "sample_id"])
-        s = self.state.get() if self.state.exists() else (0, 0, 0, 0.0, 0.0, 0.0, 0.0)
-        n, start, last, lx, ly, wx, wy = s
+    def absorb(self, key, state, rows, since):
+        n, start, lx, ly, wx, wy = state
         done: list[tuple] = []
-        for us, x, y in zip(batch["device_us"], batch["px"], batch["py"]):
-            us, x, y = int(us), float(x), float(y)
-            if n > 0 and us - last > QUIET_MS * 1000:
-                done += self._close(key, (n, start, last, lx, ly, wx, wy))
+        for _, us, x, y in rows:
+            if n > 0 and us - since > QUIET_MS * 1000:
+                done += self._close(key, (n, start, lx, ly, wx, wy), since, since + QUIET_MS * 1000)
                 n = 0
             if n == 0:
                 n, start, wx, wy = 1, us, x, y
@@ -106,45 +180,15 @@ class FixationProcessor(StatefulProcessor):
                 n += 1
                 wx, wy = wx + n * x, wy + n * y
             else:
-                done += self._close(key, (n, start, last, lx, ly, wx, wy))
+                done += self._close(key, (n, start, lx, ly, wx, wy), since, us)
                 n = 0
-            last, lx, ly = us, x, y
-        self.state.update((n, start, last, lx, ly, wx, wy))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + QUIET_MS)
-        if done:
-            yield pd.DataFrame(done, columns=FIXATION_OUT.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            done = self._close(key, self.state.get())
-            self.state.clear()
-            if done:
-                yield pd.DataFrame(done, columns=FIXATION_OUT.names)
+            since, lx, ly = us, x, y
+        return done, (n, start, lx, ly, wx, wy)
 
-    def close(self) -> None:
-        pass
+    def finish(self, key, state, last):
+        return self._close(key, state, last, last + QUIET_MS * 1000)
 
 
-EVENT_OUT = StructType(
-    [
-        StructField("recording_id", LongType()),
-        StructField("sample_id", LongType()),
-        StructField("device_us", LongType()),
-        StructField("event", StringType()),
-    ]
-)
-EVENT_STATE = StructType(
-    [
-        StructField("busy", BooleanType()),
-        StructField("done", LongType()),
-        StructField("ids", ArrayType(LongType())),
-        StructField("us", ArrayType(LongType())),
-        StructField("velocity", ArrayType(DoubleType())),
-        StructField("gap", ArrayType(StringType())),
-    ]
-)
 AHEAD, BEHIND = 3, 2
 
 
@@ -189,12 +233,24 @@ def label_run(velocity, gap, busy: bool, at_start: bool, at_end: bool):
     return out, states
 
 
-class EventProcessor(StatefulProcessor):
+class EventProcessor(InOrder):
     """State: saccade flag, number of labelled samples and a five-sample buffer."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("buffer", EVENT_STATE)
+    held = _struct(velocity=DoubleType, gap=StringType)
+    kept = StructType(
+        [
+            StructField("busy", BooleanType()),
+            StructField("done", LongType()),
+            StructField("ids", ArrayType(LongType())),
+            StructField("us", ArrayType(LongType())),
+            StructField("velocity", ArrayType(DoubleType())),
+            StructField("gap", ArrayType(StringType())),
+        ]
+    )
+    out = _struct(recording_id=LongType, sample_id=LongType, device_us=LongType, event=StringType)
+
+    def blank(self) -> tuple:
+        return False, 0, [], [], [], []
 
     def _label(self, key, busy, done, ids, us, velocity, gap, at_end: bool):
         seen = min(done, BEHIND)
@@ -213,15 +269,10 @@ class EventProcessor(StatefulProcessor):
         )
         return rows, rest
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows)).sort_values(["device_us", "sample_id"])
-        busy, done, ids, us, velocity, gap = (
-            self.state.get() if self.state.exists() else (False, 0, [], [], [], [])
-        )
-        ids = [*ids, *(int(v) for v in batch["sample_id"])]
-        us = [*us, *(int(v) for v in batch["device_us"])]
-        velocity = [*velocity, *(float(v) for v in batch["velocity"])]
-        gap = [*gap, *(v if isinstance(v, str) else "" for v in batch["gap"])]
+    def absorb(self, key, state, rows, since):
+        busy, done, *kept = state
+        ids, us, velocity, gap = ([*old, *new] for old, new in zip(kept, zip(*rows)))
+        gap = [g or "" for g in gap]
         out: list[tuple] = []
         begin = 0
         for i in range(1, len(us)):
@@ -230,45 +281,37 @@ class EventProcessor(StatefulProcessor):
                 out += self._label(key, busy, done, ids[part], us[part], velocity[part], gap[part], True)[0]
                 busy, done, begin = False, 0, i
         more, rest = self._label(key, busy, done, ids[begin:], us[begin:], velocity[begin:], gap[begin:], False)
-        out += more
-        self.state.update(rest)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(us[-1] // 1000 + QUIET_MS)
-        if out:
-            yield pd.DataFrame(out, columns=EVENT_OUT.names)
+        return out + more, rest
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            out, _ = self._label(key, *self.state.get(), True)
-            self.state.clear()
-            if out:
-                yield pd.DataFrame(out, columns=EVENT_OUT.names)
+    def finish(self, key, state, last):
+        return self._label(key, *state, True)[0]
 
-    def close(self) -> None:
-        pass
 
-
-def _stateful(df: DataFrame, processor: StatefulProcessor, out: StructType) -> DataFrame:
+def _stateful(df: DataFrame, processor: InOrder, event_time: str = "") -> DataFrame:
     df.sparkSession.conf.set(PROVIDER, ROCKSDB)
     return df.groupBy("recording_id").transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType=out,
+        outputStructType=processor.out,
         outputMode="Append",
         timeMode="EventTime",
+        eventTimeColumnName=event_time,
     )
 
 
 def live_fixations(points: DataFrame) -> DataFrame:
-    """Finished fixations of a cleaned point stream (px, py)."""
+    """Finished fixations of a cleaned point stream (px, py).
+
+    ``closed_at``, when a fixation was known to be over, is the stream's event
+    time, so windows and joins may follow in the same query.
+    """
     columns = ["recording_id", "sample_id", "device_us", "px", "py", "event_time"]
-    return _stateful(points.select(*columns), FixationProcessor(), FIXATION_OUT)
+    return _stateful(points.select(*columns), FixationProcessor(), "closed_at")
 
 
 def live_events(signal: DataFrame) -> DataFrame:
     """Event labels of a stream with ``velocity`` and ``gap`` columns."""
     columns = ["recording_id", "sample_id", "device_us", "velocity", "gap", "event_time"]
-    return _stateful(signal.select(*columns), EventProcessor(), EVENT_OUT)
+    return _stateful(signal.select(*columns), EventProcessor())
 
 
 def recording_sessions(samples: DataFrame, gap: str = "200 milliseconds") -> DataFrame:

@@ -1,6 +1,7 @@
 """The live detectors give the batch results, whatever the micro-batches."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,27 @@ def test_pauses_end_what_is_open_however_files_are_split(spark, tmp_path, parts)
         labels, _ = live.label_run([r[5] for r in rows[a:b]], [""] * (b - a), False, True, True)
         want |= dict(zip(range(a, b), labels))
     assert {r.sample_id: r.event for r in events if r.recording_id == 1} == want
+
+
+@pytest.mark.parametrize("order", ["forward", "backward", "dealt"])
+def test_files_in_any_order_within_the_delay_give_the_batch_result(spark, tmp_path, order):
+    """One and a half seconds of samples over files that arrive forward, backward, or with every file holding every fifth sample."""
+    rng = random.Random(8)
+    rows, x = [], 200.0
+    for i in range(75):
+        x = rng.uniform(0, 800) if rng.random() < 0.15 else x
+        rows.append((1, i, 1_000_000_000 + 20_000 * i, x + rng.uniform(-3, 3), 100.0, rng.choice([0.0, 60.0, 60.0]) if i else 0.0, rng.choice([None] * 9 + ["Blink_End"])))
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = [rows[15 * k : 15 * k + 15] for k in range(5)]
+    parts = {"forward": parts, "backward": parts[::-1], "dealt": [rows[k::5] for k in range(5)]}[order]
+    # The last sample lets the timers run out.
+    for k, part in enumerate([*parts, [(99, 0, 1_060_000_000, 1.0, 1.0, 0.0, None)]]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/f{k}")
+        time.sleep(0.02)  # files are read by age
+    got = live.run_available(live.live_fixations(stream(spark, tmp_path))).collect()
+    batch = gaze.fixations(ordered.with_halo(gaze.with_position(df), 2)).collect()
+    assert sorted((r.start_us / 1000 - 1e6, r.n, round(r.mean_x, 6)) for r in got) == sorted((r.start_ms, r.n, round(r.mean_x, 6)) for r in batch)
+    assert len(got) > 3
+    events = live.run_available(live.live_events(stream(spark, tmp_path))).filter("recording_id = 1").collect()
+    labels, _ = live.label_run([r[5] for r in rows], [r[6] or "" for r in rows], False, True, True)
+    assert {r.sample_id: r.event for r in events} == dict(enumerate(labels))
