@@ -52,14 +52,18 @@ parts AS (SELECT * EXCLUDE (recording_id, rn), recording_id * 1000000 + part AS
 MARK = "(SELECT (max(device_us) // 1000 - 2000) * 1000 FROM @rows@)"
 
 
-@query(
-    "stream_live_fixations",
+LIVE_FIX = (
     POINTS.replace("@samples@", "gaze_samples").rstrip() + "," + PARTS.replace("@rows@", "points")
     + _fix_sql("parts", "px", "py").replace("HAVING", f""", recording_id, fixation_id
       HAVING (max(rn) < max(n) OR max(device_us) < max(rec_last)
         OR max(device_us) + 1000000 <= {MARK.replace("@rows@", "points")}) AND""").replace(
-        "min(t_ms) AS start_ms, max(t_ms) AS end_ms", "min(device_us) AS start_us, max(device_us) AS end_us").replace("count(*) AS n,", "count(*) AS size,")
-    + "SELECT recording_id // 1000000 AS recording_id, start_us, end_us, size AS n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM fix",
+        "min(t_ms) AS start_ms, max(t_ms) AS end_ms", "min(device_us) AS start_us, max(device_us) AS end_us, max(rn) AS last_rn").replace("count(*) AS n,", "count(*) AS size,")
+)
+
+
+@query(
+    "stream_live_fixations",
+    LIVE_FIX + "SELECT recording_id // 1000000 AS recording_id, start_us, end_us, size AS n, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y FROM fix",
     G,
 )
 def _(t):
@@ -152,3 +156,31 @@ def _(t):
     )
     uploads = live.unique_uploads(e.withWatermark("event_time", "1 hour"))
     return live.run_available(uploads).select("sha256")
+
+
+def _aoi_sql(seconds: int) -> str:
+    """A fixation is closed by the sample that breaks it or a second after its last; it counts in the windows of that time."""
+    return LIVE_FIX + f""", closed AS (SELECT f.recording_id // 1000000 % 500 AS screen_id, f.mean_x, f.mean_y, coalesce(i.device_us, f.end_us + 1000000) AS closed_us
+      FROM fix f LEFT JOIN islands i ON i.recording_id = f.recording_id AND i.rn = f.last_rn + 1),
+    aoi AS (SELECT closed_us // 1000000 - unnest(range({seconds})) AS second, EXISTS (SELECT 1 FROM elements e WHERE e.screen_id = c.screen_id
+      AND c.mean_x BETWEEN e.x AND e.x + e.w AND c.mean_y BETWEEN e.y AND e.y + e.h) AS hit FROM closed c)
+    SELECT second * 1000000 AS window_start, (second + {seconds}) * 1000000 AS window_end, count(*) AS n_fixations,
+      round(avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END), 6) AS hit_rate FROM aoi GROUP BY second
+    HAVING (second + {seconds}) * 1000000 <= {MARK.replace("@rows@", "points")}"""
+
+
+def _aoi_rates(t, length: str, slide: str | None = None):
+    shown = t["events"].select(F.col("user_id").alias("recording_id"), (F.col("user_id") % 500).alias("screen_id")).distinct()
+    hits = live.aoi_hits(live.live_fixations(live.clean(_samples(t))), shown, t["elements"])
+    rates = live.run_available(live.hit_rates(hits, length, slide, time="closed_at"))
+    return _micros(rates, "window_start", "window_end").withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query("stream_aoi_hit_rate_tumbling", _aoi_sql(1), ("gaze_samples", "elements"))
+def _(t):
+    return _aoi_rates(t, "1 second")
+
+
+@query("stream_aoi_hit_rate_sliding", _aoi_sql(2), ("gaze_samples", "elements"))
+def _(t):
+    return _aoi_rates(t, "2 seconds", "1 second")

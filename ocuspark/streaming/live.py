@@ -328,12 +328,52 @@ def recording_sessions(samples: DataFrame, gap: str = "200 milliseconds") -> Dat
     )
 
 
-def hit_rates(hits: DataFrame, length: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """AOI hit rate and fixation count per (sliding) window.
+def aoi_tiles(elements: DataFrame, size: int = 32) -> DataFrame:
+    """Static side of the stream join: (screen_id, tile_x, tile_y), whether one element covers the tile, and the others clipped to it.
+
+    A covered tile keeps no boxes and equal pieces count once, so a row is bounded
+    by the tile's size, not by the number of elements.
+    """
+    x, y, x1, y1 = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+
+    def tiles(low, high):
+        return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+
+    cut = (
+        elements.select("screen_id", x.alias("x"), y.alias("y"), x1.alias("x1"), y1.alias("y1"))
+        .withColumn("tile_x", tiles(F.col("x"), F.col("x1")))
+        .withColumn("tile_y", tiles(F.col("y"), F.col("y1")))
+    )
+    left, top = F.col("tile_x") * size, F.col("tile_y") * size
+    box = F.struct(
+        F.greatest("x", left).alias("x"), F.greatest("y", top).alias("y"), F.least("x1", left + size).alias("x1"), F.least("y1", top + size).alias("y1")
+    )
+    whole = (box["x"] == left) & (box["y"] == top) & (box["x1"] == left + size) & (box["y1"] == top + size)
+    merged = cut.groupBy("screen_id", "tile_x", "tile_y").agg(F.max(whole).alias("covered"), F.collect_set(F.when(~whole, box)).alias("boxes"))
+    return merged.withColumn("boxes", F.when(~F.col("covered"), F.col("boxes")))
+
+
+def aoi_hits(fixations: DataFrame, shown: DataFrame, elements: DataFrame, size: int = 32) -> DataFrame:
+    """A fixation stream with ``hit``: does an element of the shown screen contain its mean point (borders included)?
+
+    ``shown`` (recording_id, screen_id) and ``elements`` are static. The join is
+    by screen and tile and meets at most one row, so it neither drops nor repeats
+    a fixation and needs no state; the watermark passes through. A fixation of a
+    recording without screen is no hit.
+    """
+    x, y = F.col("mean_x"), F.col("mean_y")
+    placed = fixations.join(shown, "recording_id", "left").withColumns({"tile_x": F.floor(x / size), "tile_y": F.floor(y / size)})
+    inside = F.exists("boxes", lambda b: x.between(b["x"], b["x1"]) & y.between(b["y"], b["y1"]))
+    hit = F.coalesce(F.col("covered"), F.lit(False)) | F.coalesce(inside, F.lit(False))
+    return placed.join(aoi_tiles(elements, size), ["screen_id", "tile_x", "tile_y"], "left").select(*fixations.columns, "screen_id", hit.alias("hit"))
+
+
+def hit_rates(hits: DataFrame, length: str = "10 minutes", slide: str | None = None, time: str = "event_time") -> DataFrame:
+    """AOI hit rate and fixation count per (sliding) window of the column ``time``.
 
     Windows have no other key, so counts combine before the shuffle.
     """
-    w = F.window("event_time", length, slide) if slide else F.window("event_time", length)
+    w = F.window(time, length, slide) if slide else F.window(time, length)
     return (
         hits.groupBy(w.alias("w"))
         .agg(

@@ -119,3 +119,38 @@ def test_files_in_any_order_within_the_delay_give_the_batch_result(spark, tmp_pa
     events = live.run_available(live.live_events(stream(spark, tmp_path))).filter("recording_id = 1").collect()
     labels, _ = live.label_run([r[5] for r in rows], [r[6] or "" for r in rows], False, True, True)
     assert {r.sample_id: r.event for r in events} == dict(enumerate(labels))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_aoi_hit_rates_do_not_depend_on_the_files(spark, tmp_path, parts):
+    """Detector, stream-static join and windows in one query, beside the batch fixations and a loop over the elements."""
+    rng = random.Random(3)
+    rows = []
+    for rec in (1, 2, 3):
+        x = y = 100.0
+        for i in range(300):
+            if rng.random() < 0.1:
+                x, y = rng.uniform(0, 300), rng.uniform(0, 300)
+            rows.append((rec, i, 1_000_000_000 + 20_000 * i, x + rng.uniform(-3, 3), y, 0.0, None))
+    rows.sort(key=lambda r: r[2])
+    size = -(-len(rows) // parts)
+    for k, part in enumerate([*(rows[i : i + size] for i in range(0, len(rows), size)), [(99, 0, 1_060_000_000, 1.0, 1.0, 0.0, None)]]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/f{k:02d}")
+        time.sleep(0.02)
+    shown = spark.createDataFrame([(1, 7), (2, 8)], "recording_id long, screen_id long")
+    boxes = [(s, rng.randrange(300), rng.randrange(300), rng.randrange(1, 90), rng.randrange(1, 90)) for s in (7, 8) for _ in range(12)] + [(7, 64, 64, 64, 64)] * 2
+    elements = spark.createDataFrame(boxes, "screen_id long, x int, y int, w int, h int")
+    fixations = live.live_fixations(stream(spark, tmp_path))
+    got = live.run_available(live.hit_rates(live.aoi_hits(fixations, shown, elements), "2 seconds", "1 second", time="closed_at")).collect()
+    batch = gaze.fixations(ordered.with_halo(gaze.with_position(spark.createDataFrame(rows, SCHEMA)), 2)).collect()
+    want = {}
+    times = [1_000_000_000 + 20_000 * i for i in range(300)]
+    for r in batch:
+        end = round(r.end_ms * 1000) + 1_000_000_000 if r.end_ms < 1e6 else round(r.end_ms * 1000)
+        closed = next((t for t in times if t > end), end + 1_000_000)
+        screen = {1: 7, 2: 8}.get(r.recording_id)
+        hit = any(s == screen and x <= r.mean_x <= x + w and y <= r.mean_y <= y + h for s, x, y, w, h in boxes)
+        for second in (closed // 10**6, closed // 10**6 - 1):
+            want.setdefault(second, []).append(hit)
+    assert {r.window_start.timestamp(): (r.n_fixations, round(r.hit_rate, 9)) for r in got} == {float(s): (len(v), round(sum(v) / len(v), 9)) for s, v in want.items()}
+    assert 0 < sum(sum(v) for v in want.values()) < sum(map(len, want.values()))
