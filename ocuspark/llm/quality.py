@@ -33,6 +33,7 @@ from ocuspark.llm.text import held_out, written
 WINDOW = 1024  # bytes compressed at once
 DICTIONARY = 64 << 10
 LEVEL = 3
+ROWS = 512  # texts scored at once
 COLUMNS = ("by_sum", "by_bytes", "cost")
 
 
@@ -167,16 +168,13 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least the threshold."""
-    carried = docs.withColumn("_quality_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = carried.select(F.col("_quality_row"), F.col("text").cast("string").alias("text"))
-    kinds = rows.schema["_quality_row"].dataType.simpleString()
+    """The rows of docs, all columns, whose text scores at least the threshold. Only texts leave the JVM, once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = _Sizes(model.good, model.bad)
-        for batch in batches:
-            good = pa.array(model.probability(sizes.matrix(batch.column("text"))) >= threshold)
-            yield batch.select(["_quality_row"]).filter(good)
+        for part in parts:
+            good = [model.probability(sizes.matrix(part.slice(a, ROWS))) >= threshold for a in range(0, len(part), ROWS)]
+            yield pa.array(np.concatenate(good) if good else [], pa.bool_())
 
-    kept = rows.mapInArrow(run, f"_quality_row {kinds}")
-    return kept.select("_quality_row.*")
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
