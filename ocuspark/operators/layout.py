@@ -47,6 +47,7 @@ WORD = (
     r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
+EDGES = rf"^[{WORD[2:-2]}]+|[{WORD[2:-2]}]+$"
 # -------------------------------------------------------------------------
 
 
@@ -203,38 +204,87 @@ def _inside(e: Column, px: Column, py: Column) -> Column:
     return px.between(e["x"], e["x"] + e["w"]) & py.between(e["y"], e["y"] + e["h"])
 
 
-def hit_first(points: DataFrame, packed: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame:
+POINT_TILE = 64  # pixels
+
+
+def _flat(elements: DataFrame) -> DataFrame:
+    """Elements one per row; a table of packed screens is opened."""
+    return elements.selectExpr("screen_id", "inline(elements)") if "elements" in elements.columns else elements
+
+
+def points_inside(points: DataFrame, elements: DataFrame, x: str, y: str) -> DataFrame:
+    """screen_id, _x, _y, element_id: every element whose box (borders included) contains a point, each distinct point once.
+
+    Points and elements meet in tiles of POINT_TILE pixels, so a point sees the
+    elements near it only, however many its screen has; crowded tiles are split.
+    """
+    spots = points.select("screen_id", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
+    spots = spots.filter("_x IS NOT NULL AND _y IS NOT NULL").withColumns({"_tx": F.floor(F.col("_x") / POINT_TILE), "_ty": F.floor(F.col("_y") / POINT_TILE)})
+
+    def tiles(low: Column, size: str) -> Column:
+        return F.explode(F.sequence(F.floor(low / POINT_TILE), F.floor((low + F.col(size)) / POINT_TILE)))
+
+    boxes = _flat(elements).select("screen_id", "element_id", "x", "y", "w", "h").withColumn("_tx", tiles(F.col("x"), "w")).withColumn("_ty", tiles(F.col("y"), "h"))
+    met = split_join(spots, boxes, ["screen_id", "_tx", "_ty"], spread=["_x", "_y"])
+    hit = F.col("_x").between(F.col("x"), F.col("x") + F.col("w")) & F.col("_y").between(F.col("y"), F.col("y") + F.col("h"))
+    return met.filter(hit).select("screen_id", "_x", "_y", "element_id")
+
+
+def _with_spots(points: DataFrame, found: DataFrame, x: str, y: str) -> DataFrame:
+    """Every row of points beside the rows found for its spot, nulls where there is none."""
+    keyed = points.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
+    return split_join(keyed, found, ["screen_id", "_x", "_y"], how="left").drop("_x", "_y")
+
+
+def hit_first(points: DataFrame, elements: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame:
     """First element (id order) whose box contains the point; null if none."""
-    hits = F.filter("elements", lambda e: _inside(e, F.col(x), F.col(y)))
-    return split_join(points, packed, ["screen_id"], how="left").withColumn(
-        "element_id", F.try_element_at(hits, F.lit(1))["element_id"]
-    ).drop("elements")
+    first = points_inside(points, elements, x, y).groupBy("screen_id", "_x", "_y").agg(F.min("element_id").alias("element_id"))
+    return _with_spots(points, first, x, y)
 
 
-def resolve_target(requests: DataFrame, packed: DataFrame) -> DataFrame:
-    """Target element: by id, else the first containing box, else nearest centre."""
-    tx, ty = F.col("target_x"), F.col("target_y")
-    by_id = F.filter("elements", lambda e: e["element_id"] == F.col("target_id"))
-    inside = F.filter("elements", lambda e: _inside(e, tx, ty))
-    nearest = F.array_min(
-        F.transform(
-            "elements",
-            lambda e, i: F.struct(
-                (F.pow(e["cx"] - tx, 2) + F.pow(e["cy"] - ty, 2)).alias("d"),
-                i.alias("i"),
-                e["element_id"].alias("element_id"),
-            ),
-        )
-    )
-    chosen = (
-        F.when(
-            F.col("target_id").isNotNull(), F.try_element_at(by_id, F.lit(1))["element_id"]
+def nearest_centres(points: DataFrame, elements: DataFrame, x: str, y: str) -> DataFrame:
+    """screen_id, _x, _y, element_id: the element with the nearest centre (ties: smallest id) of each distinct point.
+
+    Rounds over tiles: a point looks at the three by three tiles around it. A
+    centre no further than a tile's side is the nearest, as all others lie
+    further; points without one go on with tiles twice as wide.
+    """
+    centres = cut(_flat(elements).select("screen_id", "element_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")))
+    spots = points.select("screen_id", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
+    left = cut(spots.join(centres.select("screen_id").distinct(), "screen_id", "left_semi").filter("_x IS NOT NULL AND _y IS NOT NULL"))
+    done, side = [], float(POINT_TILE)
+    while not left.isEmpty():
+        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        asked = left.withColumn("_i", around).withColumn("_j", around).select(
+            "screen_id", "_x", "_y", (F.floor(F.col("_x") / side) + F.col("_i")).alias("_tx"), (F.floor(F.col("_y") / side) + F.col("_j")).alias("_ty")
         )
-        .when(tx.isNull() | ty.isNull(), F.lit(None))
-        .otherwise(F.coalesce(F.try_element_at(inside, F.lit(1))["element_id"], nearest["element_id"]))
-    )
-    joined = split_join(requests, packed, ["screen_id"], how="left")
-    return joined.withColumn("resolved_id", chosen).drop("elements")
+        dealt = centres.withColumns({"_tx": F.floor(F.col("cx") / side), "_ty": F.floor(F.col("cy") / side)})
+        met = split_join(asked, dealt, ["screen_id", "_tx", "_ty"], spread=["_x", "_y"])
+        far = (F.pow(F.col("cx") - F.col("_x"), 2) + F.pow(F.col("cy") - F.col("_y"), 2)).alias("d")
+        best = met.groupBy("screen_id", "_x", "_y").agg(F.min(F.struct(far, F.col("element_id"))).alias("best")).filter(F.col("best.d") <= side * side)
+        best = cut(best.select("screen_id", "_x", "_y", F.col("best.element_id").alias("element_id")))
+        done.append(best)
+        left = cut(left.join(best, ["screen_id", "_x", "_y"], "left_anti"))
+        side *= 2
+    out = done[0] if done else spots.limit(0).withColumn("element_id", F.lit(None).cast(centres.schema["element_id"].dataType))
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def resolve_target(requests: DataFrame, elements: DataFrame) -> DataFrame:
+    """Target element: by id, else the first containing box, else nearest centre."""
+    flat = _flat(elements)
+    known = flat.select("screen_id", F.col("element_id").alias("target_id"), F.col("element_id").alias("_by_id")).dropDuplicates(["screen_id", "target_id"])
+    named = split_join(requests, known, ["screen_id", "target_id"], how="left")
+    open_ = requests.filter("target_id IS NULL")
+    inside = points_inside(open_, flat, "target_x", "target_y").groupBy("screen_id", "_x", "_y").agg(F.min("element_id").alias("_inside"))
+    inside = cut(inside)
+    spots = open_.select("screen_id", F.col("target_x").cast("double").alias("_x"), F.col("target_y").cast("double").alias("_y"))
+    near = nearest_centres(spots.join(inside, ["screen_id", "_x", "_y"], "left_anti"), flat, "_x", "_y")
+    found = inside.unionAll(near)
+    chosen = F.when(F.col("target_id").isNotNull(), F.col("_by_id")).otherwise(F.col("_inside"))
+    return _with_spots(named, found, "target_x", "target_y").withColumn("resolved_id", chosen).drop("_by_id", "_inside")
 
 
 def append_region(elements: DataFrame, regions: DataFrame) -> DataFrame:
@@ -272,15 +322,9 @@ def append_region(elements: DataFrame, regions: DataFrame) -> DataFrame:
     return describe_elements(detected.unionByName(placed))
 
 
-def aoi_hits(fixations: DataFrame, packed: DataFrame) -> DataFrame:
+def aoi_hits(fixations: DataFrame, elements: DataFrame) -> DataFrame:
     """One row per fixation and element hit; misses keep a null element."""
-    hits = F.transform(
-        F.filter("elements", lambda e: _inside(e, F.col("x"), F.col("y"))),
-        lambda e: e["element_id"],
-    )
-    return split_join(fixations, packed, ["screen_id"], how="left").withColumn(
-        "element_id", F.explode_outer(hits)
-    ).drop("elements")
+    return _with_spots(fixations, points_inside(fixations, elements, "x", "y"), "x", "y")
 
 
 def aoi_dwell(hits: DataFrame) -> DataFrame:
@@ -325,28 +369,40 @@ def word_count(text: str) -> Column:
     return F.regexp_count(F.col(text), F.lit(WORD))
 
 
-def element_texts(boxes: DataFrame, packed: DataFrame) -> DataFrame:
+def element_texts(boxes: DataFrame, elements: DataFrame) -> DataFrame:
     """Words and reading seconds per element that carries text."""
     # Words are counted once per text; blank boxes add nothing to their element.
     usable = boxes.filter(F.col("conf") >= MIN_TEXT_CONFIDENCE).select(
         "screen_id", "cx", "cy", word_count("text").alias("_words")
     )
-    hit = hit_first(usable, packed).filter(F.col("element_id").isNotNull())
+    hit = hit_first(usable, elements).filter(F.col("element_id").isNotNull())
     words = hit.groupBy("screen_id", "element_id").agg(F.sum("_words").alias("n_words"))
     return words.filter(F.col("n_words") > 0).withColumn(
         "reading_time_s", F.round(F.col("n_words") / (WORDS_PER_MINUTE / 60.0), 3)
     )
 
 
-def readability_report(texts: DataFrame, packed: DataFrame) -> DataFrame:
+def with_text(texts: DataFrame, boxes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Adds ``text``: the stripped texts of the element's boxes in box order, one space between. For a few elements a screen."""
+    usable = boxes.filter((F.col("conf") >= MIN_TEXT_CONFIDENCE) & (word_count("text") > 0)).select(
+        "screen_id", "cx", "cy", "box_id", F.regexp_replace("text", EDGES, "").alias("text")
+    )
+    hit = hit_first(usable, elements).join(texts.select("screen_id", "element_id"), ["screen_id", "element_id"], "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct("box_id", "text")))
+    joined = hit.groupBy("screen_id", "element_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    return texts.join(joined, ["screen_id", "element_id"], "left")
+
+
+def readability_report(texts: DataFrame, elements: DataFrame) -> DataFrame:
     """Per screen: words, reading seconds, text elements and text density."""
     per = texts.groupBy("screen_id").agg(
         F.count(F.lit(1)).alias("n_text_elements"),
         F.sum("n_words").alias("total_words"),
         F.round(F.sum("reading_time_s"), 3).alias("total_reading_time_s"),
     )
-    size = F.size("elements")
-    return packed.join(per, "screen_id", "left").select(
+    size = F.col("_n")
+    sizes = _flat(elements).groupBy("screen_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    return sizes.join(per, "screen_id", "left").select(
         "screen_id",
         size.alias("n_elements"),
         F.coalesce("n_text_elements", F.lit(0)).alias("n_text_elements"),

@@ -154,7 +154,7 @@ OE = ("ocr_boxes", "elements")
 
 @query("layout_text_box_owner", OCR_HIT + "SELECT box_id, screen_id, element_id FROM hit", OE)
 def _(t):
-    hit = layout.hit_first(t["ocr_boxes"], layout.pack(_elements(t)))
+    hit = layout.hit_first(t["ocr_boxes"], t["elements"])
     return hit.select("box_id", "screen_id", "element_id")
 
 
@@ -174,9 +174,12 @@ element_texts AS (SELECT screen_id, element_id, CAST(sum(words) AS BIGINT) AS n_
 )
 
 
+def _text_boxes(t):
+    return t.spark.sql(TEXTS, documents=t["documents"], elements=t["elements"])
+
+
 def _texts(t):
-    boxes = t.spark.sql(TEXTS, documents=t["documents"], elements=t["elements"])
-    return layout.element_texts(boxes, layout.pack(_elements(t)))
+    return layout.element_texts(_text_boxes(t), t["elements"])
 
 
 @query(
@@ -198,7 +201,7 @@ def _(t):
     E,
 )
 def _(t):
-    r = layout.readability_report(_texts(t), layout.pack(_elements(t)))
+    r = layout.readability_report(_texts(t), t["elements"])
     return r.withColumn("text_density", r6("text_density"))
 
 
@@ -212,6 +215,21 @@ def _(t):
     return layout.longest_texts(_texts(t))
 
 
+@query(
+    "layout_longest_texts_with_text",
+    WORDS_SQL + f""", top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (
+      PARTITION BY screen_id ORDER BY reading_time_s DESC, element_id) AS INT) AS rank FROM element_texts) q WHERE rank <= 5),
+    parts AS (SELECT b.box_id, b.screen_id, regexp_replace(b.text, '{layout.EDGES}', '', 'g') AS text, min(e.element_id) AS element_id
+      FROM texts b JOIN elements e ON e.screen_id = b.screen_id AND b.cx BETWEEN e.x AND e.x + e.w AND b.cy BETWEEN e.y AND e.y + e.h
+      WHERE b.conf >= 0.3e0 AND len(regexp_extract_all(b.text, '{layout.WORD}')) > 0 GROUP BY ALL)
+    SELECT t.screen_id, t.element_id, n_words, reading_time_s, rank, string_agg(p.text, ' ' ORDER BY p.box_id) AS text
+    FROM top t JOIN parts p USING (screen_id, element_id) GROUP BY ALL""",
+    E,
+)
+def _(t):
+    return layout.with_text(layout.longest_texts(_texts(t)), _text_boxes(t), t["elements"])
+
+
 @query(
     "layout_target_resolution",
     DESC + """, sel AS (SELECT r.*, e.element_id, e.element_id = r.target_id AS is_id,
@@ -225,7 +243,7 @@ def _(t):
     ("target_requests", "elements"),
 )
 def _(t):
-    out = layout.resolve_target(t["target_requests"], layout.pack(_elements(t)))
+    out = layout.resolve_target(t["target_requests"], _elements(t))
     return out.select("request_id", "resolved_id")
 
 
@@ -236,7 +254,7 @@ def _(t):
     ("screen_fixations", "elements"),
 )
 def _(t):
-    hits = layout.aoi_hits(t["screen_fixations"], layout.pack(_elements(t)))
+    hits = layout.aoi_hits(t["screen_fixations"], t["elements"])
     return hits.select("fixation_id", "screen_id", "element_id")
 
 
@@ -248,7 +266,7 @@ def _(t):
     ("screen_fixations", "elements"),
 )
 def _(t):
-    dwell = layout.aoi_dwell(layout.aoi_hits(t["screen_fixations"], layout.pack(_elements(t))))
+    dwell = layout.aoi_dwell(layout.aoi_hits(t["screen_fixations"], t["elements"]))
     return dwell.withColumn("dwell_ms", r6("dwell_ms"))
 
 

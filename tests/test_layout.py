@@ -162,3 +162,33 @@ def test_packed_screens_keep_every_element(spark):
     assert [r.element_id for r in layout.aoi_hits(look, packed).collect()] == [80]
     with pytest.raises(Exception, match="more than 10 elements"):
         layout.pack(elements(spark, boxes), most=10).collect()
+
+
+def test_points_on_a_screen_of_many_elements(spark):
+    """Containment and nearest centres beside a loop; the second screen has more elements than a packed row may hold."""
+    rng = random.Random(6)
+    few = [(1, i, rng.randrange(900), rng.randrange(600), rng.randrange(1, 200), rng.randrange(1, 150)) for i in range(30)]
+    many = [(2, i, 20 * (i % 130), 20 * (i // 130), 8, 8) for i in range(12_000)]
+    frame = spark.createDataFrame(few + many, "screen_id long, element_id long, x int, y int, w int, h int")
+    frame = frame.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
+    spots = [(n, rng.choice([1, 1, 2, 3]), rng.choice([None, None, None, 4, 99]), float(rng.randrange(-300, 3000)), float(rng.randrange(-100, 2000))) for n in range(120)]
+    spots += [(200, 1, None, None, 5.0), (201, 1, None, float(few[0][2]), float(few[0][3])), (202, 2, None, 50_000.0, 50_000.0)]
+    asked = spark.createDataFrame(spots, "request_id long, screen_id long, target_id long, target_x double, target_y double")
+
+    def inside(s, px, py):
+        return [] if px is None else [e for t, e, x, y, w, h in few + many if t == s and x <= px <= x + w and y <= py <= y + h]
+
+    want = {}
+    for n, s, target, px, py in spots:
+        own = [(((x + w / 2) - px) ** 2 + ((y + h / 2) - py) ** 2, e) for t, e, x, y, w, h in few + many if t == s] if px is not None else []
+        if target is not None:
+            want[n] = target if any(t == s and e == target for t, e, *_ in few + many) else None
+        else:
+            want[n] = min(inside(s, px, py), default=min(own)[1] if own else None)
+    assert {r.request_id: r.resolved_id for r in layout.resolve_target(asked, frame).collect()} == want
+    hits = layout.aoi_hits(asked.withColumnsRenamed({"target_x": "x", "target_y": "y"}), frame).collect()
+    assert sorted((r.request_id, r.element_id is None, r.element_id or 0) for r in hits) == sorted(
+        (n, e is None, e or 0) for n, s, _, px, py in spots for e in (inside(s, px, py) or [None])
+    )
+    first = layout.hit_first(asked, frame, "target_x", "target_y").collect()
+    assert {r.request_id: r.element_id for r in first} == {n: min(inside(s, px, py), default=None) for n, s, _, px, py in spots}
