@@ -41,16 +41,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """Write a stage to the shared checkpoint folder and read it back.
 
-    The files outlive executors; what follows never recomputes the stage.
+    The files outlive executors; what follows never recomputes the stage. The
+    folder is added to ``scratch``, for ``removed``.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if scratch is not None:
+        scratch.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the folders of written stages that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in scratch:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    scratch.clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of so many rows: bounds what a worker and its task hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
