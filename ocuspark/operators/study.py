@@ -300,40 +300,43 @@ def load_effect(image_means: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_match(stems: DataFrame, names: DataFrame) -> DataFrame:
-    """First name (by order) that contains the stem or is contained in it.
+GRAM = 3
+
+
+def _grams(df: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """text and _gram: its distinct runs of the given numbers of characters."""
+    cuts = F.transform(
+        sizes,
+        lambda k: F.when(
+            k <= F.length(text),
+            F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(F.col(text), i, k)),
+        ).otherwise(F.array().cast("array<string>")),
+    )
+    return df.select(text, F.explode(F.array_distinct(F.flatten(cuts))).alias("_gram"))
+
 
-    A containment match is found through equal substrings, not by pairing every
-    stem with every name: each side lists the substrings of its own text that
-    have the length of an entry on the other side, and those join by equality.
+def contained(shorts: DataFrame, longs: DataFrame) -> DataFrame:
+    """(short, long) for every distinct text of ``shorts`` that a text of ``longs`` contains; empty texts match nothing.
+
+    An index of runs of GRAM characters: each short text looks up only its run
+    that the fewest long texts hold (texts shorter than a run are a run
+    themselves), and what it finds is compared whole. Rows are linear in text
+    length; a run with a large share of the long texts is split.
     """
-    s = stems.select("stem").distinct()
-    n = names.select("name").distinct()
-
-    def lengths(df: DataFrame, text: str):
-        # One entry per distinct text length: bounded by the longest name.
-        return [r[0] for r in df.select(F.length(text)).distinct().collect() if r[0]]
-
-    def windows(df: DataFrame, text: str, sizes) -> DataFrame:
-        cuts = F.flatten(
-            F.transform(
-                F.filter(
-                    F.array(*[F.lit(k) for k in sizes]).cast("array<int>"),
-                    lambda k: k <= F.length(text),
-                ),
-                lambda k: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - k + 1),
-                    lambda i: F.substring(F.col(text), i, k),
-                ),
-            )
-        )
-        return df.select(text, F.explode(F.array_distinct(cuts)).alias("_piece"))
-
-    # A short stem can occur in very many names (and the other way round).
-    in_name = split_join(
-        windows(n, "name", lengths(s, "stem")), s.withColumnRenamed("stem", "_piece"), ["_piece"]
-    ).select(F.col("_piece").alias("stem"), "name")
-    in_stem = split_join(
-        windows(s, "stem", lengths(n, "name")), n.withColumnRenamed("name", "_piece"), ["_piece"]
-    ).select("stem", F.col("_piece").alias("name"))
+    s = shorts.select(F.col(shorts.columns[0]).alias("short")).filter(F.length("short") > 0).distinct()
+    n = longs.select(F.col(longs.columns[0]).alias("long")).filter(F.length("long") > 0).distinct()
+    index = _grams(n, "long", F.array(*[F.lit(k) for k in range(1, GRAM + 1)]))
+    held = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("n"))
+    own = split_join(_grams(s, "short", F.array(F.least(F.lit(GRAM), F.length("short")))), held, ["_gram"], how="left")
+    rarest = own.groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_gram"))).alias("seed"))
+    seeds = rarest.filter("seed.n > 0").select("short", F.col("seed._gram").alias("_gram"))
+    met = split_join(index, seeds, ["_gram"], counts=held)
+    return met.filter(F.contains("long", "short")).select("short", "long")
+
+
+def fuzzy_match(stems: DataFrame, names: DataFrame) -> DataFrame:
+    """First name (by order) that contains the stem or is contained in it."""
+    s, n = stems.select("stem"), names.select("name")
+    in_name = contained(s, n).select(F.col("short").alias("stem"), F.col("long").alias("name"))
+    in_stem = contained(n, s).select(F.col("long").alias("stem"), F.col("short").alias("name"))
     return in_name.unionByName(in_stem).groupBy("stem").agg(F.min("name").alias("name"))

@@ -123,3 +123,23 @@ def test_fuzzy_match_takes_first_name(spark):
     names = spark.createDataFrame([("img_12",), ("img_1",), ("img_7",), ("img_10",)], "name string")
     got = {r.stem: r.name for r in study.fuzzy_match(stems, names).collect()}
     assert got == {"img_1": "img_1", "x-img_7-y": "img_7"}
+
+
+def test_fuzzy_match_equals_pairing_all(spark):
+    """Short and long texts over few letters, so that runs repeat and most seeds find false candidates too."""
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 12, 30]))) for _ in range(160)]
+    stems, names = words[:80] + [None, "zé", "%_"], words[80:] + [None, "xzéx", "100%_"]
+    want = {}
+    for s in {x for x in stems if x}:
+        found = [n for n in names if n and (s in n or n in s)]
+        if found:
+            want[s] = min(found)
+    got = study.fuzzy_match(
+        spark.createDataFrame([(x,) for x in stems], "stem string"), spark.createDataFrame([(x,) for x in names], "name string")
+    ).collect()
+    assert {r.stem: r.name for r in got} == want and len(got) == len(want) > 20
+    empty = spark.createDataFrame([], "name string")
+    assert study.fuzzy_match(spark.createDataFrame([("a",)], "stem string"), empty).count() == 0
