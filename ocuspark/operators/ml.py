@@ -45,6 +45,34 @@ TARGET_RANGE = {
 ALPHA, FOLDS, HOLDOUT = 1.0, 5, 0.2
 FOREST_TREES, FOREST_DEPTH, IMPORTANCE_TREES, IMPORTANCE_REPEATS = 100, 10, 300, 30
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, BOOST_SAMPLE = 200, 6, 0.1, 0.8
+# Divisors of the gaze means: fixation count, mean duration, frequency.
+GAZE_MEANS = {
+    "fc": ("total_num_fixations", 20.0),
+    "fd": ("mean_fixation_duration", 1000.0),
+    "ff": ("fixation_frequency", 5.0),
+}
+# Stand-in features: offset, gaze mean, factor.
+STAND_INS = {
+    "shannon_entropy": (5.0, "fc", 2.0),
+    "edge_density": (0.05, "ff", 0.3),
+    "feature_congestion": (0.0, "fc", 0.8),
+    "subband_entropy": (0.0, "fd", 3.0),
+    "layout_symmetry": (1.0, "fc", -0.3),
+    "chromatic_coherence": (0.0, "ff", 0.6),
+    "visual_hierarchy": (1.0, "fd", -0.5),
+    "interactive_element_density": (0.0, "fc", 50.0),
+    "saliency_dispersion": (0.3, "fc", 0.5),
+    "saliency_entropy": (0.1, "ff", 0.2),
+    "saliency_coverage": (0.0, "fc", 0.7),
+    "saliency_peak_count": (0.0, "fc", 8.0),
+    "saliency_center_bias": (0.0, "ff", 0.5),
+}
+LEAST_PEAKS = 1.0
+# Targets from load features: subtracted, divided by, clipped to 0..1.
+TARGET_RULES = {
+    "search_efficiency": ("fixation_reduction", 0.5, 0.6),
+    "attention_demand": ("duration_increase", 0.8, 0.7),
+}
 # -------------------------------------------------------------------------
 
 
@@ -55,32 +83,10 @@ def training_table(lookup: DataFrame, trials: DataFrame) -> DataFrame:
     and saliency blocks are stand-ins made from gaze means. The table exists to
     exercise the models; ``targets_leak`` marks every row accordingly.
     """
-    base = (
-        trials.filter((F.col("cognitive_load") == "Absent") & (F.col("highlight") == "Absent"))
-        .groupBy("image_name")
-        .agg(
-            (F.avg("total_num_fixations") / 20.0).alias("fc"),
-            (F.avg("mean_fixation_duration") / 1000.0).alias("fd"),
-            (F.avg("fixation_frequency") / 5.0).alias("ff"),
-        )
-    )
-    fc, fd, ff = F.col("fc"), F.col("fd"), F.col("ff")
-    visual = {
-        "shannon_entropy": 5.0 + fc * 2.0,
-        "edge_density": 0.05 + ff * 0.3,
-        "feature_congestion": fc * 0.8,
-        "subband_entropy": fd * 3.0,
-        "layout_symmetry": 1.0 - fc * 0.3,
-        "chromatic_coherence": ff * 0.6,
-        "visual_hierarchy": 1.0 - fd * 0.5,
-        "interactive_element_density": fc * 50.0,
-    }
-    saliency = dict(
-        zip(
-            SALIENCY,
-            (0.3 + fc * 0.5, 0.1 + ff * 0.2, fc * 0.7, F.greatest(F.lit(1.0), fc * 8), ff * 0.5),
-        )
-    )
+    means = [(F.avg(column) / by).alias(name) for name, (column, by) in GAZE_MEANS.items()]
+    base = trials.filter((F.col("cognitive_load") == "Absent") & (F.col("highlight") == "Absent")).groupBy("image_name").agg(*means)
+    made = {name: F.lit(offset) + F.col(mean) * factor for name, (offset, mean, factor) in STAND_INS.items()}
+    made["saliency_peak_count"] = F.greatest(F.lit(LEAST_PEAKS), made["saliency_peak_count"])
     load = dict(
         zip(
             LOAD_NAMES,
@@ -97,13 +103,10 @@ def training_table(lookup: DataFrame, trials: DataFrame) -> DataFrame:
             ],
         )
     )
-    targets = {
-        "cognitive_load_score": F.col("_index") * 100.0,
-        "search_efficiency": clip((F.col("fixation_reduction") - 0.5) / 0.6, 0, 1),
-        "attention_demand": clip((F.col("duration_increase") - 0.8) / 0.7, 0, 1),
-    }
+    targets = {"cognitive_load_score": F.col("_index") * 100.0}
+    targets |= {name: clip((F.col(column) - less) / by, 0, 1) for name, (column, less, by) in TARGET_RULES.items()}
     joined = lookup.withColumnRenamed("cognitive_load_index", "_index").join(base, "image_name")
-    every = {**visual, **saliency, **load, **targets}
+    every = {**made, **load, **targets}
     return joined.select(
         "image_name", *[c.alias(n) for n, c in every.items()], F.lit(True).alias("targets_leak")
     )

@@ -16,16 +16,15 @@ CONTRAST_THRESHOLD = 3.0
 DEVIATION_BAND_PCT, POINTS_PER_UNIT, MODIFIER_CAP = 15.0, 25.0, 15.0
 GLANCE_BUDGET_S, SINGLE_LIMIT_S, TOTAL_LIMIT_S = 1.5, 2.0, 12.0
 BOTTLENECKS = 5
+# Mean search times below which a target is so difficult, and the rest.
+DIFFICULTY = {"easy": 1.0, "moderate": 2.5, "difficult": 5.0}
+HARDEST = "very_hard"
 # -------------------------------------------------------------------------
 
 
 def difficulty(seconds: Column) -> Column:
-    return (
-        F.when(seconds < 1.0, F.lit("easy"))
-        .when(seconds < 2.5, F.lit("moderate"))
-        .when(seconds < 5.0, F.lit("difficult"))
-        .otherwise(F.lit("very_hard"))
-    )
+    bands = [F.when(seconds < below, F.lit(name)) for name, below in DIFFICULTY.items()]
+    return F.coalesce(*bands, F.lit(HARDEST))
 
 
 def target_summary(trials: DataFrame, keys=("screen_id", "target_id")) -> DataFrame:
