@@ -39,6 +39,7 @@ from ocuspark.llm.text import U64, _powers, mix, slices, span_hashes, utf8, word
 
 WINDOW = 13
 SEED = 5
+SLICE = 1 << 18  # bytes of text whose words are hashed at a time
 SAMPLE = 16  # one document in so many shows which anchors are frequent
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEPS = (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F)
@@ -101,7 +102,7 @@ class _Block:
 
 def _blocks(column: pa.Array, n: int, seed: int) -> Iterator[tuple[int, int, _Block]]:
     body, offsets = utf8(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         yield a, b, _Block(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, seed)
 
 
@@ -216,8 +217,8 @@ def _candidates(met: DataFrame, n: int, seed: int, keep: bool, digest: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                yield from part(batch.slice(i, 1024), unpack)
+            for i in range(0, batch.num_rows, 128):
+                yield from part(batch.slice(i, 128), unpack)
 
     def part(batch: pa.RecordBatch, unpack) -> Iterator[pa.RecordBatch]:
         texts = [unpack(t) for t in batch.column("packed").to_pylist()]
@@ -272,23 +273,35 @@ def covered(n_words: int, places: list[int] | np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _settled(rows: DataFrame, n: int, keep: bool, digest: bool) -> DataFrame:
-    """Result of rows with open windows, by the places gone before (gone) and found since (later)."""
-    names = ["row", "doc_id", "packed", "n_words"]
+def _settled(rows: DataFrame, n: int, keep: bool, digest: bool, whole: bool) -> DataFrame:
+    """Result of rows with open windows, by the places gone before (gone) and found since (later).
+
+    With ``whole`` the text takes the place of packed, so that no second Python worker has to unpack it.
+    """
+    names = ["row", "doc_id", "n_words"]
     kinds = dict(rows.dtypes)
+    body = "text" if whole else "packed"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            results = []
-            for packed, words, gone, later in zip(batch.column("packed"), batch.column("n_words").to_pylist(), batch.column("gone"), batch.column("later")):
-                places = np.concatenate([np.asarray(x.values) for x in (gone, later) if x.is_valid and len(x)] or [np.zeros(0, np.int32)])
-                results.append(_result(unpack(packed.as_py()), covered(words, places, n) if len(places) else None, digest))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), *_columns(results, keep)], [*names, "n_removed", "repeats", "kept", "kept_sha256"]
-            )
+            for i in range(0, batch.num_rows, 128):
+                yield part(batch.slice(i, 128))
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), _RESULT]))
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor().decompress
+        results, texts = [], []
+        for packed, words, gone, later in zip(batch.column("packed"), batch.column("n_words").to_pylist(), batch.column("gone"), batch.column("later")):
+            places = np.concatenate([np.asarray(x.values) for x in (gone, later) if x.is_valid and len(x)] or [np.zeros(0, np.int32)])
+            text = unpack(packed.as_py())
+            results.append(_result(text, covered(words, places, n) if len(places) else None, digest))
+            texts.append(text.decode("utf-8") if whole else None)
+        bodies = pa.array(texts, pa.string()) if whole else batch.column("packed")
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in names), bodies, *_columns(results, keep)], [*names, body, "n_removed", "repeats", "kept", "kept_sha256"]
+        )
+
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return rows.mapInArrow(run, f"{fields}, {body} {'string' if whole else 'binary'}, {_RESULT}")
 
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW, seed: int = SEED, keep: bool = True, digest: bool = False) -> DataFrame:
@@ -298,6 +311,12 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, seed: int = SEED, keep: boo
     removed; packed is the compressed text. Without ``keep`` both stay null. With
     ``digest`` kept_sha256 is the digest of the words left.
     """
+    late, early = _late_and_early(docs, n, seed, keep, digest, whole=False)
+    return late.unionAll(early.select(late.columns))
+
+
+def _late_and_early(docs: DataFrame, n: int, seed: int, keep: bool, digest: bool, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with open windows, settled last (with ``whole``: text in place of packed), and the others."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -328,8 +347,9 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, seed: int = SEED, keep: boo
     later = later.groupBy("doc_id", "text_key").agg(F.collect_set("places").alias("later"))
 
     open_rows = found.filter(F.size("places") > 0).select("row", "doc_id", "text_key", "packed", "n_words", "gone")
-    out = _settled(open_rows.join(later, ["doc_id", "text_key"], "left"), n, keep, digest)
-    return out.unionAll(found.filter(F.size("places") == 0).select(out.columns))
+    late = _settled(open_rows.join(later, ["doc_id", "text_key"], "left"), n, keep, digest, whole)
+    early = found.filter(F.size("places") == 0)
+    return late, early.select("row", "doc_id", "n_words", "packed", "n_removed", "repeats", "kept", "kept_sha256")
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
@@ -340,8 +360,10 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            text = pa.array([unpack(t).decode("utf-8") for t in batch.column("packed").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text], [*names, "text"])
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                text = pa.array([unpack(t.as_py()).decode("utf-8") for t in part.column("packed")], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), text], [*names, "text"])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string"]))
 
@@ -350,7 +372,9 @@ def without_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with the repeated words gone; a text that loses none keeps its bytes. n_chars, if present, is set anew."""
     text = F.coalesce("kept", F.when(F.col("row_null"), F.lit(None).cast("string")).otherwise(F.col("text")))
     marked = docs.withColumn("_null_text", F.col("text").isNull())
-    out = _unpacked(remove_repeats(marked, n).select("row", "kept", "packed")).withColumn("row_null", F.col("row._null_text"))
+    late, early = _late_and_early(marked, n, SEED, keep=True, digest=False, whole=True)
+    out = late.select("row", "kept", "text").unionAll(_unpacked(early.select("row", "kept", "packed")))
+    out = out.withColumn("row_null", F.col("row._null_text"))
     columns = []
     for c in docs.columns:
         if c == "text":
