@@ -14,9 +14,11 @@ their words into n blocks. A quota q takes every block q div n times, and the
 other q mod n blocks at even strides from a seeded start, so the words taken of
 a document follow from its place by integer arithmetic: no block becomes a row.
 
-Shards are cut by the seeded hash from every source alike, at most about
-``shard_docs`` documents each, so one source may hold most rows. The tables of
-sources and of shards are the only ones ordered as a whole.
+A source of n documents has ceil(n / ``SHARD_DOCS``) shards, cut by the seeded
+hash, so one source may hold most rows and a small source is not scattered. The
+block size is a thousandth of the smallest average shard, at most 64 words: the
+partial last block of a shard, which counts as whole, is a small part of it. The
+tables of sources and of shards are the only ones ordered as a whole.
 
 Defined cases: null and empty texts have size 0 and take 0. A null source is a
 source of its own. Repeated rows and ids are separate documents. No words at
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from ocuspark.llm.text import word_array, word_count, written
 
 SEED = "mix-1"
-BLOCK_WORDS = 64  # at most; a thousandth of the smallest source if that is less
+BLOCK_WORDS = 64  # at most
+CELL_BLOCKS = 1_000  # blocks that the source with the smallest shards has in one of them, so that partial last blocks do not show
 SHARD_DOCS = 5_000
 CAP = 3
 
@@ -42,15 +45,18 @@ STEPS = [
     ("keyed", """
   SELECT doc_id, source, size@tie@, md5(concat('@seed@:', coalesce(CAST(doc_id AS VARCHAR(20)), ''))) AS turn FROM sized"""),
     ("scale", """
-  SELECT (count(*) + @shard_docs@ - 1) // @shard_docs@ AS shards, coalesce(sum(size), 0) AS words FROM keyed"""),
+  SELECT source, (count(*) + @shard_docs@ - 1) // @shard_docs@ AS shards, sum(size) AS own FROM keyed GROUP BY source"""),
+    ("total", """
+  SELECT coalesce(sum(own), 0) AS words FROM scale"""),
+    ("placed", """
+  SELECT k.*, @hex@substr(turn, 1, 12)@xeh@ % c.shards AS shard FROM keyed k JOIN scale c ON k.source IS NOT DISTINCT FROM c.source"""),
     ("cells", """
-  SELECT source, @hex@substr(turn, 1, 12)@xeh@ % (SELECT greatest(shards, 1) FROM scale) AS shard, sum(size) AS cell_size
-  FROM keyed GROUP BY 1, 2"""),
+  SELECT source, shard, sum(size) AS cell_size FROM placed GROUP BY 1, 2"""),
     ("sources", """
   SELECT source, sum(cell_size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS pos
   FROM cells GROUP BY source"""),
     ("block", """
-  SELECT greatest(1, least(@block_words@, coalesce(min(source_size), 1) // 1000)) AS b FROM sources WHERE source_size > 0"""),
+  SELECT greatest(1, least(@block_words@, coalesce(min(own // shards), 1) // @cell_blocks@)) AS b FROM scale WHERE own > 0"""),
     ("weighed", """
   SELECT *, (pos - 1) % 3 + 1 AS weight, CAST(@cap@ * source_size AS DOUBLE) / ((pos - 1) % 3 + 1) AS level FROM sources"""),
     ("filling", """
@@ -59,7 +65,7 @@ STEPS = [
   FROM weighed"""),
     ("judged", """
   SELECT f.*, CAST(weight * (words - below) AS DOUBLE) / rest >= @cap@ * source_size AS capped, words
-  FROM filling f CROSS JOIN scale"""),
+  FROM filling f CROSS JOIN total"""),
     ("water", """
   SELECT coalesce(sum(CASE WHEN capped THEN @cap@ * source_size END), 0) AS used, sum(CASE WHEN capped THEN 0 ELSE weight END) AS thirst
   FROM judged"""),
@@ -103,8 +109,6 @@ STEPS = [
     least(m.quota + coalesce(c.change, 0), @cap@ * ((m.cell_size + m.b - 1) // m.b)) AS quota,
     @hex@substr(md5(concat('@seed@:', coalesce(m.source, ''), ':', CAST(m.shard AS VARCHAR(20)))), 1, 12)@xeh@ AS start
   FROM cell_missing m LEFT JOIN cell_changes c ON m.source IS NOT DISTINCT FROM c.source AND m.shard = c.shard"""),
-    ("placed", """
-  SELECT *, @hex@substr(turn, 1, 12)@xeh@ % (SELECT greatest(shards, 1) FROM scale) AS shard FROM keyed"""),
     ("streamed", """
   SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY turn, size, doc_id@tie@ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place FROM placed"""),
     ("cut", """
@@ -122,11 +126,11 @@ STEPS = [
 FROM counted"""),
 ]
 #: Small tables, and rows of documents, that several later steps read.
-WRITTEN = {"cells", "judged", "targets", "missing", "quotas", "cell_missing", "cell_quotas"}
+WRITTEN = {"scale", "cells", "judged", "targets", "missing", "quotas", "cell_missing", "cell_quotas"}
 
 
 def _filled(sql: str, **other: str) -> str:
-    values = {"seed": SEED, "shard_docs": str(SHARD_DOCS), "block_words": str(BLOCK_WORDS), "cap": str(CAP)} | other
+    values = {"seed": SEED, "shard_docs": str(SHARD_DOCS), "block_words": str(BLOCK_WORDS), "cell_blocks": str(CELL_BLOCKS), "cap": str(CAP)} | other
     for name, value in values.items():
         sql = sql.replace(f"@{name}@", value)
     return sql

@@ -148,7 +148,7 @@ def test_op5_edits_and_likeness(spark):
 @pytest.mark.parametrize("name", sorted(queries.CHECKS))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TINY}/{t}.parquet'")
     cursor = con.execute(queries.CHECKS[name])
     columns = [c[0] for c in cursor.description]
