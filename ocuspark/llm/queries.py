@@ -35,8 +35,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return records.drop("headers", "block")
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
 @query

@@ -300,7 +300,7 @@ def test_op3_records_parse_and_keep_their_sources(spark):
 
 def test_plain_text_and_links():
     page = "<title>A &amp; B</title><script>x</script><!-- c --><p>one  two</p><a href='/p?q=1&amp;r=2'>three</a><br>four<style>p{}"
-    body = warc.shown(page)
+    body = warc.scan_page(page)
     assert warc.plain_text(body) == "A & B\none two\nthree\nfour"
     assert warc.metadata(body, "http://e.org/d/")["links"] == ["http://e.org/p?q=1&r=2"]
 
