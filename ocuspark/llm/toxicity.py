@@ -3,7 +3,8 @@
 The kernel of two words sums over their common subsequences of LENGTH characters
 the products of decay ** gaps, where a subsequence may spread over SPAN
 characters, so inserted characters lower a match instead of losing it. Words are
-lower-cased, get marks of start and end, and runs of one-letter words are read as one word.
+lower-cased and get marks of start and end. Runs of one-letter words, and words with
+marks between their letters, are also read as one word.
 Nystrom landmarks (words of both classes) give features K(x, L) K(L, L)^-1/2 for a
 linear machine with hinge loss. Its decision is linear in the subsequences, so
 the landmarks collapse into one table of subsequence weights, and a word costs
@@ -13,6 +14,7 @@ Words are taught from sentences of labelled documents: those that set toxic
 documents apart are positive, words of clean ones negative, both also with a
 character inserted or spaced out. A sentence is as toxic as its worst word, a
 document as its two worst; a logistic curve on labelled documents calibrates.
+Its slopes are never negative, so a further word never lowers a score.
 
 Fitted on at most ``documents`` labelled documents a class. Every document is
 scored whole. Defined cases: null and empty texts take the lowest decision
@@ -135,6 +137,13 @@ def _hash_table(weights: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
     return keys, values
 
 
+def _pieces(word: str) -> list[str]:
+    """A longer word in overlapping pieces of LONGEST characters."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+
+
 class Judge:
     """Decision values of words and documents under a model."""
 
@@ -168,18 +177,18 @@ class Judge:
         return out.tolist()
 
     def learn(self, words: set[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        for n, group in by_length.items():
-            if n <= LONGEST:
-                for i in range(0, len(group), 4096):
-                    part = group[i : i + 4096]
-                    self.known.update(zip(part, self._values([_marked(w) for w in part])))
-            else:
-                for w in group:
-                    pieces = [w[i : i + LONGEST] for i in range(0, n - LONGEST // 2, LONGEST // 2)]
-                    self.known[w] = max(self._values([_marked(p)])[0] for p in pieces)
+        by_length: dict[int, set[str]] = {}
+        forms = {w: [p for r in readings(w) for p in _pieces(r)] for w in words}
+        for parts in forms.values():
+            for p in parts:
+                by_length.setdefault(len(p), set()).add(p)
+        values: dict[str, float] = {}
+        for group in by_length.values():
+            ordered = sorted(group)
+            for i in range(0, len(ordered), 4096):
+                part = ordered[i : i + 4096]
+                values.update(zip(part, self._values([_marked(p) for p in part])))
+        self.known.update((w, max(values[p] for p in parts)) for w, parts in forms.items())
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The two highest decision values of the distinct words of every text."""
@@ -199,7 +208,10 @@ class Judge:
         return np.maximum(out, FLOOR)
 
 
-_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\w\s+){2,}\w(?!\w)")
+_GAPPED = re.compile(r"\w[^\w\s]+\w")
+_MARKS = re.compile(r"[^\w\s]+")
+_REPEATED = re.compile(r"(\w)\1{2,}")
 
 
 def units(text: str) -> set[str]:
@@ -211,6 +223,14 @@ def units(text: str) -> set[str]:
     return out
 
 
+def readings(word: str) -> list[str]:
+    """The word, and where they differ also without the marks between its letters and with letters that
+    come three times or more in a row once. A word counts as its worst reading, once."""
+    if not _GAPPED.search(word) and not _REPEATED.search(word):
+        return [word]
+    return [word, _REPEATED.sub(r"\1", _MARKS.sub("", word))]
+
+
 def _variants(word: str, turn: int) -> list[str]:
     """A character inserted, and a separator between all letters."""
     at = 1 + turn % max(1, len(word) - 1)
@@ -318,7 +338,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, documents: int = 6000, posi
     bare = ToxicityModel(*_hash_table(weights), offset, (0.0, 0.0, 0.0))
     rows = _worst(known, bare).select("worst", "second", "toxic").collect()
     values = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, 3)
-    return ToxicityModel(bare.codes, bare.weights, offset, logistic_fit(values[:, :2], values[:, 2]))
+    return ToxicityModel(bare.codes, bare.weights, offset, rising_fit(values[:, :2], values[:, 2]))
+
+
+def rising_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """A logistic curve without negative slopes: the best of the fits over some of the columns that has none.
+
+    The loss is convex, so its least value under the bound is that of the free
+    columns of some subset; two columns have four.
+    """
+    best: tuple[float, tuple[float, ...]] | None = None
+    for chosen in range(1 << x.shape[1]):
+        columns = [i for i in range(x.shape[1]) if chosen >> i & 1]
+        fitted = logistic_fit(x[:, columns], y)
+        if min(fitted[:-1], default=0.0) < 0:
+            continue
+        curve = np.zeros(x.shape[1] + 1)
+        curve[columns], curve[-1] = fitted[:-1], fitted[-1]
+        line = x @ curve[:-1] + curve[-1]
+        loss = float((np.logaddexp(0, line) - y * line).sum())
+        if best is None or loss < best[0]:
+            best = loss, tuple(map(float, curve))
+    return best[1]
 
 
 _JUDGES: dict[int, Judge] = {}
