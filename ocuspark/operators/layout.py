@@ -207,7 +207,7 @@ def _inside(e: Column, px: Column, py: Column) -> Column:
 POINT_TILE = 64  # pixels
 
 
-def _flat(elements: DataFrame) -> DataFrame:
+def flat(elements: DataFrame) -> DataFrame:
     """Elements one per row; a table of packed screens is opened."""
     return elements.selectExpr("screen_id", "inline(elements)") if "elements" in elements.columns else elements
 
@@ -224,7 +224,7 @@ def points_inside(points: DataFrame, elements: DataFrame, x: str, y: str) -> Dat
     def tiles(low: Column, size: str) -> Column:
         return F.explode(F.sequence(F.floor(low / POINT_TILE), F.floor((low + F.col(size)) / POINT_TILE)))
 
-    boxes = _flat(elements).select("screen_id", "element_id", "x", "y", "w", "h").withColumn("_tx", tiles(F.col("x"), "w")).withColumn("_ty", tiles(F.col("y"), "h"))
+    boxes = flat(elements).select("screen_id", "element_id", "x", "y", "w", "h").withColumn("_tx", tiles(F.col("x"), "w")).withColumn("_ty", tiles(F.col("y"), "h"))
     met = split_join(spots, boxes, ["screen_id", "_tx", "_ty"], spread=["_x", "_y"])
     hit = F.col("_x").between(F.col("x"), F.col("x") + F.col("w")) & F.col("_y").between(F.col("y"), F.col("y") + F.col("h"))
     return met.filter(hit).select("screen_id", "_x", "_y", "element_id")
@@ -249,7 +249,7 @@ def nearest_centres(points: DataFrame, elements: DataFrame, x: str, y: str) -> D
     centre no further than a tile's side is the nearest, as all others lie
     further; points without one go on with tiles twice as wide.
     """
-    centres = cut(_flat(elements).select("screen_id", "element_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")))
+    centres = cut(flat(elements).select("screen_id", "element_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")))
     spots = points.select("screen_id", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
     left = cut(spots.join(centres.select("screen_id").distinct(), "screen_id", "left_semi").filter("_x IS NOT NULL AND _y IS NOT NULL"))
     done, side = [], float(POINT_TILE)
@@ -274,14 +274,14 @@ def nearest_centres(points: DataFrame, elements: DataFrame, x: str, y: str) -> D
 
 def resolve_target(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """Target element: by id, else the first containing box, else nearest centre."""
-    flat = _flat(elements)
-    known = flat.select("screen_id", F.col("element_id").alias("target_id"), F.col("element_id").alias("_by_id")).dropDuplicates(["screen_id", "target_id"])
+    rows = flat(elements)
+    known = rows.select("screen_id", F.col("element_id").alias("target_id"), F.col("element_id").alias("_by_id")).dropDuplicates(["screen_id", "target_id"])
     named = split_join(requests, known, ["screen_id", "target_id"], how="left")
     open_ = requests.filter("target_id IS NULL")
-    inside = points_inside(open_, flat, "target_x", "target_y").groupBy("screen_id", "_x", "_y").agg(F.min("element_id").alias("_inside"))
+    inside = points_inside(open_, rows, "target_x", "target_y").groupBy("screen_id", "_x", "_y").agg(F.min("element_id").alias("_inside"))
     inside = cut(inside)
     spots = open_.select("screen_id", F.col("target_x").cast("double").alias("_x"), F.col("target_y").cast("double").alias("_y"))
-    near = nearest_centres(spots.join(inside, ["screen_id", "_x", "_y"], "left_anti"), flat, "_x", "_y")
+    near = nearest_centres(spots.join(inside, ["screen_id", "_x", "_y"], "left_anti"), rows, "_x", "_y")
     found = inside.unionAll(near)
     chosen = F.when(F.col("target_id").isNotNull(), F.col("_by_id")).otherwise(F.col("_inside"))
     return _with_spots(named, found, "target_x", "target_y").withColumn("resolved_id", chosen).drop("_by_id", "_inside")
@@ -401,7 +401,7 @@ def readability_report(texts: DataFrame, elements: DataFrame) -> DataFrame:
         F.round(F.sum("reading_time_s"), 3).alias("total_reading_time_s"),
     )
     size = F.col("_n")
-    sizes = _flat(elements).groupBy("screen_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    sizes = flat(elements).groupBy("screen_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
     return sizes.join(per, "screen_id", "left").select(
         "screen_id",
         size.alias("n_elements"),

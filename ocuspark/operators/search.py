@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import clip
 from ocuspark.operators import glances, ordered, ranks
+from ocuspark.operators.layout import flat
+from ocuspark.operators.lineage import cut
 from ocuspark.operators.skew import split_join
 
 # ---- Fixed values -------------------------------------------------------
@@ -226,60 +228,94 @@ def scan_outcome(steps: DataFrame) -> DataFrame:
     )
 
 
-def distinctiveness(packed: DataFrame) -> DataFrame:
-    """Per element: feature distinctiveness, 0..1 within its screen."""
+PAIR_BLOCK = 256  # elements of a screen that meet as many others in one row
+PAIR_FIELDS = ["element_id", "cx", "cy", "area", "color"]
 
-    def against(e: Column, o: Column) -> Column:
-        d = F.sqrt(F.pow(e["cx"] - o["cx"], 2) + F.pow(e["cy"] - o["cy"], 2))
-        total = e["area"] + o["area"]
-        size = F.when(total > 0, F.abs(e["area"] - o["area"]) / total).otherwise(F.lit(0.0))
-        color = F.when(e["color"] == o["color"], F.lit(0.0)).otherwise(F.lit(1.0))
-        return (color + size) / F.sqrt(F.greatest(d, F.lit(1.0)))
 
-    def total(e: Column) -> Column:
-        return F.aggregate(
-            "elements",
-            F.lit(0.0),
-            lambda s, o: F.when(o["element_id"] == e["element_id"], s).otherwise(s + against(e, o)),
-        )
+def _against(e: Column, o: Column) -> Column:
+    """What element ``o`` adds to the distinctiveness of ``e``."""
+    d = F.sqrt(F.pow(e["cx"] - o["cx"], 2) + F.pow(e["cy"] - o["cy"], 2))
+    total = e["area"] + o["area"]
+    size = F.when(total > 0, F.abs(e["area"] - o["area"]) / total).otherwise(F.lit(0.0))
+    color = F.when(e["color"] == o["color"], F.lit(0.0)).otherwise(F.lit(1.0))
+    return (color + size) / F.sqrt(F.greatest(d, F.lit(1.0)))
 
-    raw = packed.withColumn("_a", F.transform("elements", total)).withColumn(
-        "_max", F.array_max("_a")
-    )
-    value = F.transform(
-        F.arrays_zip(F.col("elements.element_id").alias("id"), F.col("_a").alias("a")),
-        lambda p: F.struct(
-            p["id"].alias("element_id"),
-            F.when(F.size("elements") <= 1, F.lit(1.0))
-            .when(F.col("_max") > 0, p["a"] / F.col("_max"))
-            .otherwise(p["a"])
-            .alias("distinctiveness"),
-        ),
-    )
-    return raw.select("screen_id", F.inline(value))
 
+def element_counts(elements: DataFrame) -> DataFrame:
+    """screen_id, n: elements per screen, written once for the joins that ask for it."""
+    return cut(flat(elements).groupBy("screen_id").agg(F.count(F.lit(1)).alias("n")))
 
-def target_similarity(packed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Similarity of every element of a screen to the chosen target element."""
-    rows = packed.join(targets, "screen_id").withColumn(
-        "_t",
-        F.try_element_at(
-            F.filter("elements", lambda e: e["element_id"] == F.col("target_id")), F.lit(1)
-        ),
-    )
 
-    def similar(e: Column) -> Column:
-        total = e["area"] + F.col("_t.area")
-        size = F.when(total > 0, 1.0 - F.abs(e["area"] - F.col("_t.area")) / total).otherwise(
-            F.lit(1.0)
-        )
-        color = F.when(e["color"] == F.col("_t.color"), F.lit(1.0)).otherwise(F.lit(0.0))
-        return F.struct(
-            e["element_id"].alias("element_id"), (0.5 * color + 0.5 * size).alias("similarity")
-        )
+def _summed(e: Column) -> Column:
+    """Element id and sum of ``e`` against the column ``others``."""
+
+    def add(s: Column, o: Column) -> Column:
+        return F.when(o["element_id"] == e["element_id"], s).otherwise(s + _against(e, o))
+
+    return F.struct(e["element_id"].alias("element_id"), F.aggregate("others", F.lit(0.0), add).alias("v"))
+
+
+def _scaled(v: Column, n: Column, top: Column) -> Column:
+    return F.when(n <= 1, F.lit(1.0)).when(top > 0, v / top).otherwise(v).alias("distinctiveness")
 
-    return rows.filter(F.col("_t").isNotNull()).select(
-        "screen_id", "target_id", F.inline(F.transform("elements", similar))
+
+def _on_small_screens(rows: DataFrame) -> DataFrame:
+    """Screens of one block: all sums and their maximum in one row."""
+    packed = rows.groupBy("screen_id").agg(F.collect_list(F.struct(*PAIR_FIELDS)).alias("others"))
+    raw = packed.select("screen_id", F.transform("others", _summed).alias("_s"))
+    share = lambda p: F.struct(p["element_id"].alias("element_id"), _scaled(p["v"], F.size("_s"), F.array_max("_s.v")))
+    return raw.select("screen_id", F.inline(F.transform("_s", share)))
+
+
+def _on_large_screens(rows: DataFrame) -> DataFrame:
+    """Screens of _nb blocks: one row per pair of blocks, partial sums added per element."""
+    # Hashed ids, so that a retried task deals every element to the same block.
+    number = F.pmod(F.xxhash64("element_id"), F.col("_nb")).cast("int")
+    blocks = cut(rows.groupBy("screen_id", "_nb", number.alias("_block")).agg(F.collect_list(F.struct(*PAIR_FIELDS)).alias("members")))
+    others = blocks.select("screen_id", F.col("_block").alias("_other"), F.col("members").alias("others"))
+    asked = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    sums = asked.join(others, ["screen_id", "_other"]).select("screen_id", F.inline(F.transform("members", _summed)))
+    every = cut(sums.groupBy("screen_id", "element_id").agg(F.sum("v").alias("v")))
+    top = every.groupBy("screen_id").agg(F.max("v").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    return split_join(every, top, ["screen_id"]).select("screen_id", "element_id", _scaled(F.col("v"), F.col("_n"), F.col("_top")))
+
+
+def distinctiveness(elements: DataFrame, block: int = PAIR_BLOCK, counts: DataFrame | None = None) -> DataFrame:
+    """Per element: feature distinctiveness, 0..1 within its screen.
+
+    Every element is compared with all others of its screen. Screens are cut
+    into blocks of about ``block`` elements and each pair of blocks is one row,
+    so a screen of any size spreads over tasks; what leaves a pair of blocks is
+    one partial sum per element. An element alone on its screen has 1. A missing
+    colour counts as another one, a missing area adds no difference of size and
+    a missing position counts as the least distance.
+    ``elements`` holds one element per row, or packed screens; ``counts`` is
+    their ``element_counts`` if known already.
+    """
+    rows = flat(elements).select("screen_id", *PAIR_FIELDS)
+    counts = element_counts(rows) if counts is None else counts
+    large = counts.filter(F.col("n") > block).select("screen_id", F.ceil(F.col("n") / block).cast("int").alias("_nb"))
+    if large.isEmpty():
+        return _on_small_screens(rows)
+    dealt = cut(split_join(rows, large, ["screen_id"], counts=counts, how="left"))
+    return _on_small_screens(dealt.filter("_nb IS NULL")).unionByName(_on_large_screens(dealt.filter("_nb IS NOT NULL")))
+
+
+def target_similarity(elements: DataFrame, targets: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Similarity of every element of a screen to the chosen target element.
+
+    ``targets`` holds screen_id and target_id; one that is no element of its
+    screen gives no rows. ``elements`` holds one element per row, or packed
+    screens; ``counts`` is their ``element_counts`` if known already.
+    """
+    rows = flat(elements).select("screen_id", "element_id", "area", "color")
+    named = rows.select("screen_id", F.col("element_id").alias("target_id"), F.col("area").alias("_area"), F.col("color").alias("_color"))
+    chosen = targets.select("screen_id", "target_id").distinct().join(named, ["screen_id", "target_id"])
+    total = F.col("area") + F.col("_area")
+    size = F.when(total > 0, 1.0 - F.abs(F.col("area") - F.col("_area")) / total).otherwise(F.lit(1.0))
+    color = F.when(F.col("color") == F.col("_color"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return split_join(rows, chosen, ["screen_id"], counts=counts).select(
+        "screen_id", "target_id", "element_id", (0.5 * color + 0.5 * size).alias("similarity")
     )
 
 

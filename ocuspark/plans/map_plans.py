@@ -439,8 +439,8 @@ sal AS (SELECT *, CASE WHEN max(v) OVER (PARTITION BY screen_id) > 0 THEN v / ma
 EM = ("elements", "map_pixels")
 
 
-def _packed(t):
-    return layout.pack(layout.describe_elements(t["elements"]))
+def _described(t):
+    return layout.describe_elements(t["elements"])
 
 
 def _saliency(t):
@@ -455,7 +455,7 @@ def _saliency(t):
     ("elements",),
 )
 def _(t):
-    return _rounded(search.distinctiveness(_packed(t)), ["screen_id", "element_id"])
+    return _rounded(search.distinctiveness(_described(t)), ["screen_id", "element_id"])
 
 
 @query(
@@ -484,7 +484,7 @@ def _targets(t):
     ("elements",),
 )
 def _(t):
-    out = search.target_similarity(_packed(t), _targets(t))
+    out = search.target_similarity(_described(t), _targets(t))
     return _rounded(out, ["screen_id", "target_id", "element_id"])
 
 
@@ -497,9 +497,10 @@ def _(t):
     EM,
 )
 def _(t):
-    packed = _packed(t)
-    sim = search.target_similarity(packed, _targets(t)).drop("target_id")
-    out = search.attention_priority(search.distinctiveness(packed), _saliency(t), sim)
+    described = _described(t)
+    counts = search.element_counts(described)
+    sim = search.target_similarity(described, _targets(t), counts).drop("target_id")
+    out = search.attention_priority(search.distinctiveness(described, counts=counts), _saliency(t), sim)
     return out.select("screen_id", "element_id", r6("priority").alias("priority"))
 
 

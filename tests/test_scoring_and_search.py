@@ -114,6 +114,38 @@ def packed(spark, rows):
     }))
 
 
+def test_large_screen_in_blocks_equals_a_loop(spark):
+    """One screen of many blocks and one that fits a block, a missing colour and copies of a box, beside plain sums."""
+    rng = random.Random(11)
+    rows = []
+    for screen, n in [(1, 700), (2, 40), (3, 2)]:
+        for i in range(n):
+            rows.append((screen, i, rng.randrange(900), rng.randrange(600), rng.randrange(1, 90), rng.randrange(1, 90), rng.choice(["red", "blue", None])))
+    rows += [(1, 700, *rows[0][2:]), (1, 701, *rows[0][2:])]
+    want = {}
+    for screen in (1, 2, 3):
+        mine = [(i, x + w / 2, y + h / 2, w * h, c) for s, i, x, y, w, h, c in rows if s == screen]
+        raw = {}
+        for i, cx, cy, area, c in mine:
+            raw[i] = sum(
+                ((0 if c is not None and c == c2 else 1) + abs(area - a2) / (area + a2)) / math.sqrt(max(math.hypot(cx - x2, cy - y2), 1))
+                for j, x2, y2, a2, c2 in mine if j != i
+            )
+        want |= {(screen, i): v / max(raw.values()) for i, v in raw.items()}
+    for block in (64, 10_000):
+        out = search.distinctiveness(packed(spark, rows), block=block).collect()
+        got = {(r.screen_id, r.element_id): r.distinctiveness for r in out}
+        assert len(out) == len(want) and got.keys() == want.keys()
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_target_that_is_no_element_gives_no_rows(spark):
+    df = spark.createDataFrame([(1, 0, 10, "red"), (1, 1, 30, "red"), (2, 0, 5, None)], "screen_id long, element_id long, area long, color string")
+    aims = spark.createDataFrame([(1, 1), (1, 9), (2, 0), (3, 0)], "screen_id long, target_id long")
+    got = {(r.screen_id, r.target_id, r.element_id): r.similarity for r in search.target_similarity(df, aims).collect()}
+    assert got == {(1, 1, 0): 0.75, (1, 1, 1): 1.0, (2, 0, 0): 0.5}
+
+
 def test_unique_colour_stands_out(spark):
     rows = [(1, i, 100 * (i % 6), 100 * (i // 6), 50, 30, "red" if i == 5 else "gray") for i in range(24)]
     rows.append((2, 0, 0, 0, 10, 10, "gray"))
