@@ -112,9 +112,15 @@ def training_table(lookup: DataFrame, trials: DataFrame) -> DataFrame:
     )
 
 
+def key_hash(key: str, seed: int = 42) -> Column:
+    """32 bits of the MD5 of "key:seed" (a missing key as empty text), which any SQL engine can repeat."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def fold_of(key: str, folds: int = FOLDS, seed: int = 42) -> Column:
     """Deterministic fold number of a row, stable across runs and partitions."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    return F.pmod(key_hash(key, seed), F.lit(folds)).cast("int")
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -125,12 +131,26 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+CONSTANT = 1e-12  # spread of rounding errors, as a share of the mean
+
+
+def _spreads(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std per column; 0 for a column that does not vary."""
     row = df.agg(
         *[F.avg(c).alias(f"m_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
     ).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in columns}
+    out = {}
+    for c in columns:
+        mean, spread = row[f"m_{c}"], row[f"s_{c}"]
+        constant = not spread or spread <= CONSTANT * max(abs(mean), 1.0)
+        out[c] = (mean, 0.0 if constant else spread)
+    return out
+
+
+def scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and divisor per column; one that does not vary has the divisor 1."""
+    return {c: (m, s or 1.0) for c, (m, s) in _spreads(df, columns).items()}
 
 
 # ---- Ridge from sums of products -----------------------------------------
@@ -189,7 +209,7 @@ def ridge_solve(g: np.ndarray, n_features: int, columns: Sequence[int], alpha: f
     cxx = g[np.ix_(x, x)] - n * np.outer(mx, mx)
     cxy = g[np.ix_(x, y)] - n * np.outer(mx, my)
     std = np.sqrt(np.maximum(np.diag(cxx) / n, 0.0))
-    std[std <= 1e-12 * np.maximum(np.abs(mx), 1.0)] = 1.0
+    std[std <= CONSTANT * np.maximum(np.abs(mx), 1.0)] = 1.0
     zz = cxx / np.outer(std, std)
     w = np.linalg.solve(zz + alpha * np.eye(len(x)), cxy / std[:, None]) / std[:, None]
     return w, my - mx @ w
@@ -260,9 +280,12 @@ def marginal_gains(ablation: DataFrame) -> DataFrame:
 # ---- Fitted pipelines ------------------------------------------------------
 
 
-def _scaled(df: DataFrame, features: Sequence[str]) -> tuple[SQLTransformer, VectorAssembler]:
-    scale = scaling(df, features)
-    terms = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `_z_{c}`" for c, (m, s) in scale.items())
+def _scaled(df: DataFrame, features: Sequence[str], constants: bool = True) -> tuple[SQLTransformer, VectorAssembler]:
+    """Scaler and assembler; without ``constants`` the vector leaves out features that do not vary (unless none does)."""
+    scale = _spreads(df, features)
+    terms = ", ".join(f"(`{c}` - {m!r}D) / {s or 1.0!r}D AS `_z_{c}`" for c, (m, s) in scale.items())
+    if not constants:
+        features = [c for c in features if scale[c][1]] or list(features)[:1]
     return (
         SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__"),
         VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="_features"),
@@ -279,9 +302,11 @@ def fit(
     """Scaler and one model per output as a pipeline that can be saved.
 
     Spark's normal solver scales the penalty by the label, so the penalty that
-    equals ridge with ``alpha`` is alpha * std(label) / n.
+    equals ridge with ``alpha`` is alpha * std(label) / n. A constant feature has
+    the coefficient 0 and would make its equations singular (Spark then
+    iterates and stops a little off), so ridge leaves it out.
     """
-    transform, assemble = _scaled(df, features)
+    transform, assemble = _scaled(df, features, constants=kind != "ridge")
     vectors = assemble.transform(transform.transform(df))
     stages = [transform, assemble]
     stats = df.agg(
@@ -366,7 +391,7 @@ def regression_metrics(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> Data
 
 def holdout(df: DataFrame, key: str, share: float = HOLDOUT, seed: int = 42):
     """Deterministic train and validation parts by a hash of the key."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
+    bucket = F.pmod(key_hash(key, seed), F.lit(10_000))
     edge = int(share * 10_000)
     return df.filter(bucket >= edge), df.filter(bucket < edge)
 

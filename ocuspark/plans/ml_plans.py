@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import r6
@@ -69,9 +71,64 @@ def _(t):
     return m.select("output", "n", r6("r2").alias("r2"), r6("rmse").alias("rmse"), r6("mae").alias("mae"))
 
 
-@query("ml_ridge_holdout", None)
+# ---- Ridge in plain SQL ----------------------------------------------------
+# The twins of the linear models: standardised columns, sums of products and a
+# Gauss elimination as a recursive table, one matrix per combination and fold.
+
+N = len(ml.FEATURES)
+COMBOS = [c for size in (1, 2, 3) for c in combinations(ml.BLOCKS, size)]
+USED = ", ".join(
+    f"('{'+'.join(c)}', {ml.FEATURES.index(f) + 1})" for c in COMBOS for b in c for f in ml.BLOCKS[b]
+)
+BY_FOLD = f"SELECT fold AS g, image_name, h % {ml.FOLDS} <> fold AS train FROM f, range({ml.FOLDS}) r(fold)"
+BY_PART = f"SELECT 0 AS g, image_name, h % 10000 >= {int(ml.HOLDOUT * 10_000)} AS train FROM f"
+ALL_ROWS = "SELECT 0 AS g, image_name, true AS train FROM f"
+
+
+def _ridge_sql(member: str, combos: str = "c = 'v+s+h'") -> str:
+    """Tables up to pred(c, g, image_name, train, k, y, p) for the rows and parts that ``member`` names."""
+    return TRAIN_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+f AS (SELECT *, CAST('0x' || substr(md5(image_name || ':42'), 1, 8) AS BIGINT) AS h FROM tr),
+member AS ({member}),
+used AS (SELECT c, j, row_number() OVER (PARTITION BY c ORDER BY j) AS i FROM (VALUES {USED}) u(c, j) WHERE {combos}),
+cols AS (SELECT c, j FROM used UNION ALL SELECT DISTINCT c, {N} + k FROM used, range(1, {len(ml.TARGETS) + 1}) t(k)),
+xs AS (SELECT image_name, unnest(range(1, {N + 1})) AS j, unnest([{", ".join(ml.FEATURES)}]) AS x FROM f),
+ys AS (SELECT image_name, unnest(range(1, {len(ml.TARGETS) + 1})) AS k, unnest([{", ".join(ml.TARGETS)}]) AS y FROM f),
+st AS (SELECT g, j, avg(x) AS m, stddev_pop(x) AS s FROM member JOIN xs USING (image_name) WHERE train GROUP BY 1, 2),
+z AS (SELECT g, image_name, train, j, (x - m) / CASE WHEN s > 1e-12 * greatest(abs(m), 1) THEN s ELSE 1 END AS z
+  FROM member JOIN xs USING (image_name) JOIN st USING (g, j)),
+yc AS (SELECT g, image_name, train, k, y, avg(y) FILTER (train) OVER (PARTITION BY g, k) AS my FROM member JOIN ys USING (image_name)),
+prod AS (SELECT a.g, a.j AS i, b.j AS j, sum(a.z * b.z) + CASE WHEN a.j = b.j THEN {ml.ALPHA} ELSE 0 END AS v
+    FROM z a JOIN z b ON a.g = b.g AND a.image_name = b.image_name WHERE a.train GROUP BY 1, 2, 3
+  UNION ALL SELECT z.g, j, {N} + k, sum(z * (y - my)) FROM z JOIN yc ON z.g = yc.g AND z.image_name = yc.image_name WHERE z.train GROUP BY 1, 2, 3),
+lines AS (SELECT u.c, p.g, u.i, list(p.v ORDER BY p.j) AS r FROM prod p JOIN used u ON u.j = p.i
+  JOIN cols ON cols.c = u.c AND cols.j = p.j GROUP BY 1, 2, 3),
+gauss(c, g, step, m) AS (SELECT c, g, CAST(1 AS BIGINT), list(r ORDER BY i) FROM lines GROUP BY 1, 2
+  UNION ALL SELECT c, g, step + 1, list_transform(m, lambda r, i: CASE WHEN i = step THEN list_transform(r, lambda x: x / r[step])
+    ELSE list_transform(r, lambda x, j: x - r[step] * m[step][j] / m[step][step]) END) FROM gauss WHERE step <= len(m)),
+w AS (SELECT c, g, u.j, k, m[u.i][len(m) + k] AS w FROM gauss JOIN used u USING (c), range(1, {len(ml.TARGETS) + 1}) t(k) WHERE step = len(m) + 1),
+pred AS (SELECT c, z.g, z.image_name, z.train, k, any_value(y) AS y, any_value(my) + sum(z * w) AS p
+  FROM z JOIN w ON w.g = z.g AND w.j = z.j JOIN yc USING (k) WHERE yc.g = z.g AND yc.image_name = z.image_name GROUP BY 1, 2, 3, 4, 5)
+"""
+
+
+SCORES = """, parts AS (SELECT c, g, k, CASE WHEN var_pop(y) > 0 THEN 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) ELSE 0 END AS r2
+  FROM pred WHERE NOT train GROUP BY 1, 2, 3),
+scores AS (SELECT c, g, avg(r2) AS r2 FROM parts GROUP BY 1, 2)
+"""
+NAMES = "CASE k " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(ml.TARGETS, 1)) + " END"
+
+
+@query(
+    "ml_ridge_holdout",
+    _ridge_sql(BY_PART) + f"""SELECT {NAMES} AS output, count(*) AS n, CASE WHEN train THEN 'train' ELSE 'val' END AS part, 'ridge' AS model,
+      round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 5) AS r2, round(sqrt(avg(pow(y - p, 2))), 5) AS rmse,
+      round(avg(abs(y - p)), 5) AS mae FROM pred GROUP BY k, train""",
+    T,
+)
 def _(t):
-    return ml.holdout_metrics(cut(_train(t)), "image_name", "ridge")
+    m = ml.holdout_metrics(cut(_train(t)), "image_name", "ridge")
+    return m.select("output", "n", "part", "model", *[F.round(c, 5).alias(c) for c in ("r2", "rmse", "mae")])
 
 
 @query("ml_forest_holdout", None)
@@ -84,17 +141,27 @@ def _(t):
     return ml.compare_models(cut(_train(t)), "image_name")
 
 
-@query("ml_cross_validation", None)
+@query("ml_cross_validation", _ridge_sql(BY_FOLD) + SCORES + "SELECT CAST(g AS INT) AS fold, round(r2, 6) AS r2 FROM scores", T)
 def _(t):
-    return ml.cross_validate(_train(t), "image_name")
+    return ml.cross_validate(_train(t), "image_name").select("fold", r6("r2").alias("r2"))
+
 
+ABLATION = _ridge_sql(BY_FOLD, "true") + SCORES + """, ab AS (SELECT c AS blocks, (SELECT count(*) FROM used WHERE used.c = scores.c) AS n_features,
+  round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r2_std FROM scores GROUP BY c)
+"""
 
-@query("ml_block_ablation", None)
+
+@query("ml_block_ablation", ABLATION + "SELECT blocks, CAST(n_features AS INT) AS n_features, cv_r2_mean, cv_r2_std FROM ab", T)
 def _(t):
     return ml.block_ablation(_train(t), "image_name")
 
 
-@query("ml_marginal_gains", None)
+@query(
+    "ml_marginal_gains",
+    ABLATION + """SELECT d.block, round(a.cv_r2_mean - b.cv_r2_mean, 4) AS gain FROM ab a, ab b, (VALUES ('v', 's+h'), ('s', 'v+h'), ('h', 'v+s')) d(block, rest)
+    WHERE a.blocks = 'v+s+h' AND b.blocks = d.rest""",
+    T,
+)
 def _(t):
     return ml.marginal_gains(ml.block_ablation(_train(t), "image_name"))
 
@@ -104,8 +171,15 @@ def _(t):
     return ml.permutation_importance(cut(_train(t)), "image_name")
 
 
-@query("ml_batch_prediction", None)
+@query(
+    "ml_batch_prediction",
+    _ridge_sql(ALL_ROWS) + "SELECT image_name, " + ", ".join(
+        f"round(max(least(greatest(p, {low}), {high})) FILTER (k = {k}), 5) AS pred_{name}"
+        for k, (name, (low, high)) in enumerate(ml.TARGET_RANGE.items(), 1)
+    ) + " FROM pred GROUP BY 1",
+    T,
+)
 def _(t):
     train = cut(_train(t))
-    model = ml.fit(train, "ridge")
-    return ml.predict(model, train).select("image_name", *[f"pred_{c}" for c in ml.TARGETS])
+    out = ml.predict(ml.fit(train, "ridge"), train)
+    return out.select("image_name", *[F.round(f"pred_{c}", 5).alias(f"pred_{c}") for c in ml.TARGETS])

@@ -42,7 +42,23 @@ def test_pipeline_ridge_equals_closed_form(table, scratch):
     got = {r.image_name: [r[f"pred_{t}"] for t in ml.TARGETS] for r in rows}
     want = closed_form(x, y)(x)
     for i in range(len(x)):
-        assert got[f"img_{i}"] == pytest.approx(list(want[i]), abs=1e-5)
+        assert got[f"img_{i}"] == pytest.approx(list(want[i]), abs=1e-8)
+
+
+def test_ridge_with_collinear_and_nearly_constant_columns(spark):
+    """A column of rounding noise is left out, one whose spread is exactly 1 stays, copies of a column share its weight."""
+    rng = np.random.default_rng(5)
+    names = ["a", "b", "c", "d"]
+    a = np.tile([-1.0, 1.0], 60)
+    b = rng.normal(size=120)
+    x = np.column_stack([a, b, 2 * b + 3, 0.3 + 1e-16 * np.arange(120)])
+    y = 300 * a + 5 * b + rng.normal(size=120)
+    rows = [(*map(float, q), float(v)) for q, v in zip(x, y)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "y"]))
+    model = ml.fit(df, "ridge", names, ["y"])
+    assert model.stages[1].getInputCols() == ["_z_a", "_z_b", "_z_c"]
+    got = [r.pred_y for r in model.transform(df).orderBy("y").collect()]
+    assert got == pytest.approx(list(closed_form(x, y)(x)[np.argsort(y)]), abs=1e-8)
 
 
 def test_cross_validation_uses_train_folds_only(table):
