@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # File formats and condition folders.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "bmp", "tiff", "webp"]
@@ -180,6 +182,31 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("category").parquet(path)
 
 
+def read_features(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of all committed batches with their ``batch``; ``schema`` is that of the features written."""
+    known = StructType([*schema.fields, StructField("batch", StringType())])
+    try:
+        return spark.read.schema(known).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], known)
+
+
+def append_features(df: DataFrame, path: str, batch: str, key: str) -> None:
+    """Add a batch of features exactly once, one folder per batch and category.
+
+    A batch that is run again, whole or after a failure, replaces its own folder,
+    and rows whose key another batch holds already are left out, so neither a
+    rerun nor an overlapping batch stores a row twice. Task outputs stay hidden
+    until the batch is committed. Rows without a key are stored as they come;
+    an empty batch stores nothing. One writer at a time per path.
+    """
+    stored = read_features(df.sparkSession, path, df.schema).filter(F.col("batch") != batch).select(key)
+    fresh = df.join(stored, key, "left_anti").select(*df.columns)
+    fresh.write.mode("overwrite").partitionBy("category").parquet(f"{path}/batch={batch}")
+
+
 def write_lookup(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -2,6 +2,9 @@ import hashlib
 import struct
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from ocuspark.operators import pixels
 from ocuspark.sources import tables
 
@@ -74,6 +77,27 @@ def test_sinks(spark, scratch):
     assert tables.read_lookup(spark, f"{scratch}/l").count() == 2
 
 
+def test_features_are_appended_once(spark, scratch):
+    """Reruns, overlaps, an empty batch and one that failed before its commit."""
+    schema = "name string, f double, category string"
+    rows = lambda *names: spark.createDataFrame([(n, float(len(n or "")), "web") for n in names], schema)
+    stored = lambda: sorted((r.name or "-", r.batch) for r in tables.read_features(spark, f"{scratch}/f", rows("x").schema).collect())
+    assert stored() == []
+    tables.append_features(rows(), f"{scratch}/f", "none", "name")
+    tables.append_features(rows("a", "bb"), f"{scratch}/f", "01", "name")
+    tables.append_features(rows("a", "bb"), f"{scratch}/f", "01", "name")
+    tables.append_features(rows("bb", "ccc", None), f"{scratch}/f", "2", "name")
+    assert stored() == [("-", "2"), ("a", "01"), ("bb", "01"), ("ccc", "2")]
+
+    broken = rows("dddd").withColumn("f", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        tables.append_features(broken, f"{scratch}/f", "3", "name")
+    assert len(stored()) == 4
+    tables.append_features(rows("dddd"), f"{scratch}/f", "3", "name")
+    tables.append_features(rows("a"), f"{scratch}/f", "01", "name")
+    assert stored() == [("-", "2"), ("a", "01"), ("ccc", "2"), ("dddd", "3")]
+
+
 def test_streamed_gaze_files(spark, scratch):
     from ocuspark.streaming import live
 
