@@ -98,12 +98,12 @@ def _micros(df, *columns):
 
 
 # Windows are emitted once the watermark (largest event time minus the delay)
-# has passed their end.
+# has passed their end. Sessions that touch are one, so a pause of just the gap does not end it.
 @query(
     "stream_recording_sessions",
     """WITH g AS (SELECT recording_id, device_us, device_us - lag(device_us) OVER w AS gap FROM gaze_samples
       WINDOW w AS (PARTITION BY recording_id ORDER BY device_us, sample_id)),
-    s AS (SELECT *, sum(CASE WHEN gap < 200000 THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY device_us) AS k FROM g)
+    s AS (SELECT *, sum(CASE WHEN gap <= 200000 THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY device_us) AS k FROM g)
     SELECT recording_id, min(device_us) AS session_start, max(device_us) + 200000 AS session_end, count(*) AS n_samples FROM s
     GROUP BY recording_id, k
     HAVING max(device_us) + 200000 <= (SELECT (max(device_us) // 1000 - 2000) * 1000 FROM gaze_samples)""",

@@ -154,3 +154,23 @@ def test_aoi_hit_rates_do_not_depend_on_the_files(spark, tmp_path, parts):
             want.setdefault(second, []).append(hit)
     assert {r.window_start.timestamp(): (r.n_fixations, round(r.hit_rate, 9)) for r in got} == {float(s): (len(v), round(sum(v) / len(v), 9)) for s, v in want.items()}
     assert 0 < sum(sum(v) for v in want.values()) < sum(map(len, want.values()))
+
+
+def test_a_pause_of_just_the_gap_does_not_end_a_session(spark, tmp_path):
+    """The query and its SQL, on pauses of 199,999, 200,000 and 200,001 microseconds."""
+    import duckdb
+
+    from ocuspark.plans.catalog import CHECKS, QUERIES
+
+    us, times = 0, []
+    for pause in (0, 199_999, 200_000, 200_001, 200_000, 9_000_000):
+        us += pause
+        times.append(us)
+    rows = ", ".join(f"({i}, make_timestamp({1704067200000000 + 400_000 * t}), 7, 'view', 1e0, '{{\"k\": 1}}')" for i, t in enumerate(times))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT CAST(a AS BIGINT) AS event_id, b AS ts, CAST(c AS BIGINT) AS user_id, d AS event_type, e AS value, f AS props FROM (VALUES {rows}) v(a, b, c, d, e, f)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    name = "stream_recording_sessions"
+    found = QUERIES[name](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in found.select("recording_id", "session_start", "session_end", "n_samples").collect())
+    assert got == sorted(con.execute(CHECKS[name]).fetchall()) and [r[3] for r in got] == [3, 2]
