@@ -174,3 +174,13 @@ def test_a_pause_of_just_the_gap_does_not_end_a_session(spark, tmp_path):
     found = QUERIES[name](spark, str(tmp_path))
     got = sorted(tuple(r) for r in found.select("recording_id", "session_start", "session_end", "n_samples").collect())
     assert got == sorted(con.execute(CHECKS[name]).fetchall()) and [r[3] for r in got] == [3, 2]
+
+
+def test_samples_at_device_time_zero_and_before_are_kept(spark, tmp_path):
+    rows = [(rec, i, us, 100.0, 100.0, 60.0, None) for rec, first in ((1, 0), (2, -20_000)) for i, us in enumerate(range(first, 100_000, 20_000))]
+    rows.append((99, 0, 60_000_000, 1.0, 1.0, 0.0, None))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/f0")
+    fix = live.run_available(live.live_fixations(stream(spark, tmp_path))).collect()
+    assert sorted((r.recording_id, r.start_us, r.n) for r in fix) == [(1, 0, 5), (2, -20_000, 6)]
+    events = live.run_available(live.live_events(stream(spark, tmp_path))).collect()
+    assert sorted((r.recording_id, r.sample_id) for r in events if r.recording_id < 99) == [r[:2] for r in rows[:-1]]
