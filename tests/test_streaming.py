@@ -184,3 +184,14 @@ def test_samples_at_device_time_zero_and_before_are_kept(spark, tmp_path):
     assert sorted((r.recording_id, r.start_us, r.n) for r in fix) == [(1, 0, 5), (2, -20_000, 6)]
     events = live.run_available(live.live_events(stream(spark, tmp_path))).collect()
     assert sorted((r.recording_id, r.sample_id) for r in events if r.recording_id < 99) == [r[:2] for r in rows[:-1]]
+
+
+def test_only_shown_screens_are_cut_into_tiles(spark, monkeypatch):
+    elements = spark.createDataFrame([(s, 10 * s, 0, 20, 20) for s in range(50)], "screen_id long, x int, y int, w int, h int")
+    shown = spark.createDataFrame([(1, 7), (2, 8), (3, 7)], "recording_id long, screen_id long")
+    fixations = spark.createDataFrame([(1, 75.0, 5.0), (2, 75.0, 5.0), (3, 5.0, 5.0), (4, 75.0, 5.0)], "recording_id long, mean_x double, mean_y double")
+    made, tiles = [], live.aoi_tiles
+    monkeypatch.setattr(live, "aoi_tiles", lambda e, size: made.append(tiles(e, size)) or made[0])
+    hits = live.aoi_hits(fixations, shown, elements).collect()
+    assert {r.recording_id: r.hit for r in hits} == {1: True, 2: False, 3: False, 4: False}
+    assert {r.screen_id for r in made[0].collect()} == {7, 8}
