@@ -212,6 +212,11 @@ def flat(elements: DataFrame) -> DataFrame:
     return elements.selectExpr("screen_id", "inline(elements)") if "elements" in elements.columns else elements
 
 
+def _of_screens(elements: DataFrame, points: DataFrame) -> DataFrame:
+    """The elements of screens that have a point; no others can answer, so only these are cut into tiles."""
+    return elements.join(points.select("screen_id").distinct(), "screen_id", "left_semi")
+
+
 def points_inside(points: DataFrame, elements: DataFrame, x: str, y: str) -> DataFrame:
     """screen_id, _x, _y, element_id: every element whose box (borders included) contains a point, each distinct point once.
 
@@ -224,7 +229,8 @@ def points_inside(points: DataFrame, elements: DataFrame, x: str, y: str) -> Dat
     def tiles(low: Column, size: str) -> Column:
         return F.explode(F.sequence(F.floor(low / POINT_TILE), F.floor((low + F.col(size)) / POINT_TILE)))
 
-    boxes = flat(elements).select("screen_id", "element_id", "x", "y", "w", "h").withColumn("_tx", tiles(F.col("x"), "w")).withColumn("_ty", tiles(F.col("y"), "h"))
+    asked = _of_screens(flat(elements).select("screen_id", "element_id", "x", "y", "w", "h"), points)
+    boxes = asked.withColumn("_tx", tiles(F.col("x"), "w")).withColumn("_ty", tiles(F.col("y"), "h"))
     met = split_join(spots, boxes, ["screen_id", "_tx", "_ty"], spread=["_x", "_y"])
     hit = F.col("_x").between(F.col("x"), F.col("x") + F.col("w")) & F.col("_y").between(F.col("y"), F.col("y") + F.col("h"))
     return met.filter(hit).select("screen_id", "_x", "_y", "element_id")
@@ -249,17 +255,18 @@ def nearest_centres(points: DataFrame, elements: DataFrame, x: str, y: str) -> D
     centre no further than a tile's side is the nearest, as all others lie
     further; points without one go on with tiles twice as wide.
     """
-    centres = cut(flat(elements).select("screen_id", "element_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")))
     spots = points.select("screen_id", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
+    asked = _of_screens(flat(elements), spots)
+    centres = cut(asked.select("screen_id", "element_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy")))
     left = cut(spots.join(centres.select("screen_id").distinct(), "screen_id", "left_semi").filter("_x IS NOT NULL AND _y IS NOT NULL"))
     done, side = [], float(POINT_TILE)
     while not left.isEmpty():
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        asked = left.withColumn("_i", around).withColumn("_j", around).select(
+        around_spots = left.withColumn("_i", around).withColumn("_j", around).select(
             "screen_id", "_x", "_y", (F.floor(F.col("_x") / side) + F.col("_i")).alias("_tx"), (F.floor(F.col("_y") / side) + F.col("_j")).alias("_ty")
         )
         dealt = centres.withColumns({"_tx": F.floor(F.col("cx") / side), "_ty": F.floor(F.col("cy") / side)})
-        met = split_join(asked, dealt, ["screen_id", "_tx", "_ty"], spread=["_x", "_y"])
+        met = split_join(around_spots, dealt, ["screen_id", "_tx", "_ty"], spread=["_x", "_y"])
         far = (F.pow(F.col("cx") - F.col("_x"), 2) + F.pow(F.col("cy") - F.col("_y"), 2)).alias("d")
         best = met.groupBy("screen_id", "_x", "_y").agg(F.min(F.struct(far, F.col("element_id"))).alias("best")).filter(F.col("best.d") <= side * side)
         best = cut(best.select("screen_id", "_x", "_y", F.col("best.element_id").alias("element_id")))
@@ -274,7 +281,8 @@ def nearest_centres(points: DataFrame, elements: DataFrame, x: str, y: str) -> D
 
 def resolve_target(requests: DataFrame, elements: DataFrame) -> DataFrame:
     """Target element: by id, else the first containing box, else nearest centre."""
-    rows = flat(elements)
+    rows = flat(elements).select("screen_id", "element_id", "x", "y", "w", "h", "cx", "cy")
+    rows = cut(_of_screens(rows, requests))  # read by id, by box and by centre
     known = rows.select("screen_id", F.col("element_id").alias("target_id"), F.col("element_id").alias("_by_id")).dropDuplicates(["screen_id", "target_id"])
     named = split_join(requests, known, ["screen_id", "target_id"], how="left")
     open_ = requests.filter("target_id IS NULL")
