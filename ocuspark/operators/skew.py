@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def hot_keys(big: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """keys, _splits: the keys with more than a fair partition's share of ``big``, at most one per shuffle partition, and how many shares."""
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # The total is a scalar subquery: computed once, used as a constant.
+    total = counts.agg(F.sum("n")).scalar()
+    return (
+        counts.select(*keys, F.col("n").alias("_n"), total.alias("_total"))
+        .filter(F.col("_n") * parts > F.col("_total"))
+        .select(*keys, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("_splits"))
+    )
+
+
 def split_join(
     big: DataFrame,
     small: DataFrame,
@@ -29,17 +43,7 @@ def split_join(
     keys = list(keys)
     if spread is None:
         spread = [c for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct"))]
-    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    # The total is a scalar subquery: computed once, used as a constant.
-    total = counts.agg(F.sum("n")).scalar()
-    hot = (
-        counts.select(*keys, F.col("n").alias("_n"), total.alias("_total"))
-        .filter(F.col("_n") * parts > F.col("_total"))
-        .select(*keys, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("_splits"))
-    )
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot_keys(big, keys, counts))
     piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_splits")).cast("int"), F.lit(0))
     left = big.join(hot, keys, "left").withColumn("_split", piece).drop("_splits")
     copies = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)

@@ -1,9 +1,10 @@
 """Exact union area of rectangles as bit masks per tile.
 
 A rectangle is cut into the tiles it touches and each piece becomes a few
-64-bit masks. ``bit_or`` merges overlapping pieces and combines before the
-shuffle, so neither overlaps nor copies nor one crowded screen cost more than
-one row per touched tile.
+64-bit masks, merged by ``bit_or``. Rectangles are shuffled by their key and cut
+behind the shuffle, as masks are much larger. A key with more than a fair
+partition's share of them is cut where it lies, and its masks combine before the
+shuffle, so a crowded screen costs one row per touched tile and task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocuspark.operators.skew import hot_keys
+
 
 def tile_coverage(
     rects: DataFrame, keys: Sequence[str], tile_h: int, tile_w: int
@@ -25,12 +28,18 @@ def tile_coverage(
     """
     if tile_w > 62:
         raise ValueError("tile_w must fit a 64-bit mask")
+    filled = rects.filter("r1 > r0 AND c1 > c0").select(*keys, "r0", "r1", "c0", "c1")
+    hot = F.broadcast(hot_keys(filled, keys))
+    light = _merged(filled.join(hot, keys, "left_anti").repartition(*keys), keys, tile_h, tile_w)
+    return light.unionAll(_merged(filled.join(hot, keys, "left_semi"), keys, tile_h, tile_w))
+
+
+def _merged(rects: DataFrame, keys: Sequence[str], tile_h: int, tile_w: int) -> DataFrame:
     per_word = max(1, 62 // tile_w)
     words = math.ceil(tile_h / per_word)
     repeats = [sum(1 << (i * tile_w) for i in range(n)) for n in range(per_word + 1)]
     pieces = (
-        rects.filter("r1 > r0 AND c1 > c0")
-        .withColumn("tile_row", F.explode(F.expr(f"sequence(r0 div {tile_h}, (r1 - 1) div {tile_h})")))
+        rects.withColumn("tile_row", F.explode(F.expr(f"sequence(r0 div {tile_h}, (r1 - 1) div {tile_h})")))
         .withColumn("tile_col", F.explode(F.expr(f"sequence(c0 div {tile_w}, (c1 - 1) div {tile_w})")))
         .selectExpr(
             *keys,

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ocuspark.operators import layout
+from ocuspark.operators import layout, tiles
 from ocuspark.operators.tiles import tile_coverage
 
 ELEMENTS = "screen_id long, element_id long, x int, y int, w int, h int, color string"
@@ -192,3 +192,33 @@ def test_points_on_a_screen_of_many_elements(spark):
     )
     first = layout.hit_first(asked, frame, "target_x", "target_y").collect()
     assert {r.request_id: r.element_id for r in first} == {n: min(inside(s, px, py), default=None) for n, s, _, px, py in spots}
+
+
+def test_only_screens_with_points_are_cut_into_tiles(spark, monkeypatch):
+    boxes = [(s, e, 10 * e, 0, 30, 30, 10 * e + 15.0, 15.0) for s in range(40) for e in range(3)]
+    elements = spark.createDataFrame(boxes, "screen_id long, element_id long, x int, y int, w int, h int, cx double, cy double")
+    requests = spark.createDataFrame([(1, 5, None, 12.0, 3.0), (2, 9, 2, 0.0, 0.0), (3, 5, None, 400.0, 300.0), (4, 77, 1, 1.0, 1.0)], "request_id long, screen_id long, target_id long, target_x double, target_y double")
+    dealt, join = [], layout.split_join
+
+    def watched(big, small, *rest, **named):
+        dealt.append(small.select("screen_id").distinct())
+        return join(big, small, *rest, **named)
+
+    monkeypatch.setattr(layout, "split_join", watched)
+    found = layout.resolve_target(requests, elements).collect()
+    assert {r.request_id: r.resolved_id for r in found} == {1: 0, 2: 2, 3: 2, 4: None}
+    assert all({r.screen_id for r in d.collect()} <= {5, 9} for d in dealt)
+
+
+def test_rectangles_are_shuffled_before_they_become_masks(spark):
+    rng = random.Random(6)
+    rows = [(0 if i < 300 else rng.randrange(1, 60), *sorted(rng.sample(range(90), 2)), *sorted(rng.sample(range(90), 2))) for i in range(600)]
+    rects = spark.createDataFrame(rows, "screen_id long, r0 int, r1 int, c0 int, c1 int")
+    out = tiles.tile_coverage(rects, ["screen_id"], 20, 20)
+    want = {}
+    for s, r0, r1, c0, c1 in rows:
+        for r in range(r0, r1):
+            for c in range(c0, c1):
+                want.setdefault((s, r // 20, c // 20), set()).add((r, c))
+    assert {(r.screen_id, r.tile_row, r.tile_col): r.covered for r in out.collect()} == {k: len(v) for k, v in want.items()}
+    assert "RepartitionByExpression [screen_id" in out._jdf.queryExecution().optimizedPlan().toString()
