@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -36,6 +35,7 @@ SCALE = 1 << 20
 BLOCK = 128
 SHARD_DOCS = 16_384
 BATCH_TERMS = 2_500_000  # terms of the queries that meet a shard in one task: 40 MB
+SLICE_WORDS = 1 << 20  # words of a shard's documents that are indexed at a time
 FIRST_BLOCKS = 4  # scored before anything is pruned
 NO_ID = (1 << 62) - 1
 
@@ -156,6 +156,25 @@ class Shard:
         return found, scores[found]
 
 
+def _slices_of(docs: pa.Table, vocabulary: np.ndarray, df: np.ndarray, n: int, mean: float) -> Iterator[Shard]:
+    """Indexes of the documents of a shard, about SLICE_WORDS words each: a task holds one at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids = np.asarray(docs.column("doc_id").combine_chunks().fill_null(NO_ID))
+    first = held = 0
+    parts: list[tuple[np.ndarray, ...]] = []
+    for begin in range(0, docs.num_rows, 256):
+        packed = docs.column("packed").slice(begin, 256).to_pylist()
+        for a, (row, term, count, length) in _pieces(pa.array([unpack(t) for t in packed], pa.large_binary())):
+            place = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+            known = vocabulary[place] == term
+            parts.append((begin + a - first + row[known], place[known], count[known], length))
+            held += int(length.sum())
+        end = begin + len(packed)
+        if held >= SLICE_WORDS or end == docs.num_rows:
+            yield Shard(ids[first:end], *map(np.concatenate, zip(*parts)), vocabulary, df, n, mean)
+            first, held, parts = end, 0, []
+
+
 def _search_shard(k: int, n: int, mean: float):
     def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "query_key": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
@@ -165,24 +184,21 @@ def _search_shard(k: int, n: int, mean: float):
         pairs = np.concatenate(asked, axis=1)
         vocabulary, at = np.unique(pairs[0].view(U64), return_index=True)
         df = pairs[1][at].astype(np.float64)
-        unpack = zstandard.ZstdDecompressor().decompress
-        rows, terms, counts, lengths = [], [], [], []
-        for begin in range(0, docs.num_rows, 1024):
-            texts = pa.array([unpack(t) for t in docs.column("packed").slice(begin, 1024).to_pylist()], pa.large_binary())
-            for a, (row, term, count, length) in _pieces(texts):
-                place = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-                known = vocabulary[place] == term
-                rows.append(begin + a + row[known])
-                terms.append(place[known])
-                counts.append(count[known])
-                lengths.append(length)
-        ids = np.asarray(docs.column("doc_id").combine_chunks().fill_null(NO_ID))
-        shard = Shard(ids, *map(np.concatenate, (rows, terms, counts, lengths)), vocabulary, df, n, mean)
-        out: list[pd.DataFrame] = []
-        for query_id, query_key, own in zip(queries.column("query_id").to_pylist(), queries.column("query_key").to_pylist(), asked):
-            found, scores = shard.top(np.searchsorted(vocabulary, own[0].view(U64)), k)
-            out.append(pd.DataFrame({"query_id": query_id, "query_key": query_key, "doc_id": ids[found], "score": scores.astype(np.int64)}))
-        return pa.Table.from_pandas(pd.concat(out), schema=empty.schema, preserve_index=False) if out else empty
+        places = [np.searchsorted(vocabulary, own[0].view(U64)) for own in asked]
+        # The k best of the slices before, per query.
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
+        for shard in _slices_of(docs, vocabulary, df, n, mean):
+            for q, own in enumerate(places):
+                found, scores = shard.top(own, k)
+                if not len(found):
+                    continue
+                ids, scores = np.append(best[q][0], shard.ids[found]), np.append(best[q][1], scores)
+                first = np.lexsort((ids, -scores))[:k]
+                best[q] = ids[first], scores[first]
+        counts = [len(ids) for ids, _ in best]
+        asked_by = [np.repeat(queries.column(c).to_numpy(), counts) for c in ("query_id", "query_key")]
+        ids, scores = (np.concatenate([b[i] for b in best]).astype(np.int64) for i in (0, 1))
+        return pa.table(dict(zip(empty.column_names, (*asked_by, ids, scores))), schema=empty.schema)
 
     return run
 
