@@ -44,7 +44,7 @@ TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK = 128
 WINDOW = 1024  # documents looked at together
 SHARD_DOCS = 16_384
-SHARD_POSTINGS = 4_000_000
+SHARD_POSTINGS = 1_000_000  # a task sorts these: about 150 MB
 BATCH_TERMS = 200_000  # query terms that meet a shard in one task
 POSTING = np.dtype([("gap", "<u2"), ("impact", "<u4")])
 INDEX = "shard int, term string, df bigint, last array<int>, top array<int>, blocks array<binary>, ids array<bigint>"
