@@ -108,9 +108,10 @@ def average_ranks(df: DataFrame, value: str, buckets: int | None = None) -> Data
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: Spearman's rho with average ranks for ties, and the pair count."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    # Cut: read three times and joined by value, so its values must not be computed anew.
+    pairs = cut(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)
-    )
+    ))
     rx = average_ranks(pairs, x).withColumnRenamed("rank", "_rx")
     ry = average_ranks(pairs, y).withColumnRenamed("rank", "_ry")
     # A tied value may hold a large share of the rows; the other column spreads it.

@@ -337,9 +337,15 @@ def _(t):
     return _rounded(study.load_effect(means), ["image_name"])
 
 
+# Scores from sums of whole cents, which no order of adding changes: equal averages are ties on both sides.
+CENT_STEMS = STEMS.replace("avg(score)", "CAST(sum(score) AS DOUBLE) / count(score) / 1e5").replace(
+    "o_totalprice / 1000", "CAST(round(o_totalprice * 100) AS BIGINT)"
+)
+
+
 @query(
     "study_spearman_score_vs_effect",
-    EFFECTS_SQL + """, pairs AS (SELECT s.score, e.cl_effect FROM stems s JOIN matched m ON s.stem = m.stem
+    EFFECTS_SQL.replace(STEMS.replace("{orders}", "orders"), CENT_STEMS.replace("{orders}", "orders")) + """, pairs AS (SELECT s.score, e.cl_effect FROM stems s JOIN matched m ON s.stem = m.stem
       JOIN effect e ON m.name = e.image_name),
     ranked AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rx,
       rank() OVER (ORDER BY cl_effect) + (count(*) OVER (PARTITION BY cl_effect) - 1) / 2 AS ry FROM pairs)
@@ -350,7 +356,7 @@ def _(t):
     means = study.image_condition_means(study.clean_trials(t["aoi_trials"]))
     effect = study.load_effect(means)
     pairs = (
-        _stems(t)
+        t.spark.sql(CENT_STEMS, orders=t["orders"])
         .join(_matched(t), "stem")
         .join(effect.withColumnRenamed("image_name", "name"), "name")
     )

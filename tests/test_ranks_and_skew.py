@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.operators import maps, ranks, study
 from ocuspark.operators.skew import split_join
+from ocuspark.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +47,18 @@ def test_spearman_with_ties(spark):
     assert got.n == 120
 
 
+def test_spearman_query_ties_equal_averages(spark, scratch):
+    """Two images have the same prices in another order: their average scores are one tie, whatever the order of adding."""
+    prices = {0: (100.0, 200.0, 300.0), 3: (300.0, 200.0, 100.0), 6: (900.0, 800.0, 700.0)}
+    orders = [(image + 150 * i, "F", p) for image, own in prices.items() for i, p in enumerate(own)]
+    lines = [(o, o % 150, 1, 1, q, 1.0, 0.0, flag, "F") for o, _, _ in orders for flag, q in (("A", 10.0), ("R", 11.0 + o % 150))]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{scratch}/orders.parquet")
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, kinds).write.parquet(f"{scratch}/lineitem.parquet")
+    got = QUERIES["study_spearman_score_vs_effect"](spark, scratch).first()
+    assert (got.rho, got.n) == (pytest.approx(0.866025), 3)
+
+
 def judd(pred, fix):
     th = sorted((p for p, f in zip(pred, fix) if f), reverse=True)
     n, k = len(pred), len(th)
