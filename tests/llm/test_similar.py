@@ -75,3 +75,25 @@ def test_odd_rows(odd, none, case):
     want = [] if case == "none" else [1, 4, 7, 9, 10, 10, 2**40, None, None]
     # 3 is near 1: 36 of 42 shingles are common.
     assert sorted(left, key=str) == sorted(want, key=str)
+
+
+def test_a_large_group_of_edited_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies with many edits lie in the same bands, but hardly any two are similar: they must not all be compared."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(240):
+        copy = list(base)
+        for at in rng.sample(range(140), rng.choice([1, 2, 3, 5, 6])):
+            copy[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    compared, verified = [], similar._verified
+
+    def counted(pairs, texts, similarity):
+        compared.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in found} == heads(rows)
+    assert sum(compared) < 240 * 239 / 2 / 8
