@@ -29,6 +29,7 @@ def split_join(
     spread: Sequence[str] | None = None,
     counts: DataFrame | None = None,
     how: str = "inner",
+    look: bool = False,
 ) -> DataFrame:
     """Join many rows per key (``big``) with one row per key (``small``).
 
@@ -38,9 +39,13 @@ def split_join(
     ``small`` row is repeated once per piece. With P shuffle partitions at most
     P keys can exceed a share, and the pieces add up to at most 2 P, so the
     broadcast table of hot keys is bounded by P rows whatever the data size.
-    ``counts`` (keys, n) may be passed when it is known already.
+    ``counts`` (keys, n) may be passed when it is known already. With ``look``
+    (for counts that are written) they are read first, and rows that are dealt
+    by the keys already are not dealt again if no key exceeds a share.
     """
     keys = list(keys)
+    if look and hot_keys(big, keys, counts).isEmpty():
+        return big.join(small, keys, how)
     if spread is None:
         spread = [c for c, kind in big.dtypes if not kind.startswith(("array", "map", "struct"))]
     hot = F.broadcast(hot_keys(big, keys, counts))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ocuspark.functions.columns import clip
 from ocuspark.operators import ranks
+from ocuspark.operators.lineage import cut
 from ocuspark.operators.skew import split_join
 
 # Trial metrics, condition levels and published effect ratios.
@@ -86,12 +87,15 @@ def describe(df: DataFrame, column: str, groups: list[str] | None = None) -> Dat
     return with_row.select("*", *[F.col(f"_q.{n}").alias(n) for n in names]).drop("_q")
 
 
-def sensitivity_lookup(trials: DataFrame) -> DataFrame:
+def sensitivity_lookup(trials: DataFrame, baseline_means: dict[str, str] | None = None) -> DataFrame:
     """Per image: load ratios, highlight effectiveness and combined load index.
 
     Condition means come from one grouping with conditional averages, so no
     self-joins are needed. Images without baseline or high-load rows drop out.
+    ``baseline_means`` (name: column) adds further means over the baseline rows
+    in the same grouping.
     """
+    more = baseline_means or {}
 
     def mean_if(load: str, highlight: str, c: str) -> Column:
         here = (F.col("cognitive_load") == load) & (F.col("highlight") == highlight)
@@ -108,6 +112,7 @@ def sensitivity_lookup(trials: DataFrame) -> DataFrame:
         rows_if("Absent", "Absent").alias("_nb"),
         rows_if("High", "Absent").alias("_nh"),
         rows_if("High", "Dynamic").alias("_nd"),
+        *[mean_if("Absent", "Absent", c).alias(name) for name, c in more.items()],
     )
     wide = wide.filter((F.col("_nb") > 0) & (F.col("_nh") > 0))
     ratio = [
@@ -124,6 +129,7 @@ def sensitivity_lookup(trials: DataFrame) -> DataFrame:
         ratio[2].alias("exploration_reduction"),
         F.lit(0.4).alias("aoi_sensitivity"),
         highlight.alias("highlight_effectiveness"),
+        *more,
     )
     index = (
         0.30 * (1.0 - F.col("fixation_reduction"))
@@ -137,15 +143,16 @@ def sensitivity_lookup(trials: DataFrame) -> DataFrame:
 
 def images_with_both(trials: DataFrame) -> DataFrame:
     """Trials of images that have baseline and high-load rows."""
-    both = (
-        trials.filter(
-            F.col("cognitive_load").isin("Absent", "High") & (F.col("highlight") == "Absent")
-        )
-        .groupBy("image_name")
-        .agg(F.min("cognitive_load").alias("_a"), F.max("cognitive_load").alias("_b"))
-        .filter(F.col("_a") != F.col("_b"))
-    )
-    return split_join(trials, both.select("image_name"), ["image_name"], how="left_semi")
+    counts = cut(both_conditions(trials))
+    both = counts.filter(F.col("both") & F.col("image_name").isNotNull()).select("image_name")
+    return split_join(trials, both, ["image_name"], how="left_semi", counts=counts.select("image_name", "n"), look=True)
+
+
+def both_conditions(trials: DataFrame) -> DataFrame:
+    """Per image: n trials, and whether there are both baseline and high-load rows; one pass."""
+    plain = F.col("highlight") == "Absent"
+    some = lambda load: F.count_if(plain & (F.col("cognitive_load") == load)) > 0
+    return trials.groupBy("image_name").agg(F.count(F.lit(1)).alias("n"), (some("Absent") & some("High")).alias("both"))
 
 
 def paired(image_means: DataFrame, metric: str, first: str, second: str) -> DataFrame:

@@ -186,7 +186,7 @@ def _(t):
     T,
 )
 def _(t):
-    return study.images_with_both(t["aoi_trials"]).groupBy("image_name").agg(F.count(F.lit(1)).alias("n"))
+    return study.both_conditions(t["aoi_trials"]).filter("both AND image_name IS NOT NULL").select("image_name", "n")
 
 
 @query(
