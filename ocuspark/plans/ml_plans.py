@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import r6
-from ocuspark.operators import ml, study
+from ocuspark.operators import ml
 from ocuspark.operators.lineage import cut
 from ocuspark.plans.registry import query
 from ocuspark.plans.study_plans import LOOKUP
@@ -28,8 +28,7 @@ COLS = ml.FEATURES + ml.TARGETS
 
 
 def _train(t):
-    trials = t["aoi_trials"]
-    return ml.training_table(study.sensitivity_lookup(trials), trials)
+    return ml.training_rows(t["aoi_trials"])
 
 
 @query(
