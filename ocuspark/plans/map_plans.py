@@ -413,10 +413,10 @@ def _(t):
 )
 def _(t):
     e = t["elements"]
-    levels = e.select("screen_id", "contrast_ratio", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("level"))
-    edges = levels.groupBy("screen_id", "level").agg(
-        F.count_if(F.col("contrast_ratio") > 1 + F.col("level") / 2.0).alias("edges")
-    )
+    # Seven counts a screen first, their rows after the shuffle.
+    survive = [F.count_if(F.col("contrast_ratio") > 1 + k / 2.0).alias(f"_{k}") for k in range(7)]
+    counts = e.groupBy("screen_id").agg(*survive)
+    edges = counts.select("screen_id", F.posexplode(F.array(*[f"_{k}" for k in range(7)])).alias("level", "edges"))
     comps = e.selectExpr("screen_id", "element_id as component_id", "w * h as component_area", "960000 as img_area")
     return _rounded(pixels.visual_hierarchy(edges, comps), ["screen_id"], 9)
 
