@@ -383,7 +383,8 @@ def element_texts(boxes: DataFrame, elements: DataFrame) -> DataFrame:
     usable = boxes.filter(F.col("conf") >= MIN_TEXT_CONFIDENCE).select(
         "screen_id", "cx", "cy", word_count("text").alias("_words")
     )
-    hit = hit_first(usable, elements).filter(F.col("element_id").isNotNull())
+    # Cut: read as points, as spots and for the shares of its keys.
+    hit = hit_first(cut(usable), elements).filter(F.col("element_id").isNotNull())
     words = hit.groupBy("screen_id", "element_id").agg(F.sum("_words").alias("n_words"))
     return words.filter(F.col("n_words") > 0).withColumn(
         "reading_time_s", F.round(F.col("n_words") / (WORDS_PER_MINUTE / 60.0), 3)
@@ -467,18 +468,22 @@ def _strip_area(boxes: Column) -> Column:
     )
 
 
-def union_area(rects: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
+def union_area(rects: DataFrame, direct: int = MAX_ELEMENTS, counts: DataFrame | None = None) -> DataFrame:
     """Pixel area of the union of a screen's rectangles (screen_id, covered).
 
     Screens with up to ``direct`` rectangles are swept in one array expression.
     A screen with more is found by one surplus rectangle (a per-group limit, so
-    nothing larger is ever collected) and goes through the tile masks.
+    nothing larger is ever collected) and goes through the tile masks. If
+    ``counts`` (screen_id, n: at least its rectangles) shows no such screen,
+    one grouping does.
     """
     filled = rects.filter("r1 > r0 AND c1 > c0")
     w = Window.partitionBy("screen_id").orderBy("c0", "r0", "c1", "r1")
     box = F.struct(
         *[F.col(c).cast("bigint").alias(n) for c, n in (("c0", "x0"), ("c1", "x1"), ("r0", "y0"), ("r1", "y1"))]
     )
+    if counts is not None and counts.filter(F.col("n") > direct).isEmpty():
+        return filled.groupBy("screen_id").agg(_strip_area(F.collect_list(box)).alias("covered"))
     packed = (
         filled.withColumn("_k", F.row_number().over(w))
         .filter(F.col("_k") <= direct + 1)
@@ -501,7 +506,8 @@ def union_area(rects: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
 
 def whitespace(elements: DataFrame, screens: DataFrame, direct: int = MAX_ELEMENTS) -> DataFrame:
     """1 - union of the element boxes / image area, exact to the pixel."""
-    placed = split_join(elements, screens.select("screen_id", "img_w", "img_h"), ["screen_id"])
+    counts = cut(elements.groupBy("screen_id").agg(F.count(F.lit(1)).alias("n")))
+    placed = split_join(elements, screens.select("screen_id", "img_w", "img_h"), ["screen_id"], counts=counts, look=True)
     rects = placed.select(
         "screen_id",
         F.greatest(F.lit(0), "y").alias("r0"),
@@ -509,7 +515,7 @@ def whitespace(elements: DataFrame, screens: DataFrame, direct: int = MAX_ELEMEN
         F.greatest(F.lit(0), "x").alias("c0"),
         F.least(F.col("x") + F.col("w"), "img_w").alias("c1"),
     )
-    covered = union_area(rects, direct).withColumnRenamed("covered", "_c")
+    covered = union_area(rects, direct, counts).withColumnRenamed("covered", "_c")
     share = F.coalesce("_c", F.lit(0)) / (F.col("img_w").cast("double") * F.col("img_h"))
     return screens.join(covered, "screen_id", "left").select(
         "screen_id", clip(1.0 - share, 0, 1).alias("whitespace_ratio")
