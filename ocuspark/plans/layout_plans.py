@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import r6
 from ocuspark.operators import layout
+from ocuspark.operators.lineage import cut
 from ocuspark.plans.registry import query
 
 E = ("elements",)
@@ -174,12 +175,15 @@ element_texts AS (SELECT screen_id, element_id, CAST(sum(words) AS BIGINT) AS n_
 )
 
 
-def _text_boxes(t):
-    return t.spark.sql(TEXTS, documents=t["documents"], elements=t["elements"])
+def _text_boxes(t, elements=None):
+    return t.spark.sql(TEXTS, documents=t["documents"], elements=t["elements"] if elements is None else elements)
 
 
 def _texts(t):
-    return layout.element_texts(_text_boxes(t), t["elements"])
+    # Only screens that a document names have texts; the others are neither numbered nor read again.
+    screens = t["documents"].select(F.col("doc_id").alias("screen_id"))
+    named = cut(t["elements"].join(screens, "screen_id", "left_semi"))
+    return layout.element_texts(_text_boxes(t, named), named)
 
 
 @query(
