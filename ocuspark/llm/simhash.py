@@ -28,6 +28,7 @@ BITS = 64
 SAMPLE = 4096  # fingerprints used to estimate bit correlations and candidate counts
 KEY_COST = 10.0  # one shuffled key costs as much as so many compared candidates
 LARGE_BUCKET = 512  # above this a bucket is cut by a second pigeonhole
+SLICE = 1 << 18  # edges that a task merges at once
 
 
 def _set_bits(hashes: list[int]) -> int:
@@ -221,43 +222,80 @@ def hamming_links(distinct: DataFrame, k: int = 3, large: int = LARGE_BUCKET) ->
 # --- components -------------------------------------------------------------
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges root, node with the components of the edges a, b: one for each node that is not its component's smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[own]], nodes[own]
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """Fewer edges a < b with the same components: each slice of SLICE edges that lie together becomes a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            found = forest(*np.concatenate(held, axis=1))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]))
+            size += batch.num_rows
+            if size >= SLICE:
+                yield out()
+                size = 0
+        if size:
+            yield out()
+
+    return edges.mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (smallest node reachable) for every node of the edges a, b.
 
-    Alternating large and small stars; each round is written to the shared
-    folder. Stops when a round leaves the edge set unchanged.
+    Alternating large and small stars. The edges that lie in one task are merged
+    to a forest in front of the small star's shuffle, so a hub has one row a slice
+    there. Each round is written to the shared folder; stops when every edge leads
+    from a root to a node without another.
     """
 
-    def digest(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    def settled(df: DataFrame) -> bool:
+        ends = df.select(F.col("a").alias("node"), F.lit(0).alias("child")).unionAll(df.select("b", F.lit(1)))
+        per = ends.groupBy("node").agg(F.sum("child").alias("above"), F.count(F.lit(1)).alias("all"))
+        return per.agg(F.count_if((F.col("above") > 1) | ((F.col("above") == 1) & (F.col("all") > 1)))).first()[0] == 0
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def large_star(df: DataFrame) -> DataFrame:
         both = df.unionAll(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if not large:
-            both = both.filter(F.col("b") < F.col("a"))
         # Written, so that Spark can split a hub's rows in the join that follows.
         low = written(both.groupBy("a").agg(F.min("b").alias("low")), "edges-low")
-        met = both.join(low, "a")
-        root = F.least("a", "low")
-        if large:
-            out = met.filter(F.col("b") > F.col("a")).select(root.alias("a"), "b")
-        else:
-            out = met.select(F.col("low").alias("a"), "b").unionAll(low.select(F.col("low").alias("a"), F.col("a").alias("b")))
-        return out.filter(F.col("a") < F.col("b")).distinct()
-
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    before = digest(edges)
+        return df.join(low, "a").select(F.least("a", "low").alias("a"), "b")
+
+    def small_star(df: DataFrame) -> DataFrame:
+        near = df.groupBy("b").agg(F.collect_set("a").alias("near"))
+        out = near.select(F.array_min("near").alias("a"), F.explode(F.array_append("near", F.col("b"))).alias("b"))
+        return out.filter("a < b")
+
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+    edges = written(merged(edges), "edges")
     for _ in range(most_rounds):
-        if before[0] == 0:
-            break
-        edges = written(star(star(edges, True), False), "edges")
-        after = digest(edges)
-        if after == before:
+        if settled(edges):
             break
-        before = after
+        edges = written(small_star(merged(large_star(edges))), "edges")
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

@@ -97,3 +97,43 @@ def test_a_large_group_of_edited_copies_makes_few_pairs(spark, monkeypatch):
     found = similar.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["component_id"] for r in found} == heads(rows)
     assert sum(compared) < 240 * 239 / 2 / 8
+
+
+def test_components_of_chains_hubs_and_random_edges(spark, monkeypatch):
+    """Small slices: neither one slice nor one task sees a whole component."""
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    rng = random.Random(3)
+    names = rng.sample(range(-(10**12), 10**12), 900)
+    edges = [(names[i], names[i + 1]) for i in range(300)] + [(names[400], names[i]) for i in range(401, 600)]
+    edges += [(rng.choice(names[600:]), rng.choice(names[600:])) for _ in range(250)]
+    rng.shuffle(edges)
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges + edges[:50], "a bigint, b bigint").repartition(5)
+    found = simhash.components(df).collect()
+    assert len(found) == len(root) and {r["node"]: r["root"] for r in found} == {n: find(n) for n in root}
+    assert simhash.components(df.filter("a = b")).count() == 0
+
+
+def test_few_stages_are_written(spark, monkeypatch):
+    """Each costs a task per shuffle partition however little it holds."""
+    labels, written = [], similar.written
+
+    def counted(df, label, *more):
+        labels.append(label)
+        return written(df, label, *more)
+
+    for module in (simhash, similar):
+        monkeypatch.setattr(module, "written", counted)
+    rows = edited(random.Random(8))
+    similar.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert labels.count("similar-roots") <= 2 and len(labels) <= 40
