@@ -9,6 +9,7 @@ use array functions, so no pair rows are shuffled and nothing leaves the JVM.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,13 +186,17 @@ def detect(candidates: DataFrame) -> DataFrame:
 MOST_PACKED = 10_000  # elements of one screen held in one row
 
 
-def pack(elements: DataFrame, *extra: str, most: int = MOST_PACKED) -> DataFrame:
+PACKED = ["x", "y", "w", "h", "cx", "cy", "area", "color"]
+MATCHED = ["w", "h", "cx", "cy", "color"]  # what matching reads of an element
+
+
+def pack(elements: DataFrame, *extra: str, most: int = MOST_PACKED, fields: Sequence[str] = PACKED) -> DataFrame:
     """One row per screen with all its elements in id order.
 
     The cap on detected elements belongs to ``detect``; what a user adds later
     stays. A table with over ``most`` elements for one screen raises an error.
     """
-    fields = ["element_id", "x", "y", "w", "h", "cx", "cy", "area", "color", *extra]
+    fields = ["element_id", *fields, *extra]
     rows = elements.groupBy("screen_id").agg(
         F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct(*fields))).alias("elements")
     )
@@ -636,7 +641,8 @@ def match_greedily(candidates: DataFrame) -> DataFrame:
             F.exists(acc, lambda t: (t["i"] == m["i"]) | (t["j"] == m["j"])), acc
         ).otherwise(F.concat(acc, F.array(m))),
     )
-    return candidates.withColumn("matched", taken)
+    # Made by a generator: a filter on the matches would move below a projection and compute them again there.
+    return candidates.select("*", F.explode_outer(F.array(taken)).alias("matched"))
 
 
 def match_summary(matched: DataFrame) -> DataFrame:
@@ -677,7 +683,7 @@ def verdict(consistency: Column) -> Column:
 
 def screen_consistency(elements: DataFrame, screens: DataFrame) -> DataFrame:
     """Per product: consistency of element positions over its ordered screens."""
-    packed = pack(elements)
+    packed = pack(elements, fields=MATCHED)
     summary = match_summary(match_greedily(candidate_matches(consecutive_pairs(packed, screens))))
     cells = cell_instability(occupancy(elements, screens), screens)
     both = occupancy_consistency(cells, screens).join(summary, "product_id", "left")

@@ -374,7 +374,7 @@ costs AS (SELECT *, (distance + 0.3e0 * size + 0.3e0 * diff) / 1.6e0 AS cost FRO
     ES,
 )
 def _(t):
-    m = layout.candidate_matches(layout.consecutive_pairs(layout.pack(_elements(t)), t["screens"]))
+    m = layout.candidate_matches(layout.consecutive_pairs(layout.pack(_elements(t), fields=layout.MATCHED), t["screens"]))
     return m.select("product_id", "screen_ord", F.inline("matches")).select(
         "product_id", "screen_ord", F.round("cost", 9).alias("cost"), F.round("distance", 9).alias("distance")
     )
@@ -405,7 +405,7 @@ done AS (SELECT product_id, screen_ord, arg_max(ds, k) AS ds FROM greedy GROUP B
     ES,
 )
 def _(t):
-    pairs = layout.consecutive_pairs(layout.pack(_elements(t)), t["screens"])
+    pairs = layout.consecutive_pairs(layout.pack(_elements(t), fields=layout.MATCHED), t["screens"])
     m = layout.match_greedily(layout.candidate_matches(pairs)).filter(F.size("matched") > 0)
     total = F.aggregate("matched", F.lit(0.0), lambda s, e: s + e["distance"])
     return m.select("product_id", "screen_ord", F.size("matched").alias("n_matched"), r6(total).alias("displacement"))

@@ -106,6 +106,18 @@ def test_one_lucky_match_is_not_enough(spark):
     assert r.match_coverage < 0.5 and r.consistency_score < 1
 
 
+def test_matches_are_computed_once(spark):
+    """Neither a filter on them nor several uses repeat the greedy fold in the plan."""
+    e, s = six(spark)
+    pairs = layout.consecutive_pairs(layout.pack(e), s)
+    m = layout.match_greedily(layout.candidate_matches(pairs)).filter(F.size("matched") > 0)
+    total = F.aggregate("matched", F.lit(0.0), lambda t, e: t + e["distance"])
+    out = m.select(F.size("matched").alias("n"), total.alias("total"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(") == 1 and plan.count("flatten(") == 1
+    assert [tuple(r) for r in out.collect()] == [(6, 0.0)]
+
+
 def test_single_screen_is_trivially_consistent(spark):
     e, s = six(spark)
     r = layout.screen_consistency(e.filter("screen_id = 1"), s.filter("screen_id = 1")).first()
