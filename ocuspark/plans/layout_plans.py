@@ -433,4 +433,4 @@ SELECT product_id, n_screens, round(score, 4) AS consistency_score, round(1 - sc
 
 @query("layout_screen_consistency", CONSISTENCY_SQL, ES)
 def _(t):
-    return layout.screen_consistency(_elements(t), t["screens"])
+    return layout.screen_consistency(layout.describe_elements(t.elements_by_screen()), t["screens"])

@@ -22,6 +22,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
 
+    def elements_by_screen(self) -> DataFrame:
+        """The elements, those of a screen together: they can be numbered and grouped by screen without another shuffle."""
+        return adapters.table(self.spark, self.sf_dir, "elements", dealt={"lineitem": "l_orderkey"})
+
 
 def query(name: str, check: str | None = None, tables: tuple[str, ...] = ()):
     """Register ``fn(tables) -> DataFrame`` and, if given, its SQL twin.

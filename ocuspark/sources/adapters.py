@@ -185,12 +185,20 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table (or a base table) as a lazy DataFrame."""
+def table(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """A domain table (or a base table) as a lazy DataFrame.
+
+    ``dealt`` names columns by which base tables are shuffled before the SQL
+    reads them. Where the SQL numbers rows by such a column, that is the only
+    shuffle: under the column's new name, groups and joins need no other, while
+    of a shuffle made for the numbering Spark does not know the new name.
+    """
     if name in BASE:
         return base_table(spark, sf_dir, name)
     text = _fill(TABLES[name], SPARK_WORDS)
     used = {b: base_table(spark, sf_dir, b) for b in BASE if "{" + b + "}" in text}
+    for b, column in (dealt or {}).items():
+        used[b] = used[b].repartition(column)
     return spark.sql(text, **used)
 
 
