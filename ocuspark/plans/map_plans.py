@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import r6
 from ocuspark.operators import layout, maps, pixels, search
+from ocuspark.operators.lineage import stored
 from ocuspark.plans.layout_plans import DESC
 from ocuspark.plans.registry import query
 
@@ -446,7 +447,9 @@ def _described(t):
 def _saliency(t):
     px = t["map_pixels"].withColumnRenamed("map_id", "screen_id")
     screens = t["screens"].withColumns({"map_w": F.lit(8), "map_h": F.lit(8)})
-    return search.element_saliency(px, t["elements"], screens, tile=4)
+    # Stored: a few are broadcast to the elements.
+    mapped = stored(px.select("screen_id").distinct(), "mapped-screens")
+    return search.element_saliency(px, t.elements_of(mapped), screens, tile=4)
 
 
 @query(
@@ -497,10 +500,7 @@ def _(t):
     EM,
 )
 def _(t):
-    described = _described(t)
-    counts = search.element_counts(described)
-    sim = search.target_similarity(described, _targets(t), counts).drop("target_id")
-    out = search.attention_priority(search.distinctiveness(described, counts=counts), _saliency(t), sim)
+    out = search.priority_to_last(layout.describe_elements(t.elements_by_screen()), _saliency(t))
     return out.select("screen_id", "element_id", r6("priority").alias("priority"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ocuspark.sources import adapters
 
@@ -26,6 +27,11 @@ class Tables:
         """The elements, those of a screen together: they can be numbered and grouped by screen without another shuffle."""
         return adapters.table(self.spark, self.sf_dir, "elements", dealt={"lineitem": "l_orderkey"})
 
+    def elements_of(self, screens: DataFrame) -> DataFrame:
+        """The elements of the given screens (screen_id); the others are neither shuffled nor numbered."""
+        wanted = screens.select(F.col("screen_id").alias("l_orderkey"))
+        return adapters.table(self.spark, self.sf_dir, "elements", only={"lineitem": wanted})
+
 
 def query(name: str, check: str | None = None, tables: tuple[str, ...] = ()):
     """Register ``fn(tables) -> DataFrame`` and, if given, its SQL twin.

@@ -185,9 +185,15 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None) -> DataFrame:
+def table(
+    spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | None = None, only: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """A domain table (or a base table) as a lazy DataFrame.
 
+    ``only`` holds wanted values (one column, named as in the base table) of
+    base tables; other rows do not reach the SQL. A filter on its result stays
+    above its numbering, so that all rows are shuffled before.
+
     ``dealt`` names columns by which base tables are shuffled before the SQL
     reads them. Where the SQL numbers rows by such a column, that is the only
     shuffle: under the column's new name, groups and joins need no other, while
@@ -197,6 +203,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] | N
         return base_table(spark, sf_dir, name)
     text = _fill(TABLES[name], SPARK_WORDS)
     used = {b: base_table(spark, sf_dir, b) for b in BASE if "{" + b + "}" in text}
+    for b, wanted in (only or {}).items():
+        used[b] = used[b].join(wanted, wanted.columns, "left_semi")
     for b, column in (dealt or {}).items():
         used[b] = used[b].repartition(column)
     return spark.sql(text, **used)
