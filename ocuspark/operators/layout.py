@@ -382,28 +382,43 @@ def word_count(text: str) -> Column:
     return F.regexp_count(F.col(text), F.lit(WORD))
 
 
-def element_texts(boxes: DataFrame, elements: DataFrame) -> DataFrame:
-    """Words and reading seconds per element that carries text."""
+def owned_boxes(boxes: DataFrame, elements: DataFrame) -> DataFrame:
+    """The confident text boxes on an element: screen_id, cx, cy, element_id, _words, and box_id if there is one.
+
+    ``boxes`` hold their ``text``, or its ``words`` if they are counted before.
+    """
     # Words are counted once per text; blank boxes add nothing to their element.
-    usable = boxes.filter(F.col("conf") >= MIN_TEXT_CONFIDENCE).select(
-        "screen_id", "cx", "cy", word_count("text").alias("_words")
-    )
+    words = F.col("words") if "words" in boxes.columns else word_count("text")
+    named = [c for c in ("box_id",) if c in boxes.columns]
+    usable = boxes.filter(F.col("conf") >= MIN_TEXT_CONFIDENCE).select("screen_id", "cx", "cy", *named, words.alias("_words"))
     # Cut: read as points, as spots and for the shares of its keys.
-    hit = hit_first(cut(usable), elements).filter(F.col("element_id").isNotNull())
-    words = hit.groupBy("screen_id", "element_id").agg(F.sum("_words").alias("n_words"))
+    return hit_first(cut(usable), elements).filter(F.col("element_id").isNotNull())
+
+
+def element_texts(boxes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Words and reading seconds per element that carries text."""
+    return reading_times(owned_boxes(boxes, elements))
+
+
+def reading_times(owned: DataFrame) -> DataFrame:
+    """``element_texts`` from ``owned_boxes``."""
+    words = owned.groupBy("screen_id", "element_id").agg(F.sum("_words").alias("n_words"))
     return words.filter(F.col("n_words") > 0).withColumn(
         "reading_time_s", F.round(F.col("n_words") / (WORDS_PER_MINUTE / 60.0), 3)
     )
 
 
-def with_text(texts: DataFrame, boxes: DataFrame, elements: DataFrame) -> DataFrame:
-    """Adds ``text``: the stripped texts of the element's boxes in box order, one space between. For a few elements a screen."""
-    usable = boxes.filter((F.col("conf") >= MIN_TEXT_CONFIDENCE) & (word_count("text") > 0)).select(
-        "screen_id", "cx", "cy", "box_id", F.regexp_replace("text", EDGES, "").alias("text")
-    )
-    hit = hit_first(usable, elements).join(texts.select("screen_id", "element_id"), ["screen_id", "element_id"], "left_semi")
+def with_text(texts: DataFrame, owned: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds ``text``: the stripped texts of the element's boxes in box order, one space between. For a few elements a screen.
+
+    ``owned`` are ``owned_boxes``; ``sources`` (box_id, text, conf) has what
+    stands in them. A text goes to its element only if that is one of ``texts``.
+    """
+    shown = owned.filter(F.col("_words") > 0).join(texts.select("screen_id", "element_id"), ["screen_id", "element_id"], "left_semi")
+    usable = sources.filter((F.col("conf") >= MIN_TEXT_CONFIDENCE) & (word_count("text") > 0)).select("box_id", F.regexp_replace("text", EDGES, "").alias("text"))
+    placed = usable.join(shown.select("box_id", "screen_id", "element_id").distinct(), "box_id")
     parts = F.array_sort(F.collect_list(F.struct("box_id", "text")))
-    joined = hit.groupBy("screen_id", "element_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    joined = placed.groupBy("screen_id", "element_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
     return texts.join(joined, ["screen_id", "element_id"], "left")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ocuspark.functions.columns import r6
 from ocuspark.operators import layout
-from ocuspark.operators.lineage import cut
+from ocuspark.operators.lineage import cut, stored
 from ocuspark.plans.registry import query
 
 E = ("elements",)
@@ -160,8 +160,9 @@ def _(t):
 
 
 # Every box hits: the text sits at the centre of an element of its screen.
-TEXTS = """SELECT d.doc_id AS box_id, e.screen_id, e.x + e.w / 2e0 AS cx, e.y + e.h / 2e0 AS cy, d.text, (d.n_chars % 100) / 1e2 AS conf
+BOXES = """SELECT d.doc_id AS box_id, e.screen_id, e.x + e.w / 2e0 AS cx, e.y + e.h / 2e0 AS cy, d.@content@, (d.n_chars % 100) / 1e2 AS conf
   FROM {documents} d JOIN {elements} e ON e.screen_id = d.doc_id AND e.element_id = 1 + d.doc_id % 3"""
+TEXTS = BOXES.replace("@content@", "text")
 WORDS_SQL = (
     "WITH texts AS (" + TEXTS.replace("{documents}", "documents").replace("{elements}", "elements") + "),\n"
     + f"""counted AS (SELECT box_id, screen_id, cx, cy, len(regexp_extract_all(text, '{layout.WORD}')) AS words
@@ -175,15 +176,18 @@ element_texts AS (SELECT screen_id, element_id, CAST(sum(words) AS BIGINT) AS n_
 )
 
 
-def _text_boxes(t, elements=None):
-    return t.spark.sql(TEXTS, documents=t["documents"], elements=t["elements"] if elements is None else elements)
+def _owned(t):
+    # Only screens that a document names have texts; the others are neither numbered nor read again.
+    # Stored: a few are broadcast to the elements.
+    screens = stored(t["documents"].select(F.col("doc_id").alias("screen_id")).distinct(), "named-screens")
+    named = cut(t.elements_of(screens))
+    # Words are counted before the join, so that it shuffles no text.
+    counted = t["documents"].select("doc_id", "n_chars", layout.word_count("text").alias("words"))
+    return layout.owned_boxes(t.spark.sql(BOXES.replace("@content@", "words"), documents=counted, elements=named), named)
 
 
 def _texts(t):
-    # Only screens that a document names have texts; the others are neither numbered nor read again.
-    screens = t["documents"].select(F.col("doc_id").alias("screen_id"))
-    named = cut(t["elements"].join(screens, "screen_id", "left_semi"))
-    return layout.element_texts(_text_boxes(t, named), named)
+    return layout.reading_times(_owned(t))
 
 
 @query(
@@ -231,7 +235,9 @@ def _(t):
     E,
 )
 def _(t):
-    return layout.with_text(layout.longest_texts(_texts(t)), _text_boxes(t), t["elements"])
+    owned = cut(_owned(t))
+    sources = t["documents"].selectExpr("doc_id as box_id", "text", "(n_chars % 100) / 1e2 as conf")
+    return layout.with_text(layout.longest_texts(layout.reading_times(owned)), owned, sources)
 
 
 @query(
