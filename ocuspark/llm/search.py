@@ -9,6 +9,12 @@ upper bound per block, scores the most promising blocks to get a threshold, then
 only the blocks whose bound reaches it; the rest cannot hold a result. The k best
 of every shard are merged by a window per query. Nothing is approximate.
 
+Where the first queries show that most blocks are scored anyway (whole texts as
+queries, documents in no order), block maxima cost more than they save. Then the
+terms that every DENSE-th document holds, which have most postings, become rows
+of a matrix, and a group of queries gets their sums as one product; the other
+terms are added by their postings, and what lies below the k best so far is left.
+
 Impacts are whole numbers (BM25 times SCALE, rounded per term), so that sums and
 ties do not depend on the order of addition; ties go to the smaller doc_id.
 
@@ -37,6 +43,8 @@ SHARD_DOCS = 16_384
 BATCH_TERMS = 2_500_000  # terms of the queries that meet a shard in one task: 40 MB
 SLICE_WORDS = 1 << 20  # words of a shard's documents that are indexed at a time
 FIRST_BLOCKS = 4  # scored before anything is pruned
+DENSE = 16  # a term of every so many documents of a slice is a row of its matrix
+GROUP = 64  # queries of a product, and of the trial of block maxima
 NO_ID = (1 << 62) - 1
 
 
@@ -46,7 +54,9 @@ def _bags(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     lengths = np.diff(first)
     row = np.repeat(np.arange(len(lengths)), lengths)
     term = span_hashes(body, starts, ends)
-    order = np.lexsort((term, row))
+    # By term, then by row with a sort that keeps that order; few rows fit 16 bits, which sort faster.
+    order = np.argsort(term)
+    order = order[np.argsort(row[order].astype(np.uint16 if len(lengths) <= 1 << 16 else row.dtype), kind="stable")]
     row, term = row[order], term[order]
     new = np.ones(len(term), dtype=bool)
     new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
@@ -123,6 +133,7 @@ class Shard:
         self.cell_start, self.cell_end = at, np.append(at[1:], len(cell))
         self.first_cell = np.searchsorted(cell[at] // max(1, self.n_blocks), np.arange(len(vocabulary) + 1)) if len(at) else np.zeros(len(vocabulary) + 1, np.int64)
         self.scored_blocks = self.all_blocks = 0
+        self.row_of: np.ndarray | None = None
 
     @staticmethod
     def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -151,10 +162,39 @@ class Shard:
             if self.n_docs > k:
                 threshold = np.partition(scores, self.n_docs - k)[self.n_docs - k]
         self.scored_blocks += done
+        return self._best(scores, threshold, k)
+
+    def _best(self, scores: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = np.flatnonzero((scores >= threshold) & (scores > 0))
         found = found[np.lexsort((self.ids[found], -scores[found]))][:k]
         return found, scores[found]
 
+    def top_of_group(self, asked: list[np.ndarray], floors: list[float], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of every query without block maxima; documents below a query's floor may be left out.
+
+        Impacts are whole numbers, so the product is exact in any order of addition.
+        """
+        if self.row_of is None:
+            sizes = np.diff(self.first)
+            frequent = np.flatnonzero(sizes * DENSE >= max(1, self.n_docs))
+            self.row_of = np.full(len(sizes), -1)
+            self.row_of[frequent] = np.arange(len(frequent))
+            self.matrix = np.zeros((len(frequent), self.n_docs))
+            for row, term in enumerate(frequent):
+                at = slice(self.first[term], self.first[term + 1])
+                self.matrix[row, self.rows[at]] = self.impact[at]
+        has = np.zeros((len(asked), len(self.matrix)))
+        for q, terms in enumerate(asked):
+            own = self.row_of[terms]
+            has[q, own[own >= 0]] = 1
+        for sums, terms, floor in zip(has @ self.matrix, asked, floors):
+            rest = terms[self.row_of[terms] < 0]
+            at = self._spread(self.first[rest], self.first[rest + 1])
+            scores = sums + np.bincount(self.rows[at], weights=self.impact[at], minlength=self.n_docs)
+            if not floor and self.n_docs > k:
+                floor = np.partition(scores, self.n_docs - k)[self.n_docs - k]
+            yield self._best(scores, floor, k)
+
 
 def _slices_of(docs: pa.Table, vocabulary: np.ndarray, df: np.ndarray, n: int, mean: float) -> Iterator[Shard]:
     """Indexes of the documents of a shard, about SLICE_WORDS words each: a task holds one at a time."""
@@ -188,13 +228,19 @@ def _search_shard(k: int, n: int, mean: float):
         # The k best of the slices before, per query.
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
         for shard in _slices_of(docs, vocabulary, df, n, mean):
-            for q, own in enumerate(places):
-                found, scores = shard.top(own, k)
-                if not len(found):
-                    continue
-                ids, scores = np.append(best[q][0], shard.ids[found]), np.append(best[q][1], scores)
-                first = np.lexsort((ids, -scores))[:k]
-                best[q] = ids[first], scores[first]
+            for begin in range(0, len(places), GROUP):
+                group = range(begin, min(begin + GROUP, len(places)))
+                if 2 * shard.scored_blocks > shard.all_blocks:
+                    floors = [best[q][1][-1] if len(best[q][1]) == k else 0.0 for q in group]
+                    tops = shard.top_of_group([places[q] for q in group], floors, k)
+                else:
+                    tops = (shard.top(places[q], k) for q in group)
+                for q, (found, scores) in zip(group, tops):
+                    if not len(found):
+                        continue
+                    ids, scores = np.append(best[q][0], shard.ids[found]), np.append(best[q][1], scores)
+                    first = np.lexsort((ids, -scores))[:k]
+                    best[q] = ids[first], scores[first]
         counts = [len(ids) for ids, _ in best]
         asked_by = [np.repeat(queries.column(c).to_numpy(), counts) for c in ("query_id", "query_key")]
         ids, scores = (np.concatenate([b[i] for b in best]).astype(np.int64) for i in (0, 1))
